@@ -36,15 +36,9 @@ def term_blocks(response: Column) -> Column:
     A block that has no term yet is carried into the next one, so the blocks
     are cut only after blank lines that follow a TERM line.
     """
-    marked = F.array_join(
-        F.transform(stripped_lines(response), lambda s: F.when(s == "", F.lit("\x1e")).otherwise(s)), "\n"
-    )
-    # every stretch up to and including the first blank line after a non-empty TERM line
-    cut = F.regexp_extract_all(
-        marked,
-        F.lit("(?s)(?:(?!(?<![^\\n])TERM:[ \\t]*[^\\s]).)*(?<![^\\n])TERM:[ \\t]*[^\\s].*?(?:\\x1e|\\z)"),
-        F.lit(0),
-    )
+    joined = F.array_join(stripped_lines(response), "\n")
+    cut = F.regexp_extract_all(joined, F.lit(r"(?s).*?(?<![^\n])TERM:[ \t]*\S.*?(?:\n\n|\z)"), F.lit(0))
+
     def block(part):
         lines = F.split(part, "\n")
         return F.struct(*[line_field(lines, k).alias(k.lower()) for k in fixed.TERM_FIELDS])

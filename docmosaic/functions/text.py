@@ -36,11 +36,6 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def token_count(c: Column) -> Column:
-    """Number of tokens without building the token array."""
-    return F.regexp_count(F.lower(c), F.lit("[a-z0-9]+")).cast("bigint")
-
-
 def preview(c: Column, width: int) -> Column:
     return F.left(collapse(c), F.lit(width))
 

@@ -24,6 +24,7 @@ def build_session(app: str = "docmosaic", cores: int | str = "*", **conf: str) -
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         **conf,
     }
@@ -64,7 +65,7 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate for the optimised plan (no job is run)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -77,3 +78,14 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast for a side of checked size; leave larger sides to a shuffle join."""
     return F.broadcast(df) if is_small(df, max_rows) else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores on an input of few splits; an input with enough splits is left as it lies.
+
+    Hash partitioning by a key is deterministic, so a retried task sees the same rows.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if estimated_bytes(df) > 1024**3 or df.rdd.getNumPartitions() >= wanted:
+        return df
+    return df.repartition(wanted, *keys)
