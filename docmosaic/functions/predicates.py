@@ -12,6 +12,11 @@ from docmosaic.functions import fixed
 from docmosaic.functions.text import strip
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` applied to ``value`` computed once; plain reuse of a column repeats its expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _starts_with_any(c: Column, openings) -> Column:
     return reduce(or_, [F.startswith(c, F.lit(o)) for o in openings])
 
@@ -20,74 +25,76 @@ def _contains_any(c: Column, fragments) -> Column:
     return reduce(or_, [F.contains(c, F.lit(f)) for f in fragments])
 
 
+def _substantive(text: Column, denials) -> Column:
+    kept = lambda t: (t != "") & ~F.startswith(t, F.lit("[Error:"))
+    return _let(text, lambda t: kept(t) & _let(F.lower(t), lambda low: ~_starts_with_any(low, denials)))
+
+
 def real_definition(definition: Column) -> Column:
     """Substantive definition: not blank, no error marker, not a known denial."""
-    text = strip(F.coalesce(definition, F.lit("")))
-    return (
-        (text != "")
-        & ~F.startswith(text, F.lit("[Error:"))
-        & ~_starts_with_any(F.lower(text), fixed.NO_DEFINITION)
-    )
+    return _substantive(strip(F.coalesce(definition, F.lit(""))), fixed.NO_DEFINITION)
 
 
 def real_governance(governance: Column) -> Column:
     """Substantive governance text. An error marker does not count as content."""
     text = strip(F.regexp_replace(strip(F.coalesce(governance, F.lit(""))), r"\A\*+", ""))
-    return (
-        (text != "")
-        & ~F.startswith(text, F.lit("[Error:"))
-        & ~_starts_with_any(F.lower(text), fixed.NO_GOVERNANCE)
-    )
+    return _substantive(text, fixed.NO_GOVERNANCE)
 
 
 def boilerplate(text: Column) -> Column:
     head = F.left(F.lower(strip(text)), F.lit(fixed.BOILERPLATE_SPAN))
-    return _contains_any(head, fixed.BOILERPLATE)
+    return _let(head, lambda h: _contains_any(h, fixed.BOILERPLATE))
 
 
 def quality_gate(response: Column, min_length: int = fixed.QUALITY_MIN_LENGTH) -> Column:
     """Struct of passed, score and reasons for a synthesised answer."""
-    text = strip(F.coalesce(response, F.lit("")))
-    low = F.lower(text)
-    long_enough = F.length(text) >= min_length
-    cited = low.rlike(fixed.CITATION)
-    generic = _contains_any(F.left(low, F.lit(fixed.GENERIC_SPAN)), fixed.GENERIC)
-    denial = _contains_any(low, fixed.DENIALS) & (F.length(text) < fixed.DENIAL_LENGTH)
-    points = lambda cond, p: F.when(cond, F.lit(p)).otherwise(F.lit(0))
-    tenths = points(long_enough, 3) + points(cited, 3) + points(~generic, 2) + points(~denial, 2)
-    score = tenths.cast("double") / F.lit(10.0)
-    reasons = F.array_compact(
-        F.array(
-            F.when(
-                ~long_enough,
-                F.concat(F.lit("too short ("), F.length(text), F.lit(f" < {min_length} chars)")),
-            ),
-            F.when(cited, F.lit("has citations")).otherwise(F.lit("no rule/section citations found")),
-            F.when(generic, F.lit("starts with generic/negative phrase")),
-            F.when(denial, F.lit("response is negative definition boilerplate only")),
+
+    def signals(text: Column) -> Column:
+        def from_lower(low: Column) -> Column:
+            return F.struct(
+                F.length(text).alias("n"),
+                (F.length(text) >= min_length).alias("long_enough"),
+                low.rlike(fixed.CITATION).alias("cited"),
+                _contains_any(F.left(low, F.lit(fixed.GENERIC_SPAN)), fixed.GENERIC).alias("generic"),
+                (_contains_any(low, fixed.DENIALS) & (F.length(text) < fixed.DENIAL_LENGTH)).alias("denial"),
+            )
+
+        return _let(F.lower(text), from_lower)
+
+    def verdict(s: Column) -> Column:
+        points = lambda cond, p: F.when(cond, F.lit(p)).otherwise(F.lit(0))
+        tenths = points(s.long_enough, 3) + points(s.cited, 3) + points(~s.generic, 2) + points(~s.denial, 2)
+        score = tenths.cast("double") / F.lit(10.0)
+        blank = s.n == 0
+        reasons = F.array_compact(
+            F.array(
+                F.when(
+                    ~s.long_enough, F.concat(F.lit("too short ("), s.n, F.lit(f" < {min_length} chars)"))
+                ),
+                F.when(s.cited, F.lit("has citations")).otherwise(F.lit("no rule/section citations found")),
+                F.when(s.generic, F.lit("starts with generic/negative phrase")),
+                F.when(s.denial, F.lit("response is negative definition boilerplate only")),
+            )
+        )
+        passed = (score >= fixed.QUALITY_PASS) & s.long_enough & ~s.generic & ~s.denial & ~blank
+        return F.struct(
+            passed.alias("passed"),
+            F.when(blank, F.lit(0.0)).otherwise(score).alias("score"),
+            F.when(blank, F.array(F.lit("empty response"))).otherwise(reasons).alias("reasons"),
         )
-    )
-    verdict = F.struct(
-        ((score >= fixed.QUALITY_PASS) & long_enough & ~generic & ~denial).alias("passed"),
-        score.alias("score"),
-        reasons.alias("reasons"),
-    )
-    empty = F.struct(
-        F.lit(False).alias("passed"),
-        F.lit(0.0).alias("score"),
-        F.array(F.lit("empty response")).alias("reasons"),
-    )
-    return F.when(text == "", empty).otherwise(verdict)
+
+    return _let(_let(strip(F.coalesce(response, F.lit(""))), signals), verdict)
 
 
 def bucket(label: Column) -> Column:
     """Bucket of an uncategorised label; the first list with a hit wins."""
-    low = F.lower(label)
-    out = None
-    for name, fragments in fixed.BUCKETS:
-        hit = _contains_any(low, fragments)
-        out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
-    return out.otherwise(F.lit("other"))
+
+
+    def first_hit(low: Column) -> Column:
+        hits = [F.when(_contains_any(low, fragments), F.lit(name)) for name, fragments in fixed.BUCKETS]
+        return F.coalesce(*hits, F.lit("other"))
+
+    return _let(F.lower(label), first_hit)
 
 
 def review_status(tier: Column, confidence: Column) -> Column:
