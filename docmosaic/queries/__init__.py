@@ -31,4 +31,4 @@ def load_all() -> None:
         import_module(f"docmosaic.queries.{name}")
 
 
-MODULES = ("retrieval", "scalars")
+MODULES = ("retrieval", "scalars", "catalog")
