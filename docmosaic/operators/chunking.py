@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmosaic.functions import fixed
-from docmosaic.functions.text import strip
+from docmosaic.functions.text import collapse, strip
 from docmosaic.operators.ranking import keep_first
 
 CHARS_PER_TOKEN = 4
@@ -226,7 +226,6 @@ def definitions(chunks: DataFrame, order: str) -> DataFrame:
     """
     text = F.translate("text", *QUOTES)
     breaks = lambda c: F.regexp_replace(c, r"<br\s*/?>", " ")
-    collapse = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
 
     def pairs(pattern: str, kind: int) -> Column:
         part = lambda i: F.regexp_extract_all("_text", F.lit(pattern), F.lit(i))

@@ -73,9 +73,9 @@ def transcript(messages: DataFrame, limit: int = fixed.CHAT_LIMIT) -> DataFrame:
     )
 
 
-def collapse_runs(messages: DataFrame, value: str) -> DataFrame:
-    """Messages whose ``value`` differs from that of the message before (first of each run)."""
-    framed = with_previous(messages, 1, [value])
+def collapse_runs(rows: DataFrame, value: str, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """Rows whose ``value`` differs from that of the row before (first of each run)."""
+    framed = with_previous(rows, 1, [value], key, order)
     last = F.try_element_at("previous", F.lit(1))[value]
     return framed.where(last.isNull() | (last != F.col(value))).drop("previous")
 
