@@ -31,4 +31,4 @@ def load_all() -> None:
         import_module(f"docmosaic.queries.{name}")
 
 
-MODULES = ("retrieval", "scalars", "catalog", "structure", "graphs")
+MODULES = ("retrieval", "scalars", "catalog", "structure", "graphs", "products")
