@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode whitespace, written so that Java and RE2 read it alike.
-SPACE = (
-    r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# Unicode whitespace, written so that Java and RE2 read it alike; BLANKS are the same characters.
+_OTHER = (
+    r"\t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+SPACE = f"[ {_OTHER}]"
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+# Runs that are not already one blank: most runs are, and need no replacing.
+_RUN = f" {SPACE}+|[{_OTHER}]{SPACE}*"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def collapse(c: Column) -> Column:
     """Whitespace runs to one blank, none at the ends; case kept."""
-    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
+    return F.btrim(F.regexp_replace(c, _RUN, " "), F.lit(" "))
 
 
 def normalize(c: Column) -> Column:
@@ -33,7 +40,7 @@ def slug(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-cased a-z0-9 runs, in order."""
-    return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(c), "[^a-z0-9]+"), F.lit(""))
 
 
 def preview(c: Column, width: int) -> Column:

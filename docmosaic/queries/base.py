@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, over all cores also where they are one small file."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(collection, chunk_id, text, domain)"""
     docs = table(spark, sf_dir, "documents")

@@ -9,8 +9,9 @@ from docmosaic.functions.text import collapse, content_hash, normalize
 from docmosaic.operators import matching, ranking
 from docmosaic.plans import catalog, gap, validation
 from docmosaic.queries import query
-from docmosaic.queries.base import collapse_sql, normalize_sql, strip_sql, table
+from docmosaic.queries.base import collapse_sql, normalize_sql, strip_sql, documents, table
 from docmosaic.queries.scalars import RESPONSE
+from docmosaic.session import materialize, spread
 from docmosaic.sources import catalog as collections
 from docmosaic.sources import hashes, inventory
 
@@ -101,7 +102,7 @@ contexts as (
 
 
 def _contexts(spark, d):
-    rows = table(spark, d, "documents").where("n_chars < 3000").join(
+    rows = documents(spark, d).where("n_chars < 3000").join(
         table(spark, d, "customer"), F.col("doc_id") == F.col("c_custkey")
     )
     rest = [F.lit("").alias(c) for c in catalog.CONTEXT if c not in ("formal_definition", "domain_context", "governance_rules")]
@@ -310,9 +311,10 @@ consolidated as (
   from joined)"""
 
 
-def _consolidated(spark, d):
+def _consolidated(spark, d, mappings=None):
     return catalog.consolidate(
-        _model(spark, d), _mappings(spark, d), _inventory(spark, d), _contexts(spark, d), _relations(spark, d), _forced(spark, d)
+        _model(spark, d), _mappings(spark, d) if mappings is None else mappings, _inventory(spark, d),
+        _contexts(spark, d), _relations(spark, d), _forced(spark, d),
     )
 
 
@@ -339,7 +341,9 @@ TIER = "case when length(term) > 10 then 'existing' else 'new_proposed' end"
 def _full_catalog(spark, d):
     from docmosaic.functions.predicates import review_status
 
-    only = catalog.handbook_only(_terms(spark, d), _model(spark, d), _mappings(spark, d))
+    # the mapping is used twice; it is written once, as the step it is
+    mappings = materialize(_mappings(spark, d), "mappings")
+    only = materialize(catalog.handbook_only(_terms(spark, d), _model(spark, d), mappings), "only")
     inferred = only.select(
         F.lower("term").alias("term_lower"),
         F.lit("AFRICA").alias("entity_domain"),
@@ -350,7 +354,7 @@ def _full_catalog(spark, d):
         F.lit("").alias("alternative_domain"),
     ).withColumn("review_status", review_status(F.col("inference_tier"), F.col("inference_confidence")))
     records = catalog.handbook_only_records(only, inferred, _contexts(spark, d))
-    return _consolidated(spark, d).unionByName(records, allowMissingColumns=True)
+    return _consolidated(spark, d, mappings).unionByName(records, allowMissingColumns=True)
 
 
 FULL = f"""
@@ -556,7 +560,7 @@ def dedupe_keep_first(spark, d):
 def chunk_dedupe(spark, d):
     digest = content_hash(collapse(F.col("text")))
     return (
-        table(spark, d, "documents")
+        documents(spark, d)
         .groupBy(digest.alias("digest"))
         .agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     )
@@ -572,7 +576,7 @@ select entity_a, entity_b, l_orderkey, l_linenumber, l_shipdate, l_quantity from
   from (select {EDGES}, l_orderkey, l_linenumber, l_shipdate, l_quantity from lineitem)) where k = 1
 """)
 def undirected_edge_dedupe(spark, d):
-    li = table(spark, d, "lineitem")
+    li = spread(table(spark, d, "lineitem"), "l_partkey")
     a, b = (x.strip() for x in EDGES.split(" as entity_a,"))
     rows = li.selectExpr(f"{a} as entity_a", b, "l_orderkey", "l_linenumber", "l_shipdate", "l_quantity")
     order = ["l_orderkey", "l_linenumber", "l_shipdate", "l_quantity", "entity_a", "entity_b"]
@@ -654,7 +658,7 @@ CHUNKS_BY_LANG = "chunks as (select lang || '_' || source as collection, doc_id
 
 
 def _by_language(spark, d):
-    return table(spark, d, "documents").select(F.concat_ws("_", "lang", "source").alias("collection"), "doc_id")
+    return documents(spark, d).select(F.concat_ws("_", "lang", "source").alias("collection"), "doc_id")
 
 
 @query(f"""
@@ -698,7 +702,7 @@ ledger as (select collection, file_path, case when lang = 'de' then 'stale' else
 
 
 def _files(spark, d):
-    files = table(spark, d, "documents").select(
+    files = documents(spark, d).select(
         F.col("source").alias("collection"),
         F.concat(F.lit("doc/"), F.col("doc_id")).alias("file_path"),
         F.when(F.col("n_chars") >= 100, content_hash(F.col("text"))).alias("hash"),

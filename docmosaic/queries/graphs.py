@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docmosaic.operators import graph, memory
 from docmosaic.queries import query
 from docmosaic.queries.base import table
+from docmosaic.session import spread
 
 START = "S1"
 
@@ -23,7 +24,7 @@ edges as (
 
 
 def _edges(spark, d):
-    rows = table(spark, d, "lineitem").selectExpr(
+    rows = spread(table(spark, d, "lineitem"), "l_partkey").selectExpr(
         "struct(l_orderkey, l_linenumber, l_shipdate, l_quantity, l_returnflag) as ord",
         "'P' || l_partkey as source_entity", "'S' || l_suppkey as target",
         "'supplied ' || l_returnflag as relationship_type", "l_linestatus as cardinality",

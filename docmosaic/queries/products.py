@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from docmosaic.functions.embedding import embed
 from docmosaic.plans import agent, builder
 from docmosaic.queries import base, query
-from docmosaic.queries.base import CHUNKS, PROBES, collapse_sql, table
+from docmosaic.queries.base import CHUNKS, PROBES, collapse_sql, documents, table
 from docmosaic.session import checkpoint_dir
 from docmosaic.streaming import incremental
 
@@ -30,7 +30,7 @@ s as (select doc_id, sqrt(sum(n * n)) as norm from b group by 1)
 select doc_id, bucket::bigint as bucket, round(n / norm, 5) as weight from b join s using (doc_id)
 """)
 def hashed_embedding(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(embed(F.col("text"))).alias("bucket", "x"))
+    rows = documents(spark, d).select("doc_id", F.posexplode(embed(F.col("text"))).alias("bucket", "x"))
     return rows.where("x <> 0").select(
         "doc_id", F.col("bucket").cast("bigint").alias("bucket"), F.round(F.col("x").cast("double"), 5).alias("weight")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docmosaic.functions import fixed, markup, parse, predicates, text
 from docmosaic.queries import query
-from docmosaic.queries.base import collapse_sql, normalize_sql, strip_sql, table
+from docmosaic.queries.base import collapse_sql, normalize_sql, strip_sql, documents, table
 
 # Answers to judge: documents, some opened or closed by what the predicates look for.
 # One text for both engines; it only builds the input.
@@ -35,7 +35,7 @@ def _has(x: str, fragments) -> str:
 
 
 def _responses(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.expr(RESPONSE).alias("response"))
+    return documents(spark, d).select("doc_id", F.expr(RESPONSE).alias("response"))
 
 
 RESPONSES = f"responses as (select doc_id, {RESPONSE} as response from documents), r as (select doc_id, {strip_sql('response')} as t from responses)"
@@ -44,7 +44,7 @@ RESPONSES = f"responses as (select doc_id, {RESPONSE} as response from documents
 @query(f"select doc_id, md5({normalize_sql('text')}) as normalized, length({normalize_sql('text')}) as n from documents")
 def normalize_name(spark, d):
     n = text.normalize(F.col("text"))
-    return table(spark, d, "documents").select(
+    return documents(spark, d).select(
         "doc_id", F.md5(n).alias("normalized"), F.length(n).cast("bigint").alias("n")
     )
 
@@ -83,7 +83,7 @@ def html_to_text(spark, d):
 
 @query("select doc_id, sha256(text) as hash, source || '::' || doc_id as file_key from documents")
 def content_hash(spark, d):
-    return table(spark, d, "documents").select(
+    return documents(spark, d).select(
         "doc_id",
         text.content_hash(F.col("text")).alias("hash"),
         text.file_key(F.col("source"), F.col("doc_id").cast("string")).alias("file_key"),
@@ -97,7 +97,7 @@ from documents
 """)
 def preview_text(spark, d):
     c = F.col("text")
-    return table(spark, d, "documents").select(
+    return documents(spark, d).select(
         "doc_id",
         text.preview(c, 100).alias("p100"),
         text.preview(c, 200).alias("p200"),
@@ -112,7 +112,7 @@ select doc_id, coalesce(nullif(case when lang = 'en' then '' else lang end, ''),
 def collection_label(spark, d):
     a = F.when(F.col("lang") == "en", F.lit("")).otherwise(F.col("lang"))
     b = F.when(F.col("n_chars") > 500, F.col("source"))
-    return table(spark, d, "documents").select("doc_id", text.first_nonblank(a, b, F.lit("unknown")).alias("label"))
+    return documents(spark, d).select("doc_id", text.first_nonblank(a, b, F.lit("unknown")).alias("label"))
 
 
 INTERFACE = """case when p_type = 'PROMO' then p_name else p_name || case when p_size > 25 then ' to ' else '  TO ' end
@@ -173,7 +173,7 @@ select doc_id, md5(body) as formal_definition, source as domain_context, lang as
        '' as business_rules, n_chars::varchar as lifecycle_states from b
 """)
 def parse_labelled_fields(spark, d):
-    docs = table(spark, d, "documents").withColumn("body", text.collapse(F.col("text")))
+    docs = documents(spark, d).withColumn("body", text.collapse(F.col("text")))
     answer = F.expr(
         r"'Here it is.' || chr(10) || 'FORMAL_DEFINITION: ' || body || chr(10) || chr(10) || 'DOMAIN_CONTEXT:   '"
         r" || source || chr(10) || 'GOVERNANCE:' || chr(10) || lang || chr(10) || 'LIFECYCLE_STATES: ' || n_chars"
@@ -282,7 +282,7 @@ BUCKET_SQL = " ".join(f"when {_has('lower(text)', fragments)} then '{name}'" for
 
 @query(f"select doc_id, case {BUCKET_SQL} else 'other' end as bucket from documents")
 def bucket_classify(spark, d):
-    return table(spark, d, "documents").select("doc_id", predicates.bucket(F.col("text")).alias("bucket"))
+    return documents(spark, d).select("doc_id", predicates.bucket(F.col("text")).alias("bucket"))
 
 
 @query(f"""
@@ -345,4 +345,4 @@ def metadata_sanitize(spark, d):
     path = F.concat_ws("/", "source", "doc_id")
     clean = sanitize_metadata(raw, F.create_map(F.lit("origin"), F.col("source")), path)
     pairs = F.array_sort(F.transform(F.map_entries(clean), lambda e: F.concat_ws("=", e.key, e.value)))
-    return table(spark, d, "documents").select("doc_id", F.array_join(pairs, "|").alias("metadata"))
+    return documents(spark, d).select("doc_id", F.array_join(pairs, "|").alias("metadata"))

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from docmosaic.functions import fixed, markup
 from docmosaic.operators import chunking, ranking, spatial
 from docmosaic.queries import query
-from docmosaic.queries.base import SPACE, collapse_sql, strip_sql, table
+from docmosaic.queries.base import SPACE, collapse_sql, strip_sql, documents, table
 from docmosaic.sources import diagram
 
 
 def _documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text")
+    return documents(spark, d).select("doc_id", "text")
 
 
 LINES = """
@@ -72,7 +72,7 @@ def _markdown(spark, d):
     c = F.col("text")
     for opening, heading in HEADINGS:
         c = F.regexp_replace(c, f"(?m)^{opening}", heading)
-    return table(spark, d, "documents").select("doc_id", c.alias("text"))
+    return documents(spark, d).select("doc_id", c.alias("text"))
 
 
 MARKDOWN = f"md as (select doc_id, {_markdown_sql()} as text from documents)"
@@ -340,5 +340,5 @@ def sentence_chunks(spark, d):
 
 @query()
 def chunk_documents(spark, d):
-    docs = table(spark, d, "documents").select(F.col("source").alias("collection"), "doc_id", "text")
+    docs = documents(spark, d).select(F.col("source").alias("collection"), "doc_id", "text")
     return chunking.chunk(docs, chunking.ChunkSettings())
