@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from docmosaic.functions import fixed
 from docmosaic.functions.text import tokens
-from docmosaic.session import materialize, small_side
+from docmosaic.session import materialize, small_result, small_side
 
 
 def query_terms(variants: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def term_weights(index: DataFrame) -> DataFrame:
     """(collection, term, idf, avg_length) with the smoothed idf ln(1 + (N - df + .5) / (df + .5))."""
     df = index.where(F.col("term") != "").groupBy("collection", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return df.join(small_side(collection_stats(index)), "collection").select(
+    return df.join(collection_stats(index), "collection").select(
         "collection", "term", idf.alias("idf"), "avg_length"
     )
 
@@ -72,7 +72,7 @@ def chunk_scores(chunks: DataFrame, variants: DataFrame) -> DataFrame:
     """
     terms = query_terms(variants)
     index = postings(chunks, terms)
-    weights = small_side(term_weights(index))
+    weights = small_result(term_weights(index), "weights")
     k1, b = fixed.BM25_K1, fixed.BM25_B
     part = (
         F.col("idf")

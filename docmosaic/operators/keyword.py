@@ -78,10 +78,10 @@ def scan_terms(chunks: DataFrame, terms: DataFrame, keys: list[str], text: str =
     return out
 
 
-def entity_hits(chunks: DataFrame, variants: DataFrame) -> DataFrame:
+def entity_hits(chunks: DataFrame, variants: DataFrame, with_text: bool = True) -> DataFrame:
     """(entity_id, pos, variant, collection, chunk_id, text): chunks that hold a variant verbatim."""
     wanted = variants.select("entity_id", "pos", "variant", F.lower("variant").alias("term"))
-    found = scan_terms(chunks, wanted, ["collection", "chunk_id", "text"])
+    found = scan_terms(chunks, wanted, ["collection", "chunk_id"] + ["text"] * with_text)
     return found.join(small_side(wanted), "term").drop("term")
 
 

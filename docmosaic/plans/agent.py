@@ -78,8 +78,8 @@ def run(
     """
     aliases = variants.where("pos > 0 and pos <= 3")
     nameless = variants.where("pos = 0").join(aliases, "entity_id", "left_anti")
-    terms = materialize(aliases.unionByName(nameless), "terms")
-    open_ids = materialize(entities.select("entity_id"), "open")
+    terms = aliases.unionByName(nameless)
+    open_ids = entities.select("entity_id")
     actions = open_ids.join(variants, "entity_id").where("pos = 0").select(
         "entity_id", F.lit("RETRIEVE").alias("kind"), F.col("variant").alias("query")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from docmosaic.functions import fixed
 from docmosaic.functions.text import collapse
 from docmosaic.operators import bm25, keyword, mmr, ranking, vector
-from docmosaic.session import small_side
+from docmosaic.session import materialize, small_side
 
 
 @dataclass(frozen=True)
@@ -173,7 +173,7 @@ def routed_sections(
 ) -> DataFrame:
     """(entity_id, collection, origin, position): definition, BM25 and keyword sections, first mention kept."""
     scored = bm25.section_scores(chunks, variants, strict=True)
-    hits = keyword.entity_hits(chunks, variants) if hits is None else hits
+    hits = keyword.entity_hits(chunks, variants, with_text=False) if hits is None else hits
     found = keyword.section_hits(hits)
     entities = variants.select("entity_id").distinct()
     listed = F.posexplode(F.array(*[F.lit(s) for s in definition_sections]))
@@ -199,9 +199,11 @@ def routed_sections(
 def routing_cascade(chunks: DataFrame, variants: DataFrame) -> DataFrame:
     """One row per entity: what BM25 and the keyword scan found, and whether it is worth a context.
 
-    The keyword scan is written once and feeds both of its counts.
+    The keyword scan is written once, without the texts, and feeds both of its counts.
     """
-    hits = keyword.entity_hits(chunks, variants).persist()
+    found = keyword.entity_hits(chunks, variants)
+    digest = F.sha2(collapse(F.col("text")), 256).alias("digest")
+    hits = materialize(found.select("entity_id", "collection", "chunk_id", digest), "hits")
     scored = bm25.section_scores(chunks, variants, strict=True)
     lexical = scored.select("entity_id", "collection", F.lit(1).alias("by_bm25"), F.lit(0).alias("by_keyword"))
     verbatim = keyword.section_hits(hits).select(
@@ -218,7 +220,7 @@ def routing_cascade(chunks: DataFrame, variants: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("sections"),
         )
     )
-    texts = keyword.distinct_hits(hits).groupBy("entity_id").agg(F.count(F.lit(1)).alias("keyword_chunks"))
+    texts = hits.groupBy("entity_id").agg(F.countDistinct("digest").alias("keyword_chunks"))
     names = ranking.keep_first(variants.select("entity_id", "pos", "variant"), ["entity_id"], ["pos"])
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
     counts = ("bm25_sections", "keyword_sections", "sections", "keyword_chunks")

@@ -126,7 +126,7 @@ with {CHUNKS}, {PROBES}, {HITS}
 select entity_id, collection, count(distinct chunk_id) as n_chunks from hits group by all
 """)
 def keyword_sections(spark, d):
-    return keyword.section_hits(keyword.entity_hits(base.chunks(spark, d), base.probes(spark, d)))
+    return keyword.section_hits(keyword.entity_hits(base.chunks(spark, d), base.probes(spark, d), with_text=False))
 
 
 @query(f"""

@@ -80,6 +80,14 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
+def small_result(df: DataFrame, label: str = "small") -> DataFrame:
+    """As ``small_side`` for the result of a costly plan: unless estimated small, it is written first,
+    and its size is then that of the written table, so the plan runs once."""
+    if estimated_bytes(df) <= BROADCAST_BYTES:
+        return F.broadcast(df)
+    return small_side(materialize(df, label))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores on an input of few splits; an input with enough splits is left as it lies.
 

@@ -30,9 +30,10 @@ class ChunkStore:
     def write(self, chunks: DataFrame, rebuild: bool = False) -> None:
         """Add chunks, or put them in place of the collections they belong to.
 
-        Rows are not gathered by collection, so a large one is written by many tasks.
+        The rebalance hint lets the runtime size the files: small collections
+        are put together, a large one is split over many tasks.
         """
-        ordered = chunks.select(*self.spark.table(self.table).columns)
+        ordered = chunks.select(*self.spark.table(self.table).columns).hint("rebalance", "collection")
         mode = "dynamic" if rebuild else "static"
         writer = ordered.write.option("partitionOverwriteMode", mode)
         (writer.mode("overwrite") if rebuild else writer.mode("append")).insertInto(self.table)
