@@ -67,26 +67,30 @@ def table_pieces(text: str, limit: int) -> list[tuple[str, str]]:
     return pieces or [("", text)]
 
 
+# A sentence with the blanks after it, or a line with its break: put together they give the text again.
+SENTENCE = re.compile(r".+?(?:[.!?;](?=\s)\s*|\n+|\Z)", re.DOTALL)
+
+
 def sentence_pieces(text: str, limit: int, overlap: int) -> list[str]:
-    """Sentences packed up to ``limit`` characters; a chunk repeats trailing sentences of the last one
-    as far as they fit in ``overlap``. A sentence over the limit is cut between words."""
+    """Sentences packed up to ``limit`` characters, line breaks kept; a chunk repeats trailing sentences of
+    the last one as far as they fit in ``overlap``. A sentence over the limit is cut between words."""
     sentences: list[str] = []
-    for s in re.split(r"(?<=[.!?;])\s+|\n+", text):
+    for s in SENTENCE.findall(text):
         if len(s) <= limit:
             sentences.append(s)
         else:
-            sentences.extend(" ".join(w) for w in pack(s.split(" "), lambda w: len(w) + 1, limit))
+            sentences.extend("".join(w) for w in pack(re.findall(r"\S*\s*", s), len, limit))
     chunks: list[str] = []
     carried: list[str] = []
-    for run in pack([s for s in sentences if s.strip()], lambda s: len(s) + 1, max(limit - overlap, 1)):
-        chunks.append(" ".join([*carried, *run]))
+    for run in pack(sentences, len, max(limit - overlap, 1)):
+        chunks.append("".join([*carried, *run]).strip())
         carried, room = [], overlap
         for s in reversed(run):
-            room -= len(s) + 1
+            room -= len(s)
             if room < 0:
                 break
             carried.insert(0, s)
-    return chunks or [text]
+    return [c for c in chunks if c] or [text]
 
 
 def _piece_udf(split: Callable[[str], list[tuple[str, str]]]):

@@ -101,14 +101,19 @@ def ingest(spark: SparkSession, config: IngestConfig, store: ChunkStore, model:
         docs = docs.select(F.lit(name).alias("collection"), "path", "text")
     rows = materialize(to_chunks(docs, config.chunking, config.metadata, model), "chunks")
     n = rows.count()
-    if n:
-        if not config.rebuild:
-            # a changed file's old chunks go; other files of the collection stay
-            touched = rows.select("collection").distinct()
-            old = store.chunks().join(touched, "collection", "left_semi").join(rows.select("doc_id").distinct(), "doc_id", "left_anti")
-            rows = materialize(rows.unionByName(old.select(*rows.columns)), "chunks")
-        store.write(rows, rebuild=True)
-        store.record(todo)
+    if n == 0:
+        return 0
+    if not config.rebuild:
+        # of the collections that had or get chunks of the changed files, the other files' chunks stay
+        ids = rows.select("doc_id").distinct()
+        had = store.chunks().join(ids, "doc_id", "left_semi").select("collection")
+        touched = materialize(rows.select("collection").unionByName(had).distinct(), "touched")
+        kept = store.chunks().join(touched, "collection", "left_semi").join(ids, "doc_id", "left_anti")
+        rows = materialize(rows.unionByName(kept.select(*rows.columns)), "chunks")
+        for left in touched.join(rows.select("collection").distinct(), "collection", "left_anti").collect():
+            store.drop(left.collection)
+    store.write(rows, rebuild=True)
+    store.record(todo)
     return n
 
 

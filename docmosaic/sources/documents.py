@@ -43,7 +43,7 @@ def resolve_paths(paths: list[str]) -> tuple[list[str], list[str]]:
 
 def read_text(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """(path, text): one row per text or Markdown file."""
-    files = spark.read.option("wholetext", True).text(paths)
+    files = spark.read.text(paths, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 

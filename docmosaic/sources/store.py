@@ -34,9 +34,20 @@ class ChunkStore:
         are put together, a large one is split over many tasks.
         """
         ordered = chunks.select(*self.spark.table(self.table).columns).hint("rebalance", "collection")
-        mode = "dynamic" if rebuild else "static"
-        writer = ordered.write.option("partitionOverwriteMode", mode)
-        (writer.mode("overwrite") if rebuild else writer.mode("append")).insertInto(self.table)
+        if rebuild:
+            self._overwrite(ordered, self.table)
+        else:
+            ordered.write.mode("append").insertInto(self.table)
+
+    def _overwrite(self, rows: DataFrame, table: str) -> None:
+        """Replace only the partitions that ``rows`` has."""
+        key = "spark.sql.sources.partitionOverwriteMode"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, "dynamic")
+        try:
+            rows.write.mode("overwrite").insertInto(table)
+        finally:
+            self.spark.conf.set(key, before)
 
     def collections(self, prefix: str | None = None) -> list[str]:
         rows = self.spark.sql(f"SHOW PARTITIONS {self.table}").collect()
@@ -83,4 +94,4 @@ class ChunkStore:
         touched = files.select("collection").distinct()
         old = self.ledger().join(touched, "collection", "left_semi")
         rows = materialize(upsert(old, files), "ledger").select("file_path", "hash", "collection")
-        rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").insertInto(self.ledger_table)
+        self._overwrite(rows, self.ledger_table)
