@@ -1,14 +1,16 @@
-"""Command line: ingest, status, delete, query, catalog, coverage, validate, graph, diagnose."""
+"""Command line: ingest, status, delete, query, catalog, coverage, validate, graph, diagnose, chat."""
 
 from __future__ import annotations
 
 import argparse
+import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from docmosaic.config import Config, list_configs, load_aliases
+from docmosaic.functions import fixed
 from docmosaic.functions.embedding import embed
 from docmosaic.operators import graph
 from docmosaic.plans import catalog, coverage, gap, ingest, products, validation
@@ -43,6 +45,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--domain")
     a.add_argument("--entity", action="append")
     a.add_argument("--skip-handbook", action="store_true")
+    a.add_argument("--agentic", action="store_true", help="gather contexts in rounds")
     a.add_argument("--skip-relationships", action="store_true")
     a.add_argument("--output-dir", default="output")
     a = sub.add_parser("coverage", help="coverage of the model by the corpus, with gap analysis")
@@ -64,9 +67,34 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--section-prefix")
     a.add_argument("--ranker", default="embedding", choices=("embedding", "bm25", "boosted"))
     a.add_argument("--no-dropped", action="store_true")
+    a = sub.add_parser("chat", help="questions line by line; /reset /history /graph <name> /exit")
+    a.add_argument("--collection", action="append")
+    a.add_argument("--model-json")
     return p
 
 
+def chat(spark: SparkSession, lines, chunks, settings, edges=None) -> None:
+    """Answer lines until /exit. The last three messages go along with a question as its context."""
+    said: list[tuple[str, str]] = []
+    for line in (s.strip() for s in lines):
+        if line == "/exit":
+            return
+        if line == "/reset":
+            said.clear()
+        elif line == "/history":
+            print("\n".join(f"{role}: {text}" for role, text in said))
+        elif line.startswith("/graph ") and edges is not None:
+            print(graph.traverse(edges, line.removeprefix("/graph ")).first().json)
+        elif line.startswith("/"):
+            print("unknown command", line)
+        elif line:
+            before = "\n".join(f"{role}: {text}" for role, text in said[-3:])
+            rows = products.ask(spark, f"{before}\n{line}" if before else line, chunks, settings).collect()
+            reply = rows[0].response if rows else "nothing found"
+            print(reply)
+            said = [*said, ("USER", line), ("ASSISTANT", reply)][-fixed.CHAT_LIMIT :]
+
+
 def _entities(spark: SparkSession, path: str):
     if not Path(path).exists() and "://" not in path:
         raise SystemExit(f"model document not found: {path}; run ingest first")
@@ -102,7 +130,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             sheets = inventory.read_json(spark, args.inventory_json)
             forced = spark.createDataFrame([], "entity_name string")
             rows = products.consolidated_catalog(
-                picked, sheets, chunks, rels, aliases, forced, skip_handbook_only=bool(args.domain or args.entity)
+                picked, sheets, chunks, rels, aliases, forced, skip_handbook_only=bool(args.domain or args.entity),
+                provider=products.agentic_contexts if args.agentic else products.contexts,
             )
             writers.write_json(rows, f"{args.output_dir}/catalog")
             written = spark.read.json(f"{args.output_dir}/catalog")
@@ -126,6 +155,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             _, relations = _entities(spark, args.model_json)
             edges = graph.build(graph.normalize_relationships(relations))
             print(graph.traverse(edges, args.name, args.operation, args.type, args.max_depth).first().json)
+        case "chat":
+            edges = None
+            if args.model_json:
+                edges = graph.build(graph.normalize_relationships(_entities(spark, args.model_json)[1]))
+            chat(spark, sys.stdin, store.chunks(args.collection), config.query, edges)
         case "diagnose":
             chunks = store.chunks(store.collections(args.section_prefix))
             asked = spark.createDataFrame([(1, 0, args.entity)], "entity_id bigint, pos int, variant string")

@@ -73,8 +73,10 @@ SENTENCE = re.compile(r".+?(?:[.!?;](?=\s)\s*|\n+|\Z)", re.DOTALL)
 
 def sentence_pieces(text: str, limit: int, overlap: int) -> list[str]:
     """Sentences packed up to ``limit`` characters, line breaks kept; a chunk repeats trailing sentences of
-    the last one as far as they fit in ``overlap``. A sentence over the limit is cut between words."""
+    the last one as far as they fit in ``overlap``. A sentence that leaves no room for the overlap is cut
+    between words."""
     sentences: list[str] = []
+    limit = max(limit - overlap, 1)
     for s in SENTENCE.findall(text):
         if len(s) <= limit:
             sentences.append(s)
@@ -82,7 +84,7 @@ def sentence_pieces(text: str, limit: int, overlap: int) -> list[str]:
             sentences.extend("".join(w) for w in pack(re.findall(r"\S*\s*", s), len, limit))
     chunks: list[str] = []
     carried: list[str] = []
-    for run in pack(sentences, len, max(limit - overlap, 1)):
+    for run in pack(sentences, len, limit):
         chunks.append("".join([*carried, *run]).strip())
         carried, room = [], overlap
         for s in reversed(run):

@@ -12,9 +12,13 @@ from docmosaic.config import load_batch, load_yaml
 from docmosaic.functions.embedding import Embedder, embed, hashed_words
 from docmosaic.operators.chunking import ChunkSettings, chunk, split_numbered_sections
 from docmosaic.session import materialize
-from docmosaic.sources import documents, hashes
+from docmosaic.sources import diagram, documents, hashes, inventory
 from docmosaic.sources.store import ChunkStore
 
+# Formats read by a source of their own: (spark, paths) to (path, text), or (path, suffix, text) where each
+# suffix is a collection under the config's prefix.
+READERS = {"diagram": diagram.read_markdown, "inventory": inventory.read_markdown}
+
 # A preprocessor turns documents (path, text) into documents; new ones are registered by name.
 Preprocessor = Callable[[DataFrame], DataFrame]
 PREPROCESSORS: dict[str, Preprocessor] = {"identity": lambda docs: docs}
@@ -62,14 +66,14 @@ class IngestConfig:
 def to_chunks(docs: DataFrame, settings: ChunkSettings, metadata: dict[str, str], model: Embedder = hashed_words) -> DataFrame:
     """Documents (collection, path, text) to rows of the chunk table.
 
-    A chunk's id is a hash of its collection, document and place, so a retried
+    A chunk's id is a hash of its collection, document, place and text, so a retried
     or repeated run gives the same ids.
     """
     pieces = chunk(docs.select("collection", "path", "text"), settings)
     extra = F.create_map(*[F.lit(x) for kv in metadata.items() for x in kv]) if metadata else F.create_map().cast("map<string,string>")
     return pieces.select(
         F.col("path").alias("doc_id"),
-        F.xxhash64("collection", "path", "pos").alias("chunk_id"),
+        F.xxhash64("collection", "path", "pos", "text").alias("chunk_id"),
         "pos",
         "content_type",
         "text",
@@ -92,10 +96,15 @@ def ingest(spark: SparkSession, config: IngestConfig, store: ChunkStore, model:
         raise ValueError(f"no documents found for {name}")
     files = materialize(hashes.listing(spark, name, found), "files")
     todo = files if config.rebuild else hashes.changed(files, store.ledger())
-    docs = get_preprocessor(config.preprocessor)(documents.read_documents(spark, found, parsers))
+    if config.preprocessor in READERS:
+        docs = READERS[config.preprocessor](spark, found)
+    else:
+        docs = get_preprocessor(config.preprocessor)(documents.read_documents(spark, found, parsers))
     key = lambda c: F.regexp_replace(F.col(c), "^file:/+", "/")
     docs = docs.withColumn("path", key("path")).join(todo.select(key("file_path").alias("path")), "path", "left_semi")
-    if config.collection_prefix and not config.collection_name:
+    if config.collection_prefix and "suffix" in docs.columns:
+        docs = docs.withColumn("collection", F.concat(F.lit(f"{config.collection_prefix}_"), "suffix"))
+    elif config.collection_prefix and not config.collection_name:
         docs = split_numbered_sections(docs, "path", config.collection_prefix).select("collection", "path", "text")
     else:
         docs = docs.select(F.lit(name).alias("collection"), "path", "text")

@@ -54,6 +54,21 @@ def contexts(
     return rows.select("entity_key", *[F.coalesce(c, F.lit("")).alias(c) for c in catalog.CONTEXT])
 
 
+def agentic_contexts(
+    entities: DataFrame, chunks: DataFrame, aliases: DataFrame, definitions: DataFrame, answer=EXTRACTIVE,
+    policy=agent.always_done, max_iterations: int = agent.MAX_ITERATIONS,
+) -> DataFrame:
+    """As ``contexts``, with the evidence gathered in rounds; ``definitions`` are left to the rounds."""
+    variants = materialize(entity_variants(entities, aliases), "variants")
+    names = variants.where("pos = 0").select("entity_id", F.col("variant").alias("name"))
+    evidence = agent.evidence(agent.run(chunks, names, variants, policy, max_iterations))
+    asked = entities.select(F.col("ord").alias("entity_id"), "entity_name").join(evidence, "entity_id")
+    told = answer(asked).select("entity_id", *context_fields(F.col("response"), ignore_case=True))
+    keys = entities.select(F.col("ord").alias("entity_id"), normalize(F.col("entity_name")).alias("entity_key"))
+    rows = ranking.keep_first(keys.join(told, "entity_id", "left"), ["entity_key"], ["entity_id"])
+    return rows.select("entity_key", *[F.coalesce(c, F.lit("")).alias(c) for c in catalog.CONTEXT])
+
+
 def infer_domains(candidates: DataFrame, answer=None) -> DataFrame:
     """Inferred place of HANDBOOK_ONLY terms; without a model the fallback record applies.
 
@@ -80,11 +95,13 @@ def consolidated_catalog(
     infer=None,
     done: DataFrame | None = None,
     skip_handbook_only: bool = False,
+    provider=contexts,
 ) -> DataFrame:
     """All steps from model and corpus to catalog rows.
 
     Steps whose result is used more than once are written once; a resumed run
-    passes the finished context rows as ``done``.
+    passes the finished context rows as ``done``. ``provider`` is where contexts
+    come from: one pass (``contexts``) or rounds (``agentic_contexts``).
     """
     found = chunking.definitions(chunks, "chunk_id")
     terms = materialize(found.select(F.xxhash64(F.lower("term")).alias("ord"), "term", "definition"), "terms")
@@ -93,7 +110,7 @@ def consolidated_catalog(
     if done is not None:
         keyed = entities.withColumn("entity_key", normalize(F.col("entity_name")))
         todo = catalog.remaining(keyed, done, "entity_key").select(*entities.columns)
-    context = contexts(todo, chunks, aliases, terms, answer)
+    context = provider(todo, chunks, aliases, terms, answer)
     context = materialize(context if done is None else context.unionByName(done.select(*context.columns)), "contexts")
     rows = catalog.consolidate(entities, mappings, inventory, context, relationships, forced)
     if skip_handbook_only:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmosaic.functions import fixed
+from docmosaic.functions.parse import alias_candidates
 from docmosaic.functions.text import collapse
 from docmosaic.operators import bm25, keyword, mmr, ranking, vector
 from docmosaic.session import materialize, small_side
@@ -196,7 +197,20 @@ def routed_sections(
     )
 
 
-def routing_cascade(chunks: DataFrame, variants: DataFrame) -> DataFrame:
+def expanded_variants(variants: DataFrame, scored: DataFrame, min_sections: int, expand) -> DataFrame:
+    """Suggested aliases for entities routed to fewer than ``min_sections`` sections.
+
+    ``expand`` adds ``response`` (a comma list) to (entity_id, variant) of those entities.
+    """
+    counts = scored.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
+    names = variants.where("pos = 0").join(counts, "entity_id", "left")
+    sparse = names.where(F.coalesce("n", F.lit(0)) < min_sections).select("entity_id", "variant")
+    listed = alias_candidates(F.col("response"), F.col("variant"))
+    more = expand(sparse).select("entity_id", F.posexplode(listed).alias("pos", "variant"))
+    return more.select("entity_id", (F.col("pos") + 1000).alias("pos"), "variant")
+
+
+def routing_cascade(chunks: DataFrame, variants: DataFrame, min_sections: int = 0, expand=None) -> DataFrame:
     """One row per entity: what BM25 and the keyword scan found, and whether it is worth a context.
 
     The keyword scan is written once, without the texts, and feeds both of its counts.
@@ -205,6 +219,9 @@ def routing_cascade(chunks: DataFrame, variants: DataFrame) -> DataFrame:
     digest = F.sha2(collapse(F.col("text")), 256).alias("digest")
     hits = materialize(found.select("entity_id", "collection", "chunk_id", digest), "hits")
     scored = bm25.section_scores(chunks, variants, strict=True)
+    if min_sections > 0 and expand is not None:
+        more = bm25.section_scores(chunks, expanded_variants(variants, scored, min_sections, expand), strict=True)
+        scored = scored.unionByName(more)
     lexical = scored.select("entity_id", "collection", F.lit(1).alias("by_bm25"), F.lit(0).alias("by_keyword"))
     verbatim = keyword.section_hits(hits).select(
         "entity_id", "collection", F.lit(0).alias("by_bm25"), F.lit(1).alias("by_keyword")

@@ -232,3 +232,59 @@ def read_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     blank = [F.coalesce(c, F.lit("")).alias(c) for c in entities.columns if c != "ord"]
     relations = doc.select(F.posexplode("relationships").alias("ord", "r")).select(F.col("ord").cast("bigint").alias("ord"), "r.*")
     return entities.select("ord", *blank), relations
+
+
+def parse(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Leaf entities and relationships of a diagram: groups, assets, visual domains, edges, subgroups."""
+    from docmosaic.operators import spatial
+
+    objects = read_objects(spark, path).withColumn("ord", F.monotonically_increasing_id())
+    cells = read_cells(spark, path)
+    groups = group_cells(objects, cells)
+    rows = objects.select("ord", *_asset_columns()).where("id is not null and type = 'factSheet' and parent_id is not null")
+    labels = group_labels(rows)
+    placed = resolve_groups(rows.join(groups.select("id"), "id", "left_anti"), groups.join(labels, "id"))
+    box = [F.coalesce(c, F.lit(0.0)).alias(a) for c, a in (("x", "x"), ("y", "y"), ("width", "w"), ("height", "h"))]
+    # boxes straight on the canvas: the outermost are domains, the rest belong to the one around them
+    loose = placed.where("domain = '' and x is not null and y is not null").where(F.col("parent_id") == ROOT_PARENT)
+    loose_boxes = loose.select(F.lit("").alias("group"), F.col("id").alias("box_id"), "ord", *box)
+    tops = spatial.roots(loose_boxes).select(F.col("box_id").alias("id"))
+    inside = spatial.assign_to_roots(loose_boxes).select(F.col("point_id").alias("id"), F.col("box_id").alias("_root"))
+    names = rows.select(F.col("id").alias("_root"), F.col("label").alias("_domain"))
+    joined = placed.join(tops, "id", "left_anti").join(inside.join(names, "_root"), "id", "left")
+    assets_ = joined.select(
+        "id", "ord", "label", "fact_sheet_id", "fact_sheet_type", "subgroup",
+        F.coalesce("_domain", "domain").alias("domain"), F.coalesce("_root", "parent_id").alias("parent_id"), *box,
+    )
+    # leaves take the subgroup of the first container box that holds their centre
+    holder = spatial.is_container(F.col("w"), F.col("h"))
+    held = assets_.where(F.upper("label") != F.upper("domain")).withColumn("group", F.col("parent_id"))
+    points = held.where(~holder).select(
+        "group", F.col("id").alias("point_id"), (F.col("x") + F.col("w") / 2).alias("px"), (F.col("y") + F.col("h") / 2).alias("py")
+    )
+    boxes = held.where(holder).select("group", F.col("id").alias("box_id"), "ord", "x", "y", "w", "h")
+    found = spatial.point_in_box(points, boxes).select(F.col("point_id").alias("id"), F.col("box_id").alias("_box"))
+    box_names = rows.select(F.col("id").alias("_box"), F.col("label").alias("_subgroup"))
+    final = assets_.join(found.join(box_names, "_box"), "id", "left").withColumn(
+        "subgroup", F.coalesce("_subgroup", "subgroup")
+    ).select("id", "ord", "label", "domain", "subgroup", "fact_sheet_id", "fact_sheet_type")
+    return leaf_entities(final), relationships(cells, final)
+
+
+def read_markdown(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, text) of diagrams: one Markdown section per leaf entity."""
+    out = None
+    for path in paths:
+        leaf, _ = parse(spark, path)
+        named = leaf.withColumnsRenamed({"label": "entity_name", "subgroup": "subtype"})
+        rows = named.select(F.lit(path).alias("path"), entity_markdown().alias("text"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def read_relationships(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Relationships of all model documents, and of relationship lists, that the paths (globs) name."""
+    docs = spark.read.option("multiLine", True).json(paths)
+    if "relationships" in docs.columns:
+        docs = docs.select(F.explode("relationships").alias("r")).select("r.*")
+    return docs.withColumn("ord", F.monotonically_increasing_id())

@@ -61,3 +61,23 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return doc.select(F.explode("fact_sheets").alias("key", "sheet")).select(
         F.col("key").alias("id"), "sheet.type", "sheet.name", "sheet.description", "sheet.level", "sheet.status"
     )
+
+
+def read_markdown(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, suffix, text) of inventory workbooks: one Markdown section per fact sheet of a known type."""
+    from docmosaic.sources import xlsx
+
+    xlsx.register(spark)
+    out = None
+    for path in paths:
+        rows = non_empty(spark.read.format("workbook").load(path))
+        have = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+        named = rows.select(
+            have("id").alias("id"), have("type").alias("type"), F.coalesce(have("name"), have("displayName"), F.lit("Unknown")).alias("name"),
+            have("description").alias("description"), have("level").alias("level"), have("lxState").alias("state"),
+        )
+        sheets = typed(named, "x").select(
+            F.lit(path).alias("path"), F.substring("collection", 3, 100).alias("suffix"), markdown_row(F.col("state")).alias("text")
+        )
+        out = sheets if out is None else out.unionByName(sheets)
+    return out

@@ -139,3 +139,17 @@ def test_definitions(spark):
         ("Club", "a club playing the game"), ("Player", "any contract player"),
         ("Match Official", "a person appointed"), ("Cup", "the main competition"),
     }
+
+
+def test_sentence_pieces_hold_the_whole_text():
+    rng = random.Random(9)
+    for _ in range(200):
+        text = "".join(rng.choice(["word ", "end. ", "line\n", "x" * 30 + " ", "a; ", "\n\n"]) for _ in range(rng.randint(1, 40)))
+        if not text.strip():
+            continue
+        limit = rng.choice([20, 50, 120])
+        got = chunking.sentence_pieces(text, limit, 0)
+        assert "".join("".join(got).split()) == "".join(text.split())
+        assert all(len(c) <= max(limit, 31) for c in got)
+        over = chunking.sentence_pieces(text, limit, limit // 3)
+        assert all(len(c) <= max(limit, 31 + limit // 3) for c in over)

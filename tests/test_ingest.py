@@ -288,3 +288,45 @@ def test_bounded_memory_stream(spark, tmp_path):
     spark.createDataFrame([(1, 6, "user", "m6")], schema).write.mode("append").parquet(src)
     drain()
     assert sorted((c, t) for b in out for c, t, *_ in b) == [(1, 3), (1, 4), (1, 5), (1, 6)]
+
+
+def test_diagram_and_inventory_ingestion(spark, tmp_path):
+    store = ChunkStore(spark, "d_chunks", "d_hashes")
+    (tmp_path / "m.xml").write_text(XML)
+    # the domain's own label and a label used as a subgroup are containers
+    assert ingest.ingest(spark, ingest.IngestConfig([str(tmp_path / "m.xml")], "model", preprocessor="diagram"), store) == 1
+    assert store.chunks(["model"]).first().text.startswith("## Player\n\n- **Domain:** PARTY")
+    workbook(tmp_path / "w.xlsx")
+    cfg = ingest.IngestConfig([str(tmp_path / "w.xlsx")], collection_prefix="inv", preprocessor="inventory")
+    assert ingest.ingest(spark, cfg, store) == 1
+    assert store.collections("inv") == ["inv_provider"] and "`f1`" in store.chunks(["inv_provider"]).first().text
+
+
+BOXES = """<root><mxCell id="1"/>
+<object id="d" label="CHANNEL" type="factSheet" factSheetId="fd"><mxCell style="x" vertex="1" parent="1"><mxGeometry x="10" y="10" width="600" height="400"/></mxCell></object>
+<object id="s" label="Digital" type="factSheet" factSheetId="fs"><mxCell style="x" vertex="1" parent="1"><mxGeometry x="20" y="40" width="200" height="200"/></mxCell></object>
+<object id="l" label="Email" type="factSheet" factSheetId="fl"><mxCell style="x" vertex="1" parent="1"><mxGeometry x="30" y="60" width="100" height="40"/></mxCell></object>
+<object id="o" label="Radio" type="factSheet" factSheetId="fo"><mxCell style="x" vertex="1" parent="1"><mxGeometry x="400" y="300" width="100" height="40"/></mxCell></object>
+</root>"""
+
+
+def test_visual_domains(spark, tmp_path):
+    (tmp_path / "b.xml").write_text(BOXES)
+    leaf, edges = diagram.parse(spark, str(tmp_path / "b.xml"))
+    assert {(r.label, r.domain, r.subgroup) for r in leaf.collect()} == {("Email", "CHANNEL", "Digital"), ("Radio", "CHANNEL", "")}
+    assert edges.count() == 0
+
+
+def test_prompts(spark):
+    from docmosaic.functions import prompts
+
+    df = spark.createDataFrame([("Club", "known", ["a", "b"]), ("Cup", None, [])], "name string, v string, e array<string>")
+    got = [r.p for r in df.select(prompts.context_prompt("Define {entity}.", "Govern {entity}.", F.col("v"), F.col("e"), entity=F.col("name")).alias("p")).collect()]
+    assert got == ["Govern Club.\n\na\n---\nb", "Define Cup."]
+
+
+def test_relationship_scan(spark, tmp_path):
+    for n in ("a", "b"):
+        (tmp_path / f"{n}_model.json").write_text(json.dumps({"relationships": [{"source_entity": n, "target_entity": "x"}]}))
+    got = diagram.read_relationships(spark, [f"{tmp_path}/*_model.json"])
+    assert {r.source_entity for r in got.collect()} == {"a", "b"}

@@ -325,3 +325,17 @@ def test_workspace():
     assert w.get("a") == 1 and len(w.export().splitlines()[2]) == 202
     w.clear()
     assert w.get("a") is None and not w.traces
+
+
+def test_cascade_asks_for_aliases_when_sections_are_few(spark):
+    v = _variants(spark, (1, 0, "rules"), (2, 0, "zzz"))
+    asked = []
+
+    def expand(rows):
+        asked.extend(r.entity_id for r in rows.collect())
+        return rows.withColumn("response", F.lit("players, zzz, x"))
+
+    got = {r.entity_id: (r.sections, r.status) for r in retrieval.routing_cascade(_chunks(spark), v, 1, expand).collect()}
+    assert asked == [2] and got == {1: (1, "ROUTED"), 2: (2, "ROUTED")}
+    plain = {r.entity_id: r.status for r in retrieval.routing_cascade(_chunks(spark), v).collect()}
+    assert plain == {1: "ROUTED", 2: "SKIPPED"}

@@ -53,6 +53,11 @@ def test_command_line(spark, tmp_path, capsys):
     assert rows["Club"].formal_definition.startswith("a club that plays")
     assert rows["Referee"].source == "BOTH" and rows["Referee"].handbook_term == "Match Official"
     assert rows["Zeppelin"].source == "LEANIX_ONLY" and rows["Zeppelin"].leanix_description.startswith("Not documented")
+    run("catalog", *model, "--inventory-json", tmp_path / "inv.json", "--agentic", "--domain", "party", "--output-dir", tmp_path / "ag")
+    assert {r.entity_name for r in spark.read.json(str(tmp_path / "ag/catalog")).collect()} == {"Club", "Referee"}
+    cli.chat(spark, ["who registers players", "/history", "/graph Club", "/reset", "/what", "/exit", "never"], ChunkStore(spark, "p_chunks", "p_hashes").chunks(), cli.Config().query)
+    said = capsys.readouterr().out
+    assert "USER: who registers players" in said and "unknown command /what" in said and "never" not in said
     assert "verdict" in run("coverage", *model, *out, "--gap-analysis", "--handbook-json", tmp_path / "found.json")
     gap = {r.normalized_name: r.status for r in spark.read.json(str(tmp_path / "out/gap")).collect()}
     assert gap == {"club": "MATCHED", "season": "HANDBOOK_ONLY", "referee": "MODEL_ONLY", "zeppelin": "MODEL_ONLY"}
