@@ -235,15 +235,21 @@ def read_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def parse(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Leaf entities and relationships of a diagram: groups, assets, visual domains, edges, subgroups."""
+    """Leaf entities and relationships of a diagram: groups, assets, visual domains, edges, subgroups.
+
+    Each step is written once: its rows are used several times, and document
+    order (``ord``) must be the same in all of them.
+    """
     from docmosaic.operators import spatial
+    from docmosaic.session import materialize
 
-    objects = read_objects(spark, path).withColumn("ord", F.monotonically_increasing_id())
-    cells = read_cells(spark, path)
-    groups = group_cells(objects, cells)
+    objects = materialize(read_objects(spark, path).withColumn("ord", F.monotonically_increasing_id()), "objects")
+    cells = materialize(read_cells(spark, path), "cells")
+    groups = materialize(group_cells(objects, cells), "groups")
     rows = objects.select("ord", *_asset_columns()).where("id is not null and type = 'factSheet' and parent_id is not null")
     labels = group_labels(rows)
     placed = resolve_groups(rows.join(groups.select("id"), "id", "left_anti"), groups.join(labels, "id"))
+    placed = materialize(placed, "placed")
     box = [F.coalesce(c, F.lit(0.0)).alias(a) for c, a in (("x", "x"), ("y", "y"), ("width", "w"), ("height", "h"))]
     # boxes straight on the canvas: the outermost are domains, the rest belong to the one around them
     loose = placed.where("domain = '' and x is not null and y is not null").where(F.col("parent_id") == ROOT_PARENT)
@@ -256,6 +262,7 @@ def parse(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         "id", "ord", "label", "fact_sheet_id", "fact_sheet_type", "subgroup",
         F.coalesce("_domain", "domain").alias("domain"), F.coalesce("_root", "parent_id").alias("parent_id"), *box,
     )
+    assets_ = materialize(assets_, "assets")
     # leaves take the subgroup of the first container box that holds their centre
     holder = spatial.is_container(F.col("w"), F.col("h"))
     held = assets_.where(F.upper("label") != F.upper("domain")).withColumn("group", F.col("parent_id"))
@@ -268,6 +275,7 @@ def parse(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     final = assets_.join(found.join(box_names, "_box"), "id", "left").withColumn(
         "subgroup", F.coalesce("_subgroup", "subgroup")
     ).select("id", "ord", "label", "domain", "subgroup", "fact_sheet_id", "fact_sheet_type")
+    final = materialize(final, "final")
     return leaf_entities(final), relationships(cells, final)
 
 
