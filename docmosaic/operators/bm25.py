@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from docmosaic.functions import fixed
 from docmosaic.functions.text import tokens
-from docmosaic.session import materialize, small_result, small_side
+from docmosaic.session import is_small, materialize, small_result, small_side
 
 
 def query_terms(variants: DataFrame) -> DataFrame:
@@ -42,8 +42,15 @@ def postings(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     )
     # explode_outer: explode would add a filter that tokenises every text once more
     words = counted.select("collection", "chunk_id", "length", F.explode_outer("words").alias("term"))
-    matched = words.join(small_side(vocabulary), "term", "left").where(F.col("known") | (F.col("term") == ""))
-    tf = matched.groupBy("collection", "chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    keys = ["collection", "chunk_id", "length", "term"]
+    wanted = F.col("known") | (F.col("term") == "")
+    if is_small(vocabulary):
+        matched = words.join(F.broadcast(vocabulary), "term", "left").where(wanted)
+        tf = matched.groupBy(*keys).agg(F.count(F.lit(1)).alias("tf"))
+    else:
+        # too many query terms to send around: count first, so that counts and not words are joined
+        counts = words.groupBy(*keys).agg(F.count(F.lit(1)).alias("tf"))
+        tf = counts.join(vocabulary, "term", "left").where(wanted).select(*keys, "tf")
     return materialize(tf, "postings")
 
 

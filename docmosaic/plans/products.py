@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmosaic.functions.embedding import Embedder, embed, hashed_words
@@ -21,10 +21,8 @@ def entity_variants(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """(entity_id, pos, variant): the name first, then its variants in order. The entity's ord is its id."""
     keyed = entities.select(F.col("ord").alias("entity_id"), normalize(F.col("entity_name")).alias("base"))
     found = keyed.join(matching.alias_variants(keyed, aliases), "base")
-    order = F.array_sort(F.collect_list(F.struct((~F.col("is_base")).alias("other"), "variant")))
-    # an entity's variants are its few aliases
-    listed = found.groupBy("entity_id").agg(F.transform(order, lambda s: s.variant).alias("v"))
-    return listed.select("entity_id", F.posexplode("v").alias("pos", "variant"))
+    order = Window.partitionBy("entity_id").orderBy(F.col("is_base").desc(), "variant")
+    return found.select("entity_id", (F.row_number().over(order) - 1).alias("pos"), "variant")
 
 
 def contexts(

@@ -69,10 +69,23 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` provably fits a broadcast: by estimate, else by an exact count."""
+    """True when ``df`` provably fits a broadcast: by estimate, else by counting rows and bytes.
+
+    The count stops at ``max_rows``, so it is cheap on a large input too.
+    """
     if estimated_bytes(df) <= BROADCAST_BYTES:
         return True
-    return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
+
+    def width(name: str, kind: str):
+        if kind == "string":
+            return F.coalesce(F.octet_length(name), F.lit(0))
+        if kind.startswith(("array", "map")):
+            return F.coalesce(F.octet_length(F.to_json(name)), F.lit(0))
+        return F.lit(16)
+
+    sizes = df.select(sum((width(n, k) for n, k in df.dtypes), F.lit(16)).alias("bytes"))
+    rows, size = sizes.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    return rows <= max_rows and (size or 0) <= 4 * BROADCAST_BYTES
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -122,6 +122,18 @@ def test_bm25_against_brute_force(spark):
     assert {(r.variant, r.collection, r.chunk_id): round(r.score, 9) for r in got} == {k: round(s, 9) for k, s in want.items() if s}
 
 
+def test_large_sides_take_the_shuffle_path_with_the_same_result(spark, rows, monkeypatch):
+    from docmosaic import session
+
+    v = _variants(spark, (1, 0, "club players"), (2, 0, "rules"))
+    score = lambda: rows(bm25.chunk_scores(_chunks(spark), v).withColumn("score", F.round("score", 9)))
+    want = score()
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    wide = spark.range(3).select(F.lit("x" * 50).alias("s"), F.array(F.lit(1)).alias("a"))
+    assert not session.is_small(wide)  # no row count can make up for the bytes
+    assert score() == want
+
+
 def test_section_threshold(spark):
     v = _variants(spark, (1, 0, "rules"))
     every = bm25.section_scores(_chunks(spark), v, collections=["s1", "s2", "s3"])
