@@ -9,7 +9,7 @@ from docmosaic.functions.text import collapse, content_hash, normalize
 from docmosaic.operators import matching, ranking
 from docmosaic.plans import catalog, gap, validation
 from docmosaic.queries import query
-from docmosaic.queries.base import collapse_sql, normalize_sql, strip_sql, documents, table
+from docmosaic.queries.base import collapse_sql, documents, normalize_sql, strip_sql, table
 from docmosaic.queries.scalars import RESPONSE
 from docmosaic.session import materialize, spread
 from docmosaic.sources import catalog as collections

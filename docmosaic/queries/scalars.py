@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docmosaic.functions import fixed, markup, parse, predicates, text
 from docmosaic.queries import query
-from docmosaic.queries.base import collapse_sql, normalize_sql, strip_sql, documents, table
+from docmosaic.queries.base import collapse_sql, documents, normalize_sql, strip_sql, table
 
 # Answers to judge: documents, some opened or closed by what the predicates look for.
 # One text for both engines; it only builds the input.

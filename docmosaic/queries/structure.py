@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docmosaic.functions import fixed, markup
+from docmosaic.functions import fixed
 from docmosaic.operators import chunking, ranking, spatial
 from docmosaic.queries import query
-from docmosaic.queries.base import SPACE, collapse_sql, strip_sql, documents, table
+from docmosaic.queries.base import collapse_sql, documents, strip_sql, table
+from docmosaic.session import spread
 from docmosaic.sources import diagram
 
 
@@ -149,7 +150,7 @@ k as (select *, row_number() over (partition by lower(term) order by p_partkey,
 select term, definition from k where r = 1
 """)
 def extract_definitions(spark, d):
-    chunks = table(spark, d, "part").select("p_partkey", F.expr(DEFINED).alias("text"))
+    chunks = spread(table(spark, d, "part"), "p_partkey").select("p_partkey", F.expr(DEFINED).alias("text"))
     return chunking.definitions(chunks, "p_partkey")
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmosaic.functions import fixed
 from docmosaic.functions.markup import cardinality, cardinality_phrase, clean_label, relationship_type
 from docmosaic.functions.predicates import bucket
 from docmosaic.operators.matching import enrich_edges, known_endpoints
