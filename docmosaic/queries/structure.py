@@ -29,7 +29,7 @@ def table_line_classify(spark, d):
     return rows.select("doc_id", "line_no", "line_class", F.length("line").cast("bigint").alias("n"))
 
 
-# Lines are packed to 2048 characters, which no line of the tables exceeds.
+# Lines are packed to 2048 characters; a longer line is cut between words by the same rule.
 @query(f"""
 with recursive {LINES},
 kept as (select doc_id, line, line_class, row_number() over (partition by doc_id order by line_no) as j from classed where line_class <> 'separator'),
@@ -42,13 +42,26 @@ packed(doc_id, run, i, used, piece) as (
   select n.doc_id, n.run, n.i, case when p.used + length(n.line) > 2048 then length(n.line) else p.used + length(n.line) end,
     p.piece + (p.used + length(n.line) > 2048)::int
   from packed p join numbered n on n.doc_id = p.doc_id and n.run = p.run and n.i = p.i + 1),
+long_words as materialized (
+  select doc_id, run, i, unnest(range(len(w))) + 1 as k, unnest(w) as word
+  from (select doc_id, run, i, string_split(line, ' ') as w from numbered where length(line) > 2048)),
+cut(doc_id, run, i, k, used, sub) as (
+  select doc_id, run, i, k, length(word) + 1, 0 from long_words where k = 1
+  union all
+  select w.doc_id, w.run, w.i, w.k, case when c.used + length(w.word) + 1 > 2048 then length(w.word) + 1 else c.used + length(w.word) + 1 end,
+    c.sub + (c.used + length(w.word) + 1 > 2048)::int
+  from cut c join long_words w on w.doc_id = c.doc_id and w.run = c.run and w.i = c.i and w.k = c.k + 1),
 pieces as (
-  select n.doc_id, n.run, p.piece, 'table_row' as content_type, string_agg(line, chr(10) order by n.j) as body
-  from numbered n join packed p on n.doc_id = p.doc_id and n.run = p.run and n.i = p.i group by all
+  select n.doc_id, n.run, p.piece, 0 as sub, 'table_row' as content_type, string_agg(line, chr(10) order by n.j) as body
+  from numbered n join packed p on n.doc_id = p.doc_id and n.run = p.run and n.i = p.i where length(n.line) <= 2048 group by all
+  union all
+  select w.doc_id, w.run, p.piece, c.sub, 'table_row', string_agg(w.word, ' ' order by w.k)
+  from long_words w join cut c on w.doc_id = c.doc_id and w.run = c.run and w.i = c.i and w.k = c.k
+  join packed p on p.doc_id = w.doc_id and p.run = w.run and p.i = w.i group by w.doc_id, w.run, p.piece, c.sub
   union all
-  select doc_id, run, 0, 'prose', {strip_sql("string_agg(line, chr(10) order by j)")} from runs where line_class = 'prose' group by doc_id, run),
+  select doc_id, run, 0, 0, 'prose', {strip_sql("string_agg(line, chr(10) order by j)")} from runs where line_class = 'prose' group by doc_id, run),
 whole as (select * from pieces where body <> '')
-select doc_id, row_number() over (partition by doc_id order by run, piece) - 1 as pos, content_type, md5(body) as body_md5 from whole
+select doc_id, row_number() over (partition by doc_id order by run, piece, sub) - 1 as pos, content_type, md5(body) as body_md5 from whole
 """)
 def table_chunks(spark, d):
     pieces = chunking.table_chunks(_documents(spark, d), 512)
