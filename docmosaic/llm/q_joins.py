@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docmosaic.llm import ngram_join
+from docmosaic.llm import fingerprint, ngram_join
 from docmosaic.llm.base import query
 from docmosaic.llm.common import table
 
@@ -37,3 +37,19 @@ from w left join n using (doc_id) left join member m using (doc_id) left join co
 def op9_ngram_jaccard_join(spark, sf_dir):
     join = ngram_join.NgramJoin(table(spark, sf_dir, "documents"), size=3, least=90)
     return join.members().select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+@query()
+def op10_one_permutation_fingerprints(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = fingerprint.with_fingerprint(docs, "text", "print")
+    both = fingerprint.with_next(own, "doc_id", {"text": "next", "print": "next_print"})
+    chars = F.length("text")
+    third = F.floor(chars / 3).cast("int")
+    edited = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), chars - third), F.substring("next", F.lit(1), third)))
+    return fingerprint.with_fingerprint(edited, "edited", "edited_print").select(
+        "doc_id", chars.cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.hex_of("print").alias("fingerprint"), fingerprint.hex_of("edited_print").alias("edited_fingerprint"),
+        fingerprint.likeness("print", "edited_print").alias("near_edited"),
+        fingerprint.likeness("print", "next_print").alias("near_next"),
+    )
