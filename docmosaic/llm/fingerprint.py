@@ -17,12 +17,13 @@ BINS, PER_LONG = 1 << BIN_BITS, 64 // VALUE_BITS
 #: Start and (odd) stride of the probe sequence of each bin, by a rule.
 _START = [(i * i * 29 + i * 83 + 17) % BINS for i in range(BINS)]
 _STRIDE = [((i * 53 + i * i * 7 + 11) % BINS) | 1 for i in range(BINS)]
-_EARLY = 24
+_EARLY = 12
 ROWS_PER_RANGE, MOST_RANGES = 20_000, 4096
 
 
 def _bin(x: Column) -> Column:
-    return F.shiftrightunsigned(x, 64 - BIN_BITS).cast("int")
+    """The top bits of a hash, so that bins rise with signed hashes."""
+    return F.shiftright(x, 64 - BIN_BITS).cast("int") + F.lit(BINS // 2)
 
 
 def with_fingerprint(docs: DataFrame, text: str, to: str) -> DataFrame:
