@@ -13,7 +13,6 @@ suspected and shuffled, and the exact count still decides, so results never chan
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docmosaic.llm import bloom
 from docmosaic.llm.common import bounded_batches, utf8
 from docmosaic.session import materialize
 
 SPACE = b" \t\n\x0b\x0c\r"
-BITS_PER_LINE = 16
-MOST_BITS = 1 << 31
-SLICE_BITS = 1 << 20
-HASHES = 4
 BROADCAST_KEYS = 2_000_000
 
 
@@ -43,65 +39,6 @@ def _keys(text: bytes, least: int) -> list[bytes]:
     return [x for x in found if len(x) >= least and (least < 2 or len(x.decode()) >= least)]
 
 
-def _places(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    step = (hashes >> np.uint64(32)) | np.uint64(1)
-    for i in range(HASHES):
-        yield (hashes + np.uint64(i) * step) & np.uint64(bits - 1)
-
-
-def _held(filled: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
-    out = np.ones(len(hashes), bool)
-    for at in _places(hashes, bits):
-        out &= (filled[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-    return out
-
-
-def _put(filled: np.ndarray, hashes: np.ndarray, bits: int) -> None:
-    for at in _places(hashes, bits):
-        np.bitwise_or.at(filled, at >> np.uint64(3), (1 << (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-
-
-def _fill(batches: Iterator[pa.RecordBatch], bits: int, least: int) -> Iterator[pa.RecordBatch]:
-    once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-    for batch in batches:
-        seen = [xxhash.xxh3_64_intdigest(k) for x in utf8(batch.column(0)) for k in _keys(x, least)]
-        hashes, counts = np.unique(np.array(seen, dtype=np.uint64), return_counts=True)
-        _put(twice, hashes[(counts > 1) | _held(once, hashes, bits)], bits)
-        _put(once, hashes, bits)
-    size = min(bits, SLICE_BITS) // 8
-    for k in range(len(once) // size):
-        a, b = once[k * size : (k + 1) * size], twice[k * size : (k + 1) * size]
-        if a.any():
-            yield pa.RecordBatch.from_pydict({
-                "slice": pa.array([k]), "once": pa.array([zlib.compress(a.tobytes(), 1)], pa.binary()),
-                "twice": pa.array([zlib.compress(b.tobytes(), 1)], pa.binary()),
-            })
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by slice, one pair of filters in memory at a time."""
-    at, once, twice = None, None, None
-
-    def done():
-        return pa.RecordBatch.from_pydict({
-            "slice": pa.array([at]), "once": pa.array([zlib.compress(once.tobytes(), 1)], pa.binary()),
-            "twice": pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary()),
-        })
-
-    for batch in batches:
-        for k, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-            a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
-            if k != at:
-                if at is not None:
-                    yield done()
-                at, once, twice = k, a.copy(), b.copy()
-            else:
-                twice |= b | (once & a)
-                once |= a
-    if at is not None:
-        yield done()
-
-
 def _suspects(batches: Iterator[pa.RecordBatch], twice, bits: int, least: int) -> Iterator[pa.RecordBatch]:
     """(id, key, line) of the first line of each suspected key in a document."""
     filled = np.frombuffer(twice.value, np.uint8)
@@ -118,7 +55,7 @@ def _suspects(batches: Iterator[pa.RecordBatch], twice, bits: int, least: int) -
                     owners.append(i)
                     numbers.append(n)
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
-        held = np.flatnonzero(_held(filled, hashes, bits))
+        held = np.flatnonzero(bloom.held(filled, hashes, bits))
         owner = pa.array([owners[i] for i in held], pa.int64())
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(names.index(c)).take(owner) for c in ("id", "mark")),
@@ -130,15 +67,12 @@ def _suspects(batches: Iterator[pa.RecordBatch], twice, bits: int, least: int) -
 def _twice(docs: DataFrame, least: int, most_bits: int) -> tuple[bytes, int]:
     """The merged filter of twice-seen lines and its number of bits."""
     lines = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 1
-    bits = min(most_bits, max(1 << 13, 1 << (int(lines) * BITS_PER_LINE - 1).bit_length()))
-    schema = "slice bigint, once binary, twice binary"
-    parts = docs.select("text").mapInArrow(lambda it: _fill(it, bits, least), schema)
-    merged = parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(_merge, schema)
-    size = min(bits, SLICE_BITS) // 8
-    out = bytearray(bits // 8)
-    for row in merged.select("slice", "twice").toLocalIterator():  # at most most_bits / 8 bytes in all
-        out[row["slice"] * size : (row["slice"] + 1) * size] = zlib.decompress(row["twice"])
-    return bytes(out), bits
+    bits = bloom.bits_for(lines, most_bits)
+
+    def hashes(batch: pa.RecordBatch) -> np.ndarray:
+        return np.array([xxhash.xxh3_64_intdigest(k) for x in utf8(batch.column(0)) for k in _keys(x, least)], dtype=np.uint64)
+
+    return bloom.twice_seen(docs.select("text"), hashes, bits), bits
 
 
 def _dropped(text: bytes, drop) -> tuple[bytes, int, int]:
@@ -158,7 +92,7 @@ def _columns(batch: pa.RecordBatch, names: tuple[str, str, str], results: list[t
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2,
-                keep: str = "first", min_chars: int = 1, most_bits: int = MOST_BITS,
+                keep: str = "first", min_chars: int = 1, most_bits: int = bloom.MOST_BITS,
                 broadcast_keys: int = BROADCAST_KEYS, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """``docs`` with repeated lines taken out of the text, and two more columns of counts.
 

@@ -11,9 +11,9 @@
 
 Only components are wanted, so the classes of a posting list need not all meet. First each
 meets its list's leader. Then pairs within a list that are still in different components
-are candidates; as long as those are many (a large group of near copies), further rounds
-with another leader join most of them first. The last round takes all that are left, so no
-link between different components is lost.
+are candidates; as long as those are many (a large group of near copies), rounds with
+four and sixteen leaders join most of them first. The last round takes all that are left,
+so no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -24,9 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmosaic.llm import bloom
 from docmosaic.llm.common import ids_and_texts, utf8
 from docmosaic.llm.components import components
 from docmosaic.llm.shingles import WordHashes, shingle_set
@@ -36,7 +37,7 @@ SKETCH_BITS = 21
 SLICE = 1 << 16
 RANGES = 32
 PAIRS_PER_POSTING = 16
-MOST_LEADER_ROUNDS = 12
+LEADERS = (1, 4, 16)
 
 
 def _digest(found: np.ndarray) -> int:
@@ -162,20 +163,31 @@ class NgramJoin:
         return self.rows.sparkSession.sparkContext.broadcast(bytes(out))
 
     def _shared(self) -> DataFrame:
-        """Postings of shingles that more than one class posts."""
+        """Postings of shingles that more than one class posts. Two Bloom filters keep most others out of the shuffle."""
         size, least, levels = self.size, self.least, self.levels
         posted = materialize(self.rows.where("id is not null").mapInArrow(
             lambda it: _postings(it, size, least, levels), "token bigint, d bigint, n int, pos int"), "postings")
+        bits = bloom.bits_for(posted.count())
+        seen = bloom.twice_seen(posted.select("token"), lambda b: b.column(0).to_numpy().view(np.uint64), bits)
+        shared = self.rows.sparkSession.sparkContext.broadcast(seen)
+
+        def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            filled = np.frombuffer(shared.value, np.uint8)
+            for batch in batches:
+                yield batch.filter(pa.array(bloom.held(filled, batch.column(0).to_numpy().view(np.uint64), bits)))
+
+        posted = materialize(posted.mapInArrow(suspected, posted.schema), "suspected-postings")
         tokens = posted.groupBy("token").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("token")
         return materialize(posted.join(tokens, "token").distinct(), "shared-postings")
 
     def _filtered(self, met: DataFrame) -> DataFrame:
         """(a, an, b, bn) of pairs that may link: ``met`` has (a, an, ap, b, bn, bp) for each shared posting."""
         need = F.ceil(F.lit(self.least) * (F.col("an") + F.col("bn")) / F.lit(100 + self.least))
+        # At the first shingle that a pair shares, no more can be common than what follows in both.
         pairs = (
-            met.where(F.least("an", "bn") * 100 >= F.greatest("an", "bn") * self.least)
-            .groupBy("a", "an", "b", "bn").agg(F.min("ap").alias("ap"), F.min("bp").alias("bp"))
-            .where(F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) >= need)
+            met.where((F.least("an", "bn") * 100 >= F.greatest("an", "bn") * self.least)
+                      & (F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) >= need))
+            .select("a", "an", "b", "bn").distinct()
         )
         side = lambda x: self.classes.select(F.col("d").alias(x), F.col("n").alias(f"{x}n"), F.col("shares").alias(f"{x}s"))
         both = F.aggregate(F.zip_with("as", "bs", lambda p, q: F.least(p, q)), F.lit(0), lambda s, x: s + x)
@@ -196,13 +208,10 @@ class NgramJoin:
 
     def _links(self) -> DataFrame:
         shared = self._shared()
-        seen = links = None
-        for step in range(MOST_LEADER_ROUNDS + 1):
-            label = shared.withColumn("c", F.col("d"))
-            if links is not None:
-                of = components(links).select(F.col("node").alias("d"), F.col("component"))
-                label = shared.join(of, "d", "left").withColumn("c", F.coalesce("component", "d")).drop("component")
-                label = materialize(label, "labelled-postings")
+        nothing = shared.sparkSession.createDataFrame([], "a bigint, b bigint")
+        label = shared.withColumn("c", F.col("d"))
+        seen = links = self.labels = None
+        for leaders in (*LEADERS, None):
             open_ = label.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
             left = materialize(label.join(open_, "token"), "open-postings")
             counts = left.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(
@@ -210,34 +219,36 @@ class NgramJoin:
             sums = counts.agg(F.sum("s").alias("rows"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs")).first()
             if not sums["rows"]:
                 break
-            last = step == MOST_LEADER_ROUNDS or sums["pairs"] <= self.per * sums["rows"]
-            x = left.select("token", F.col("d").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("c").alias("ac"))
-            y = left.select("token", F.col("d").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("c").alias("bc"))
+            last = leaders is None or sums["pairs"] <= self.per * sums["rows"]
+            x, y = (left.select("token", *(F.col(c).alias(p + q) for c, q in (("d", ""), ("n", "n"), ("pos", "p"), ("c", "c"))))
+                    for p in "ab")
             if not last:
-                rank = F.xxhash64("d", F.lit(step))
-                heads = left.groupBy("token").agg(F.min(rank).alias("r"))
-                x = x.join(heads, "token").where(F.xxhash64("a", F.lit(step)) == F.col("r")).drop("r")
+                order = Window.partitionBy("token").orderBy(F.xxhash64("a", F.lit(leaders)))
+                x = x.withColumn("r", F.row_number().over(order)).where(F.col("r") <= leaders).drop("r")
             met = x.join(y, "token").where("ac <> bc" + (" and a < b" if last else ""))
-            low = F.col("a") < F.col("b")
-            met = met.select(*[
-                F.when(low, F.col(p)).otherwise(F.col(q)).alias(p) for p, q in
-                (("a", "b"), ("an", "bn"), ("ap", "bp"), ("b", "a"), ("bn", "an"), ("bp", "ap"))])
             pairs = self._filtered(met)
+            low = F.col("a") < F.col("b")
+            pairs = pairs.select(*[F.when(low, F.col(p)).otherwise(F.col(q)).alias(p) for p, q in
+                                   (("a", "b"), ("an", "bn"), ("b", "a"), ("bn", "an"))]).distinct()
             if seen is not None:
                 pairs = pairs.join(seen, ["a", "b"], "left_anti")
             pairs = materialize(pairs, "pairs")
             found = materialize(self._verified(pairs), "links")
             seen = pairs.select("a", "b") if seen is None else seen.union(pairs.select("a", "b"))
             links = found if links is None else links.union(found)
+            before = nothing if self.labels is None else self.labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            self.labels = components(before.union(found))
             if last:
                 break
-        if links is None:
-            links = self.classes.sparkSession.createDataFrame([], "a bigint, b bigint")
-        return links
+            label = shared.join(self.labels.withColumnRenamed("node", "d"), "d", "left").withColumn(
+                "c", F.coalesce("component", "d")).drop("component")
+            label = materialize(label, "labelled-postings")
+        return nothing if links is None else links
 
     def members(self) -> DataFrame:
         """(id, n_shingles, component): one row per row of the table; a document that links with nothing is its own component."""
-        of = components(self.links).select(F.col("node").alias("d"), F.col("component").alias("c"))
+        of = components(self.links) if self.labels is None else self.labels
+        of = of.select(F.col("node").alias("d"), F.col("component").alias("c"))
         labelled = self.classes.join(of, "d", "left").select("d", "n", "first", F.coalesce("c", "d").alias("c"))
         least = labelled.groupBy("c").agg(F.min("first").alias("component"))
         named = labelled.join(least, "c").select("d", "n", "component")
