@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docmosaic.llm import decontaminate, lines, quality
+from docmosaic.llm import decontaminate, licenses, lines, quality
 from docmosaic.llm.base import query
 from docmosaic.llm.common import fold, table
 
@@ -73,3 +73,47 @@ def op7_two_bloom_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = lines.dedup_lines(docs, min_docs=10, keep="none")
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: Distinct pairs of neighbouring words of a text; a lone word by itself.
+BIGRAMS = """(select case when w = [''] then []::varchar[] when len(w) = 1 then w
+  else list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) end
+  from (select string_split(trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g')), ' ') as w))"""
+_TEMPLATES = ", ".join(
+    f"({_quoted(name)}, {k}, {_quoted(text)})" for name, several in licenses.TEMPLATES.items() for k, text in enumerate(several))
+
+
+@query(rf"""
+with t as (select license, template, list_distinct(b) as b, len(b) as m from (
+    select license, template, {BIGRAMS.format(x='x')} as b from (values {_TEMPLATES}) v(license, template, x))),
+l as (
+  select doc_id, unnest(x) as unit, generate_subscripts(x, 1) - 1 as line
+  from (select doc_id, string_split(text, chr(10)) as x from documents)
+  union all
+  select doc_id, unit, line from (
+    select doc_id, unnest(x) as unit, -generate_subscripts(x, 1) as line
+    from (select doc_id, regexp_split_to_array(text, '
+[	 ]*
+') as x from documents)) where contains(unit, chr(10))),
+u as (select doc_id, line, {BIGRAMS.format(x='unit')} as b from l),
+d as (
+  select doc_id, line, license, max(2.0 * len(list_intersect(u.b, t.b)) / (len(u.b) + m)) as dice
+  from u, t where len(u.b) > 0 and len(u.b) between 2.0 / 3 * m - 1e-9 and 1.5 * m + 1e-9 group by all),
+k as (select * from d where dice >= 0.8),
+g as (
+  select doc_id, count(*) as n_matches, string_agg(distinct license, ',' order by license) as licenses, max(dice) as best_dice
+  from k group by doc_id)
+select doc_id, coalesce(n_matches, 0)::bigint as n_matches, coalesce(licenses, '') as licenses, coalesce(best_dice, 0.0)::double as best_dice
+from documents left join g using (doc_id)
+""")
+def op4_dice_license_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = licenses.scan(docs).groupBy("id").agg(
+        F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("names"), F.max("dice").alias("best"))
+    return docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("id")), "left").select(
+        "doc_id", F.coalesce("n", F.lit(0)).alias("n_matches"), F.coalesce("names", F.lit("")).alias("licenses"),
+        F.coalesce("best", F.lit(0.0)).alias("best_dice"))
