@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import random
 import re
 from collections.abc import Iterator
 from itertools import count
@@ -33,14 +34,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmosaic.llm.common import bounded_batches, in_pieces, uniform, utf8
+from docmosaic.llm.common import bounded_batches, in_pieces, mixed, uniform, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 BLOCK_BYTES = 4 * 1024 * 1024
 _WORD = re.compile(r" *[^ ]+| +")
 _NORMAL, _BYTE, _BPE = 1, 6, 2
-_RUN, _NOISE = 256, 38.0
+_RUN, _NOISE, _RUN_WORDS = 192, 23.0, 16384
+_MASK, _STEP = (1 << 64) - 1, np.uint64(0x9E3779B97F4A7C15)
+
+
+def _U64(values: list[int]) -> np.ndarray:
+    return np.array(values, np.uint64)
 
 
 class Vocabulary:
@@ -95,10 +101,15 @@ class Vocabulary:
             for c in t:
                 at = nodes.setdefault((at, int(self.char_of[ord(c)])), len(nodes) + 1)
             ends[at] = k
-        self.edge_keys = np.array([(a << 21) | c for a, c in nodes], np.int64)
-        order = np.argsort(self.edge_keys)
-        self.edge_keys = self.edge_keys[order]
-        self.edge_to = np.array(list(nodes.values()), np.int32)[order]
+        # an open-addressed table from (node, character) to node
+        size = 1 << (4 * len(nodes) - 1).bit_length()
+        self.shift = np.uint64(64 - size.bit_length() + 1)
+        self.edge_keys, self.edge_to = np.full(size, -1, np.int64), np.full(size, -1, np.int32)
+        keys = np.array([(a << 21) | c for a, c in nodes], np.int64)
+        for key, at, to in zip(keys.tolist(), self._slot(keys).tolist(), nodes.values()):
+            while self.edge_keys[at] >= 0:
+                at = (at + 1) & (size - 1)
+            self.edge_keys[at], self.edge_to[at] = key, to
         self.end = np.full(len(nodes) + 1, -1, np.int32)
         self.end[list(ends)] = list(ends.values())
         self.first = np.full(len(chars) + 1, -1, np.int32)
@@ -106,11 +117,20 @@ class Vocabulary:
             if a == 0:
                 self.first[c] = b
 
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
     def step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
         """The next states; -1 where there is none."""
         key = (state.astype(np.int64) << 21) | char
-        at = np.minimum(np.searchsorted(self.edge_keys, key), len(self.edge_keys) - 1)
-        return np.where(self.edge_keys[at] == key, self.edge_to[at], -1)
+        at = self._slot(key)
+        found = self.edge_keys[at]
+        open_ = np.flatnonzero((found != key) & (found >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.edge_keys) - 1)
+            found[open_] = self.edge_keys[at[open_]]
+            open_ = open_[(found[open_] != key[open_]) & (found[open_] >= 0)]
+        return np.where(found == key, self.edge_to[at], -1)
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of a row of piece numbers (still with the prefix)."""
@@ -199,7 +219,7 @@ class Lattice:
             total = np.add.reduceat(share, heads)
             rest[nodes] = top + np.log(total)
             self.q[e] = share / np.repeat(total, k)
-        self.log_q = np.log(np.maximum(self.q, 1e-300))
+        self.log_q = np.minimum(np.log(np.maximum(self.q, 1e-300)), 0.0)
 
     def choose(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node, by its probability."""
@@ -212,33 +232,54 @@ class Lattice:
             going = going[(u[going] > self.q[e[going]]) & (e[going] < last[going])]
         return e
 
+    def choose_one(self, node: int, u: float) -> int:
+        e, last = int(self.off[node]), int(self.off[node + 1]) - 1
+        while e < last and u > self.q[e]:
+            u -= self.q[e]
+            e += 1
+        return e
+
 
 class _Walk:
     """One fresh path through every word of a block: edges in text order; ``at[i]`` is where word i begins."""
 
     def __init__(self, lattice: Lattice, word: np.ndarray, place: np.ndarray, seed: np.ndarray, salt: int):
+        parts = [self._part(lattice, word[i : i + _RUN_WORDS], place[i : i + _RUN_WORDS], seed[i : i + _RUN_WORDS], salt)
+                 for i in range(0, len(word), _RUN_WORDS)]
+        taken = [x for x, _ in parts] or [np.zeros(0, np.int64)]
+        self.at = np.concatenate([[0], np.cumsum(np.concatenate(taken))])
+        self.edge = np.concatenate([x for _, x in parts] or [np.zeros(0, np.int64)])
+
+    @staticmethod
+    def _part(lattice: Lattice, word: np.ndarray, place: np.ndarray, seed: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of each word, and all their edges; few enough words for the caches of a processor."""
         n = len(word)
-        size = lattice.start[word + 1] - lattice.start[word]
+        start = lattice.start[word]
+        size = lattice.start[word + 1] - start
         active, k, taken = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
         steps = []
         while len(active):
             inner = k[active]
-            e = lattice.choose(lattice.start[word[active]] + inner, uniform(_counter(seed[active], place[active] + inner, salt)))
+            e = lattice.choose(start[active] + inner, uniform(_counter(seed[active], place[active] + inner, salt)))
             steps.append((active, e, taken[active].copy()))
             taken[active] += 1
             k[active] += lattice.len[e]
             active = active[k[active] < size[active]]
-        self.at = np.concatenate([[0], np.cumsum(taken)])
-        self.edge = np.empty(self.at[-1], np.int64)
+        at = np.cumsum(taken) - taken
+        edge = np.empty(int(taken.sum()), np.int64)
         for rows, e, t in steps:
-            self.edge[self.at[rows] + t] = e
+            edge[at[rows] + t] = e
+        return taken, edge
 
 
 def _counter(seed, place, salt: int):
     """A number for each (row, place in the text, purpose)."""
-    with np.errstate(over="ignore"):
-        return (np.asarray(seed, np.uint64) + np.asarray(place, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                + np.uint64(salt) * np.uint64(0xD1B54A32D192ED03))
+    return (np.asarray(place).astype(np.uint64) * _STEP) + (np.asarray(seed, np.uint64) + _U64([salt * 0xD1B54A32D192ED03 & _MASK]))
+
+
+def _exponential(x: np.ndarray) -> np.ndarray:
+    """Exponential variables from 32 bits of hashed counters: at least exp(-NOISE)."""
+    return -np.log(((mixed(x) >> np.uint64(32)).astype(np.float64) + 0.5) * 2.0**-32)
 
 
 def _below(phi, top, e):
@@ -248,43 +289,47 @@ def _below(phi, top, e):
 
 def search(lattice: Lattice, walks: list[_Walk], first: int, last: int, seed: int, k: int) -> list[tuple[np.ndarray, float, float, float]]:
     """The k best perturbed paths through words first..last-1: (edges, log-probability, perturbed value, inclusion)."""
-    draws = count()
-    one = lambda: float(uniform(_counter([seed], [next(draws)], 255))[0])
+    bits = random.Random(seed).getrandbits
+    one = lambda: (bits(53) + 0.5) * 2.0**-53
     out: list[tuple[np.ndarray, float, float]] = []
     queue: list = []
     order = count()
     fresh = lambda s, word: walks[s].edge[walks[s].at[word] : walks[s].at[last]]
 
-    def emit(head: np.ndarray, base: float, tail: np.ndarray, tail_word: np.ndarray, value: float, s: int) -> None:
-        """A complete path: ``head`` is settled, with log-probability ``base``; siblings along ``tail`` join the queue."""
+    def emit(head: np.ndarray, base: float, tail: np.ndarray, inner: int, word: int, value: float, s: int) -> None:
+        """A complete path: ``head`` is settled, with log-probability ``base``; siblings along ``tail`` join the queue.
+
+        The first ``inner`` edges of ``tail`` belong to ``word``, the others follow walk ``s``.
+        """
         steps = lattice.log_q[tail]
         before = base + np.cumsum(steps) - steps
         path = np.concatenate([head, tail])
         out.append((path, base + float(steps.sum()), value))
         if not len(tail):
             return
-        # No uniform number lies so near 1 that a key exceeds its location by NOISE; the location
-        # falls along the path, so behind the place where k keys beat it there is nothing to find.
+        # No key exceeds its location by NOISE, and locations fall along the path: behind the place
+        # where as many keys as are still wanted beat that, there is nothing to find.
+        wanted = k - len(out) + 1
         least = -math.inf
         for lo in range(0, len(tail), _RUN):
             if before[lo] + _NOISE < least:
                 break
             part = tail[lo : lo + _RUN]
             with np.errstate(divide="ignore"):
-                phi = before[lo : lo + _RUN] + np.log1p(-np.minimum(lattice.q[part], 1.0))
-            noise = -np.log(uniform(_counter(seed, np.arange(len(head) + lo, len(head) + lo + len(part)), 16 + s)))
+                phi = before[lo : lo + _RUN] + np.log1p(-np.exp(steps[lo : lo + _RUN]))
+            noise = _exponential(_counter(seed, np.arange(len(head) + lo, len(head) + lo + len(part)), 16 + s))
             keys = np.where(phi > -1e290, _below(phi, value, noise), -np.inf)
-            best = np.argpartition(-keys, k)[:k] if len(keys) > k else np.arange(len(keys))
+            best = np.argpartition(-keys, wanted)[:wanted] if len(keys) > wanted else np.arange(len(keys))
             for j in best.tolist():
                 if keys[j] > -np.inf:
                     at = lo + j
-                    heapq.heappush(queue, (-keys[j], next(order), path, len(head) + at, float(before[at]), (int(tail[at]),), tail_word[at]))
-            if len(queue) >= k:
-                least = -heapq.nsmallest(k, queue)[-1][0]
+                    of = word if at < inner else int(np.searchsorted(walks[s].at, walks[s].at[last] - len(tail) + at, "right")) - 1
+                    heapq.heappush(queue, (-keys[j], next(order), path, len(head) + at, float(before[at]), (int(tail[at]),), of))
+            if len(queue) >= wanted:
+                least = -heapq.nsmallest(wanted, queue)[-1][0]
 
     tail = fresh(0, first)
-    words = np.repeat(np.arange(first, last), np.diff(walks[0].at[first : last + 1]))
-    emit(tail[:0], 0.0, tail, words, -math.log(-math.log(one())), 0)
+    emit(tail[:0], 0.0, tail, 0, first, -math.log(-math.log(one())), 0)
     while queue and len(out) < k:
         key, _, path, j, before, gone, word = heapq.heappop(queue)
         node = int(np.searchsorted(lattice.off, gone[0], "right")) - 1
@@ -299,11 +344,10 @@ def search(lattice: Lattice, walks: list[_Walk], first: int, last: int, seed: in
         at, end = node + int(lattice.len[e]), int(lattice.start[np.searchsorted(lattice.start, node, "right")])
         inner = []
         while at < end:  # the rest of the word where the paths part
-            inner.append(int(lattice.choose(np.array([at]), np.array([one()]))[0]))
+            inner.append(lattice.choose_one(at, one()))
             at += int(lattice.len[inner[-1]])
         tail = np.concatenate([np.array(inner, np.int64), fresh(s, word + 1)])
-        words = np.concatenate([np.full(len(inner), word), np.repeat(np.arange(word + 1, last), np.diff(walks[s].at[word + 1 : last + 1]))])
-        emit(np.concatenate([path[:j], [e]]), before + float(lattice.log_q[e]), tail, words, -key, s)
+        emit(np.concatenate([path[:j], [e]]), before + float(lattice.log_q[e]), tail, len(inner), word, -key, s)
     limit = -queue[0][0] if queue else -math.inf
     return [(p, lp, g, 1.0 if limit == -math.inf else -math.expm1(-math.exp(min(lp - limit, 700.0)))) for p, lp, g in out]
 
