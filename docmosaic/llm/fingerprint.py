@@ -91,12 +91,13 @@ def likeness(a: str, b: str) -> Column:
     return F.greatest(F.lit(0.0), (share - chance) / (1 - chance))
 
 
-def with_next(docs: DataFrame, order: str, carried: dict[str, str]) -> DataFrame:
+def with_next(docs: DataFrame, order: str, carried: dict[str, str], prepare=lambda rows: rows) -> DataFrame:
     """``docs`` with columns of the row that follows by falling ``order``; the first follows the last.
 
     Rows without a value of ``order`` come last; ties follow each other by a hash of ``text``.
     The rows are dealt by ranges of ``order`` (bounds from approximate quantiles), and each
-    range gets a guard: a copy of the row that comes after its own last one.
+    range gets a guard: a copy of the row that comes after its own last one. ``prepare`` makes
+    columns to carry that a row has by itself.
     """
     spark = docs.sparkSession
     rows = docs.count()
@@ -113,7 +114,7 @@ def with_next(docs: DataFrame, order: str, carried: dict[str, str]) -> DataFrame
     places = F.broadcast(spark.createDataFrame(guards, f"__o {kind}, __t bigint, __to int"))
     guard = keyed.join(places, F.col(order).eqNullSafe(F.col("__o")) & (F.col("__tie") == F.col("__t"))).withColumn(
         "__part", F.col("__to")).drop("__o", "__t", "__to")
-    both = keyed.withColumn("__guard", F.lit(0)).unionByName(guard.withColumn("__guard", F.lit(1)))
+    both = prepare(keyed.withColumn("__guard", F.lit(0))).unionByName(prepare(guard.withColumn("__guard", F.lit(1))))
     window = Window.partitionBy("__part").orderBy("__guard", F.col(order).desc_nulls_last(), F.col("__tie").desc())
     out = both.withColumns({to: F.lead(c).over(window) for c, to in carried.items()})
     return out.where("__guard = 0").drop("__part", "__tie", "__guard")

@@ -42,8 +42,8 @@ def op9_ngram_jaccard_join(spark, sf_dir):
 @query()
 def op10_one_permutation_fingerprints(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = fingerprint.with_fingerprint(docs, "text", "print")
-    both = fingerprint.with_next(own, "doc_id", {"text": "next", "print": "next_print"})
+    both = fingerprint.with_next(
+        docs, "doc_id", {"text": "next", "print": "next_print"}, lambda rows: fingerprint.with_fingerprint(rows, "text", "print"))
     chars = F.length("text")
     third = F.floor(chars / 3).cast("int")
     edited = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), chars - third), F.substring("next", F.lit(1), third)))
