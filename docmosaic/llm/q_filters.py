@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docmosaic.llm import decontaminate, licenses, lines, quality
+from docmosaic.llm import decontaminate, licenses, lines, quality, toxicity
 from docmosaic.llm.base import query
 from docmosaic.llm.common import fold, table
 
@@ -117,3 +117,13 @@ def op4_dice_license_scan(spark, sf_dir):
     return docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("id")), "left").select(
         "doc_id", F.coalesce("n", F.lit(0)).alias("n_matches"), F.coalesce("names", F.lit("")).alias("licenses"),
         F.coalesce("best", F.lit(0.0)).alias("best_dice"))
+
+
+@query()
+def op2_clause_grammar_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        F.col("id").alias("doc_id"), (fold("id") == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
