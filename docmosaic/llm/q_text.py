@@ -6,9 +6,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from docmosaic.llm import chat, pieces
+from docmosaic.llm import chat, kneser_ney, pieces
 from docmosaic.llm.base import query
-from docmosaic.llm.common import table
+from docmosaic.llm.common import fold, table
 
 
 @query()
@@ -47,3 +47,15 @@ def op3_offset_aligned_chat(spark, sf_dir):
         F.length("learned").cast("bigint").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
     )
+
+
+@query()
+def op8_kneser_ney_perplexity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(fold() == 1, F.lit(False))
+    model = kneser_ney.fit(docs.where(~held))
+    return kneser_ney.score(docs, model).select(
+        F.col("id").alias("doc_id"), F.coalesce(fold("id") == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
+    )
