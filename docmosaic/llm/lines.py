@@ -126,7 +126,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         .where(F.col("n") >= min_docs).drop("n"), "repeated-lines"
     )
     out = docs.withColumns({
-        text_col: F.coalesce(F.col(text_col), F.lit("")), n_lines: F.lit(0).cast("bigint"), n_dropped: F.lit(0).cast("bigint"),
+        "__mark": F.xxhash64(text_col), text_col: F.coalesce(F.col(text_col), F.lit("")), n_lines: F.lit(0).cast("bigint"), n_dropped: F.lit(0).cast("bigint"),
     })
     names = (text_col, n_lines, n_dropped)
     if confirmed.count() <= broadcast_keys:
@@ -134,7 +134,6 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             xxhash.xxh3_128_digest(r["key"].encode()): (r["id"], r["mark"], r["line"]) if first else None
             for r in confirmed.select("key", *["first.*"] * first).toLocalIterator()
         })
-        marked = out.withColumn("__mark", F.xxhash64(docs[text_col])) if first else out
 
         def apply(batches):
             known = digests.value
@@ -150,7 +149,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                     results.append(_dropped(text, drop))
                 yield _columns(batch, names, results)
 
-        return marked.mapInArrow(apply, marked.schema).drop("__mark")
+        return out.mapInArrow(apply, out.schema).drop("__mark")
     # Many keys: the keys to drop of each document meet it by id and a hash of its text.
     stays = F.when(F.col("c.first").eqNullSafe(F.struct("s.id", "s.mark", "s.line")), F.col("s.line")) if first else F.lit(None)
     gone = (
@@ -160,8 +159,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         ).alias("k"))
         .groupBy("__id", "__mark").agg(F.collect_set("k").alias("__gone"))
     )
-    left = out.withColumn("__mark", F.xxhash64(docs[text_col]))
-    joined = left.join(
+    joined = out.join(
         gone.withColumnRenamed("__mark", "__gmark"),
         F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__gmark")), "left",
     ).drop("__id", "__gmark", "__mark")
