@@ -10,9 +10,9 @@
 4. A pair is verified once, on the whole sets, by a join.
 
 Only components are wanted, so the classes of a posting list need not all meet. First each
-meets its list's leader. Then pairs within a list that are still in different components
-are candidates; as long as those are many (a large group of near copies), rounds with
-four and sixteen leaders join most of them first. The last round takes all that are left,
+meets two leaders of its list. Then pairs within a list that are still in different components
+are candidates; as long as those are many (a large group of near copies), a round with
+sixteen leaders joins most of them first. The last round takes all that are left,
 so no link between different components is lost.
 """
 
@@ -37,7 +37,7 @@ SKETCH_BITS = 21
 SLICE = 1 << 16
 RANGES = 32
 PAIRS_PER_POSTING = 16
-LEADERS = (1, 4, 16)
+LEADERS = (2, 16)
 
 
 def _digest(found: np.ndarray) -> int:
@@ -199,18 +199,19 @@ class NgramJoin:
         wanted = materialize(self.classes.join(ends, ["d", "n"], "left_semi").select(F.col("first").alias("id")).distinct(), "to-verify")
         size = self.size
         texts = self.rows.join(wanted, "id", "left_semi")
-        sets = materialize(texts.mapInArrow(lambda it: _sets(it, size), "d bigint, shingles array<bigint>")
-                           .dropDuplicates(["d"]), "sets")
+        sets = materialize(texts.mapInArrow(lambda it: _sets(it, size), "d bigint, shingles array<bigint>"), "sets")
         of = lambda x: sets.select(F.col("d").alias(x), F.col("shingles").alias(f"{x}s"))
         common = F.size(F.array_intersect("as", "bs"))
         union = F.size("as") + F.size("bs") - common
-        return pairs.join(of("a"), "a").join(of("b"), "b").where(common * 100 >= union * self.least).select("a", "b")
+        # the same plan at every size: sets go to pairs, whose number follows the number of similar texts
+        both = pairs.hint("merge").join(of("a"), "a").hint("merge").join(of("b"), "b")
+        return both.where(common * 100 >= union * self.least).select("a", "b")
 
     def _links(self) -> DataFrame:
         shared = self._shared()
         nothing = shared.sparkSession.createDataFrame([], "a bigint, b bigint")
         label = shared.withColumn("c", F.col("d"))
-        seen = links = self.labels = None
+        seen = links = None
         for leaders in (*LEADERS, None):
             open_ = label.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
             left = materialize(label.join(open_, "token"), "open-postings")
@@ -236,19 +237,16 @@ class NgramJoin:
             found = materialize(self._verified(pairs), "links")
             seen = pairs.select("a", "b") if seen is None else seen.union(pairs.select("a", "b"))
             links = found if links is None else links.union(found)
-            before = nothing if self.labels is None else self.labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            self.labels = components(before.union(found))
             if last:
                 break
-            label = shared.join(self.labels.withColumnRenamed("node", "d"), "d", "left").withColumn(
+            label = shared.join(components(links, 2).withColumnRenamed("node", "d"), "d", "left").withColumn(
                 "c", F.coalesce("component", "d")).drop("component")
             label = materialize(label, "labelled-postings")
         return nothing if links is None else links
 
     def members(self) -> DataFrame:
         """(id, n_shingles, component): one row per row of the table; a document that links with nothing is its own component."""
-        of = components(self.links) if self.labels is None else self.labels
-        of = of.select(F.col("node").alias("d"), F.col("component").alias("c"))
+        of = components(self.links).select(F.col("node").alias("d"), F.col("component").alias("c"))
         labelled = self.classes.join(of, "d", "left").select("d", "n", "first", F.coalesce("c", "d").alias("c"))
         least = labelled.groupBy("c").agg(F.min("first").alias("component"))
         named = labelled.join(least, "c").select("d", "n", "component")
