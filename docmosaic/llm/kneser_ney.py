@@ -237,7 +237,7 @@ class _Numbers:
 
     def of(self, tokens: list[bytes]) -> np.ndarray:
         new = list({t for t in tokens if t not in self.known})
-        if len(self.known) + len(new) > 1_500_000:
+        if len(self.known) + len(new) > 500_000:
             self.known = {}
             new = list(set(tokens))
         found = self.model.numbers(np.fromiter(map(self.hashes.__getitem__, new), np.uint64, len(new)))

@@ -38,7 +38,7 @@ from docmosaic.llm.common import bounded_batches, in_pieces, mixed, uniform, utf
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
-BLOCK_BYTES = 4 * 1024 * 1024
+BLOCK_BYTES = 3 * 1024 * 1024
 _WORD = re.compile(r" *[^ ]+| +")
 _NORMAL, _BYTE, _BPE = 1, 6, 2
 _RUN, _NOISE, _RUN_WORDS = 192, 23.0, 16384
@@ -140,7 +140,7 @@ class Vocabulary:
 
 def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], ..., starts[0] + sizes[0] - 1, starts[1], ..."""
-    ends = np.cumsum(sizes)
+    ends = np.cumsum(sizes, dtype=np.int64)
     return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
@@ -188,13 +188,14 @@ class Lattice:
         for p, k, end, slot in found:
             e = self.off[p] + slot
             self.len[e], piece[e] = k, end
-        node = np.repeat(np.arange(n), counts)
+        del found, at, state, single, char
+        node = np.repeat(np.arange(n, dtype=np.int32), counts)
         spelled = [chr(c).encode("utf-8", "surrogatepass") for c in code[lone].tolist()]
         wide = np.array([len(x) for x in spelled], np.int64)
         bytes_at = len(v.ids) + np.concatenate([[0], np.cumsum(wide)])
         spelled_ids = v.byte_ids[np.frombuffer(b"".join(spelled), np.uint8)]
         self.ids = np.concatenate([v.ids, spelled_ids]).astype(np.int32)
-        self.id_at, self.id_n = piece.astype(np.int64), np.ones(m, np.int64)
+        self.id_at, self.id_n = piece.copy(), np.ones(m, np.uint8)
         plain = np.flatnonzero(piece < 0)  # in the order of the characters, as in ``lone``
         self.id_at[plain], self.id_n[plain] = bytes_at[:-1], wide
         log_p = v.log_p[np.maximum(piece, 0)]
@@ -219,7 +220,6 @@ class Lattice:
             total = np.add.reduceat(share, heads)
             rest[nodes] = top + np.log(total)
             self.q[e] = share / np.repeat(total, k)
-        self.log_q = np.minimum(np.log(np.maximum(self.q, 1e-300)), 0.0)
 
     def choose(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node, by its probability."""
@@ -301,7 +301,7 @@ def search(lattice: Lattice, walks: list[_Walk], first: int, last: int, seed: in
 
         The first ``inner`` edges of ``tail`` belong to ``word``, the others follow walk ``s``.
         """
-        steps = lattice.log_q[tail]
+        steps = np.minimum(np.log(np.maximum(lattice.q[tail], 1e-300)), 0.0)
         before = base + np.cumsum(steps) - steps
         path = np.concatenate([head, tail])
         out.append((path, base + float(steps.sum()), value))
@@ -347,7 +347,7 @@ def search(lattice: Lattice, walks: list[_Walk], first: int, last: int, seed: in
             inner.append(lattice.choose_one(at, one()))
             at += int(lattice.len[inner[-1]])
         tail = np.concatenate([np.array(inner, np.int64), fresh(s, word + 1)])
-        emit(np.concatenate([path[:j], [e]]), before + float(lattice.log_q[e]), tail, len(inner), word, -key, s)
+        emit(np.concatenate([path[:j], [e]]), before + math.log(max(float(lattice.q[e]), 1e-300)), tail, len(inner), word, -key, s)
     limit = -queue[0][0] if queue else -math.inf
     return [(p, lp, g, 1.0 if limit == -math.inf else -math.expm1(-math.exp(min(lp - limit, 700.0)))) for p, lp, g in out]
 

@@ -7,7 +7,7 @@ import xxhash
 
 from docmosaic.llm.common import mixed
 
-_CACHE = 1_000_000
+_CACHE = 300_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

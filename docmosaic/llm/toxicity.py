@@ -99,7 +99,7 @@ class Symbols(dict):
         self.stems = {t[:-1]: w for t, w in lexicon.items() if t.endswith("*")}
 
     def __missing__(self, token: str):
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         if token in _BREAKS:
             found = None
