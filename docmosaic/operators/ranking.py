@@ -13,32 +13,28 @@ from pyspark.sql import functions as F
 
 from docmosaic.functions import fixed
 from docmosaic.functions.text import preview, strip
-from docmosaic.session import estimated_bytes
 
 
 def score_order(score: str = "score", key: str = "chunk_id") -> list[Column]:
     return [F.round(F.col(score), 9).desc(), F.col(key).asc()]
 
 
-# Inputs beyond this estimated size are ranked in two steps.
-LARGE_BYTES = 64 * 1024**3
-SALTS = 256
-
-
-def top_k(df: DataFrame, keys: list[str], k: int, order: list[Column], rank: str = "rank") -> DataFrame:
+def top_k(
+    df: DataFrame, keys: list[str], k: int, order: list[Column], rank: str = "rank", salt: Column | None = None
+) -> DataFrame:
     """First ``k`` rows per group with their 1-based rank.
 
-    Every task hands on at most ``k`` rows per group. On a large input even
-    those add up for a hot group, so they are first cut down within salted
-    parts of the group; the best of the parts hold the best of the whole.
+    Every task hands on at most ``k`` rows per group. Where even those add up for a
+    hot group, ``salt`` (a number with few values) has them cut down within parts of
+    the group first; the best of the parts hold the best of the whole.
     """
 
     def cut(rows: DataFrame, by: list[str], name: str) -> DataFrame:
         w = Window.partitionBy(*by).orderBy(*order)
         return rows.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
-    if estimated_bytes(df) > LARGE_BYTES:
-        df = cut(df.withColumn("_salt", F.spark_partition_id() % SALTS), [*keys, "_salt"], "_part").drop("_salt", "_part")
+    if salt is not None:
+        df = cut(df.withColumn("_salt", salt), [*keys, "_salt"], "_part").drop("_salt", "_part")
     return cut(df, keys, rank)
 
 

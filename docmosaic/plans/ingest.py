@@ -83,6 +83,14 @@ def to_chunks(docs: DataFrame, settings: ChunkSettings, metadata: dict[str, str]
     )
 
 
+def _sections(docs: DataFrame, prefix: str) -> DataFrame:
+    """Numbered sections as collections of their own; a document without any stays whole, under the prefix."""
+    docs = materialize(docs.select("path", "text"), "documents")
+    parts = materialize(split_numbered_sections(docs, "path", prefix).select("collection", "path", "text"), "sections")
+    whole = docs.join(parts.select("path").distinct(), "path", "left_anti")
+    return parts.unionByName(whole.select(F.lit(prefix).alias("collection"), "path", "text"))
+
+
 def ingest(spark: SparkSession, config: IngestConfig, store: ChunkStore, model: Embedder = hashed_words, parsers=None) -> int:
     """Ingest the changed files of a config; returns the number of chunks written (0 when nothing changed).
 
@@ -91,37 +99,56 @@ def ingest(spark: SparkSession, config: IngestConfig, store: ChunkStore, model:
     if not config.file_paths or not (config.collection_name or config.collection_prefix):
         raise ValueError("an ingest config needs file_paths and a collection_name or collection_prefix")
     name = config.collection_name or config.collection_prefix
-    found, _ = documents.resolve_paths(config.file_paths)
+    found, _ = documents.resolve_paths(config.file_paths, spark.conf.get(documents.FOLDER_SETTING, None))
     if not found:
         raise ValueError(f"no documents found for {name}")
     files = materialize(hashes.listing(spark, name, found), "files")
+    key = lambda c: F.regexp_replace(F.col(c), "^file:/+", "/")
+    # a listing leaves out files without a byte: those that had some are recorded and not listed
+    mine = store.ledger().where(F.col("collection") == name).withColumn("path", key("file_path"))
+    emptied = mine.where(F.col("path").isin(found)).join(files.select(key("file_path").alias("path")), "path", "left_anti")
     todo = files if config.rebuild else hashes.changed(files, store.ledger())
-    if config.preprocessor in READERS:
+    todo = materialize(todo.unionByName(emptied.select("collection", "file_path", F.lit(None).cast("string").alias("hash"))), "changed-files")
+    # only the changed files are read; the list is no longer than the config's own
+    found = [r["file_path"].removeprefix("file:") for r in todo.where("hash is not null").select("file_path").distinct().sort("file_path").collect()]
+    if todo.isEmpty():
+        return 0
+    if not found:
+        docs = spark.createDataFrame([], documents.SCHEMA)
+    elif config.preprocessor in READERS:
         docs = READERS[config.preprocessor](spark, found)
     else:
         docs = get_preprocessor(config.preprocessor)(documents.read_documents(spark, found, parsers))
-    key = lambda c: F.regexp_replace(F.col(c), "^file:/+", "/")
     docs = docs.withColumn("path", key("path")).join(todo.select(key("file_path").alias("path")), "path", "left_semi")
     if config.collection_prefix and "suffix" in docs.columns:
         docs = docs.withColumn("collection", F.concat(F.lit(f"{config.collection_prefix}_"), "suffix"))
     elif config.collection_prefix and not config.collection_name:
-        docs = split_numbered_sections(docs, "path", config.collection_prefix).select("collection", "path", "text")
+        docs = _sections(docs, config.collection_prefix)
     else:
         docs = docs.select(F.lit(name).alias("collection"), "path", "text")
     rows = materialize(to_chunks(docs, config.chunking, config.metadata, model), "chunks")
     n = rows.count()
-    if n == 0:
-        return 0
-    if not config.rebuild:
+    own = store.chunks().where((F.col("collection") == name) | F.startswith("collection", F.lit(f"{name}_")))
+    # a collection with files of its own in the ledger belongs to another config
+    others = store.ledger().where(F.col("collection") != name).select("collection").distinct()
+    own = own.join(others, "collection", "left_anti")
+    if config.rebuild:
+        # collections that this config's files, now or before, had given and give no longer
+        known = files.select("file_path").union(store.ledger().where(F.col("collection") == name).select("file_path"))
+        had = own.join(known.select(key("file_path").alias("doc_id")).distinct(), "doc_id", "left_semi").select("collection").distinct()
+        for left in had.join(rows.select("collection").distinct(), "collection", "left_anti").collect():
+            store.drop(left.collection, ledger=False)
+    else:
         # of the collections that had or get chunks of the changed files, the other files' chunks stay
-        ids = rows.select("doc_id").distinct()
-        had = store.chunks().join(ids, "doc_id", "left_semi").select("collection")
+        ids = todo.select(key("file_path").alias("doc_id")).distinct()
+        had = own.join(ids, "doc_id", "left_semi").select("collection")
         touched = materialize(rows.select("collection").unionByName(had).distinct(), "touched")
         kept = store.chunks().join(touched, "collection", "left_semi").join(ids, "doc_id", "left_anti")
         rows = materialize(rows.unionByName(kept.select(*rows.columns)), "chunks")
         for left in touched.join(rows.select("collection").distinct(), "collection", "left_anti").collect():
-            store.drop(left.collection)
-    store.write(rows, rebuild=True)
+            store.drop(left.collection, ledger=False)
+    if not rows.isEmpty():
+        store.write(rows, rebuild=True)
     store.record(todo)
     return n
 

@@ -59,7 +59,7 @@ def _aliases(spark, d):
 TERMS = """
 terms as (
   select c_custkey as ord, '  ' || upper(c_name) || ' ' as term, 'any holder in segment ' || c_mktsegment as definition from customer where c_acctbal > 5000
-  union all select 1000000000000 + c_custkey, 'Acct ' || c_custkey, 'an account' from customer where c_acctbal between 2000 and 5000
+  union all select 1000000000000 + c_custkey, 'Acct ' || c_custkey, 'an account' from customer where c_acctbal <= 5000
   union all select 2000000000000 + n_nationkey, 'Group ' || n_nationkey, 'the group of ' || n_name from nation
   union all select 3000000000000 + s_suppkey, s_name, 'a supplier' from supplier)"""
 
@@ -68,7 +68,7 @@ def _terms(spark, d):
     t = lambda n: table(spark, d, n)
     parts = [
         t("customer").where("c_acctbal > 5000").selectExpr("c_custkey as ord", "'  ' || upper(c_name) || ' ' as term", "'any holder in segment ' || c_mktsegment as definition"),
-        t("customer").where("c_acctbal between 2000 and 5000").selectExpr("1000000000000 + c_custkey as ord", "'Acct ' || c_custkey as term", "'an account' as definition"),
+        t("customer").where("c_acctbal <= 5000").selectExpr("1000000000000 + c_custkey as ord", "'Acct ' || c_custkey as term", "'an account' as definition"),
         t("nation").selectExpr("2000000000000 + n_nationkey as ord", "'Group ' || n_nationkey as term", "'the group of ' || n_name as definition"),
         t("supplier").selectExpr("3000000000000 + s_suppkey as ord", "s_name as term", "'a supplier' as definition"),
     ]
@@ -98,11 +98,11 @@ GOVERNED = "case lang when 'en' then 'Not documented in this part' when 'de' the
 CONTEXTS = f"""
 contexts as (
   select {normalize_sql('c_name')} as entity_key, {RESPONSE} as formal_definition, source as domain_context, {GOVERNED} as governance_rules
-  from documents join customer on doc_id = c_custkey where n_chars < 3000)"""
+  from documents join customer on doc_id = c_custkey)"""
 
 
 def _contexts(spark, d):
-    rows = documents(spark, d).where("n_chars < 3000").join(
+    rows = documents(spark, d).join(
         table(spark, d, "customer"), F.col("doc_id") == F.col("c_custkey")
     )
     rest = [F.lit("").alias(c) for c in catalog.CONTEXT if c not in ("formal_definition", "domain_context", "governance_rules")]
@@ -460,7 +460,6 @@ NAMES = f"""
 model_names as (select c_custkey as ord, c_name as name from customer where c_acctbal > 0),
 found_names as (
   select o_orderkey as ord, '  ' || upper(c_name) || '  ' as name from orders join customer on o_custkey = c_custkey
-  where o_orderpriority = '1-URGENT' and o_orderstatus = 'F'
   union all select 1000000000000 + s_suppkey, s_name from supplier),
 mk as (select {normalize_sql('name')} as k, arg_max(name, ord) as name from model_names group by 1),
 fk as (select {normalize_sql('name')} as k, arg_max(name, ord) as name from found_names group by 1),
@@ -473,7 +472,7 @@ gap as (
 def _names(spark, d):
     customers = table(spark, d, "customer")
     model = customers.where("c_acctbal > 0").selectExpr("c_custkey as ord", "c_name as name")
-    orders = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")
+    orders = table(spark, d, "orders")
     found = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).selectExpr(
         "o_orderkey as ord", "'  ' || upper(c_name) || '  ' as entity_name", "cast(null as string) as term"
     )

@@ -293,5 +293,11 @@ def read_relationships(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Relationships of all model documents, and of relationship lists, that the paths (globs) name."""
     docs = spark.read.option("multiLine", True).json(paths)
     if "relationships" in docs.columns:
-        docs = docs.select(F.explode("relationships").alias("r")).select("r.*")
+        inside = docs.select(F.explode("relationships").alias("r")).select("r.*")
+        # rows of files that are lists have the fields themselves
+        own = [c for c in inside.columns if c in docs.columns]
+        if own:
+            lists = docs.where(F.col("relationships").isNull() & F.coalesce(*[F.col(c).cast("string") for c in own]).isNotNull())
+            inside = inside.unionByName(lists.select(*own), allowMissingColumns=True)
+        docs = inside
     return docs.withColumn("ord", F.monotonically_increasing_id())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -26,10 +25,13 @@ def sanitize_metadata(raw: Column, extra: Column, path: Column) -> Column:
     return F.map_concat(kept, extra)
 
 
-def resolve_paths(paths: list[str]) -> tuple[list[str], list[str]]:
-    """Existing paths and missing ones; a missing file is looked up by name in $RAG_DOCS_DIR."""
+# Folder where files that a config names are looked up when they are not at their own path.
+FOLDER_SETTING = "spark.docmosaic.documents.dir"
+
+
+def resolve_paths(paths: list[str], folder: str | None = None) -> tuple[list[str], list[str]]:
+    """Existing paths and missing ones; a missing file is looked up by name in ``folder``."""
     found, missing = [], []
-    folder = os.environ.get("RAG_DOCS_DIR")
     for p in paths:
         fallback = Path(folder) / Path(p).name if folder else None
         if Path(p).expanduser().exists():
@@ -44,7 +46,12 @@ def resolve_paths(paths: list[str]) -> tuple[list[str], list[str]]:
 def read_text(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """(path, text): one row per text or Markdown file."""
     files = spark.read.text(paths, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return files.select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
+
+
+def plain_path(encoded: Column) -> Column:
+    """A file's path as ``binaryFile`` gives it; the metadata column has it URL-encoded, but for plus signs."""
+    return F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
 
 
 def read_html(spark: SparkSession, paths: list[str] | str) -> DataFrame:

@@ -27,8 +27,8 @@ def changed(files: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def upsert(ledger: DataFrame, files: DataFrame) -> DataFrame:
     """The ledger with the rows of ``files`` put in place of older ones; unhashed files are left out."""
-    new = files.where("hash is not null").select(*KEY, "hash").dropDuplicates(KEY)
-    return ledger.select(*KEY, "hash").join(new, KEY, "left_anti").unionByName(new)
+    new = files.where("hash is not null").groupBy(*KEY).agg(F.min("hash").alias("hash"))
+    return ledger.select(*KEY, "hash").join(files.select(*KEY), KEY, "left_anti").unionByName(new)
 
 
 def remove(ledger: DataFrame, collections: list[str]) -> DataFrame:

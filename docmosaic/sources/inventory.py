@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +57,9 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     schema = f"metadata map<string,string>, fact_sheets map<string,struct<{SHEET.replace(' string', ':string')}>>"
     try:
         doc = spark.read.option("multiLine", True).schema(schema).json(path)
-    except Exception:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], SHEET)
     return doc.select(F.explode("fact_sheets").alias("key", "sheet")).select(
         F.col("key").alias("id"), "sheet.type", "sheet.name", "sheet.description", "sheet.level", "sheet.status"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,25 +52,34 @@ class ChunkStore:
             self.spark.conf.set(key, before)
 
     def collections(self, prefix: str | None = None) -> list[str]:
-        rows = self.spark.sql(f"SHOW PARTITIONS {self.table}").collect()
-        names = sorted(r[0].split("=", 1)[1] for r in rows)
+        names = self._partitions(self.table)
         return [n for n in names if prefix is None or n.startswith(f"{prefix}_")]
 
-    def drop(self, collection: str) -> None:
-        """Drop a collection together with its ledger rows."""
-        for name in (self.table, self.ledger_table):
-            self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION (collection = '{collection}')")
+    def drop(self, collection: str, ledger: bool = True) -> None:
+        """Drop a collection, and unless told otherwise its ledger rows."""
+        quoted = collection.replace("\\", "\\\\").replace("'", "\\'")
+        for name in (self.table, self.ledger_table)[: 1 + ledger]:
+            self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION (collection = '{quoted}')")
+
+    def _partitions(self, table: str) -> list[str]:
+        """Collections that a table has; partition names come URL-encoded."""
+        rows = self.spark.sql(f"SHOW PARTITIONS {table}").collect()
+        return sorted(unquote(r[0].split("=", 1)[1]) for r in rows)
+
+    def _known(self) -> list[str]:
+        """Collections of the chunks and of the ledger: a split config is recorded under its prefix alone."""
+        return sorted({*self._partitions(self.table), *self._partitions(self.ledger_table)})
 
     def drop_prefix(self, prefix: str, confirm: bool = False) -> list[str]:
         """Drop ``prefix`` itself and all ``prefix_*``; without ``confirm`` only list them."""
-        names = [n for n in self.collections() if n == prefix or n.startswith(f"{prefix}_")]
+        names = [n for n in self._known() if n == prefix or n.startswith(f"{prefix}_")]
         if confirm:
             for n in names:
                 self.drop(n)
         return names
 
     def drop_all(self, confirm: bool = False) -> list[str]:
-        names = self.collections()
+        names = self._known()
         if confirm:
             for n in names:
                 self.drop(n)

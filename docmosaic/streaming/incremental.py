@@ -24,6 +24,7 @@ def new_content(batch: DataFrame, seen: DataFrame) -> DataFrame:
 def run(spark: SparkSession, source: DataFrame, target: str, checkpoint: str, trigger: dict | None = None) -> DataFrame:
     """Drain a streaming source (collection, doc_id, text) into ``target``; returns what was kept.
 
+    Of copies in one batch the lowest id is kept; over batches, the first to arrive.
     Every micro-batch owns the folder ``batch=<id>`` and overwrites it, so a
     batch replayed after a failure leaves no duplicates.
     """

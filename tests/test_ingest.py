@@ -112,10 +112,56 @@ def test_readers(spark, tmp_path):
         documents.read_documents(spark, [str(tmp_path / "e.docx")])
 
 
-def test_missing_paths_fall_back(tmp_path, monkeypatch):
+def test_missing_paths_fall_back(tmp_path):
     (tmp_path / "x.txt").write_text("x")
-    monkeypatch.setenv("RAG_DOCS_DIR", str(tmp_path))
-    assert documents.resolve_paths(["/nowhere/x.txt", "/nowhere/y.txt"]) == ([str(tmp_path / "x.txt")], ["/nowhere/y.txt"])
+    found = documents.resolve_paths(["/nowhere/x.txt", "/nowhere/y.txt"], str(tmp_path))
+    assert found == ([str(tmp_path / "x.txt")], ["/nowhere/y.txt"])
+
+
+def test_names_that_urls_would_encode(spark, tmp_path):
+    store = ChunkStore(spark, "u_chunks", "u_hashes")
+    names = ["x y.md", "a%20b.md", "ü+ä.md", "p%q.md"]
+    for n in names:
+        (tmp_path / n).write_text(f"text of {n}")
+    cfg = ingest.IngestConfig([str(tmp_path / n) for n in names], "odd")
+    assert ingest.ingest(spark, cfg, store) == 4
+    assert {r.text for r in store.chunks().collect()} == {f"text of {n}" for n in names}
+    assert ingest.ingest(spark, cfg, store) == 0
+
+
+def test_split_configs_delete_rebuild_and_empty(spark, tmp_path):
+    store = ChunkStore(spark, "v_chunks", "v_hashes")
+    pad = "words " * 40
+    f, g = tmp_path / "f.md", tmp_path / "g.md"
+    f.write_text(f"# 1 - One\n{pad}\n# 2 - Two\n{pad}\n")
+    g.write_text("no headings here at all")
+    cfg = ingest.IngestConfig([str(f), str(g)], collection_prefix="sp")
+    other = ingest.IngestConfig([str(g)], "sp_other")
+    assert ingest.ingest(spark, cfg, store) > 0 and ingest.ingest(spark, other, store) == 1
+    had = store.collections()
+    assert "sp" in had and len([c for c in had if c.startswith("sp_s")]) == 2  # the headless document stays whole
+    # deleted, then ingested again
+    store.drop_prefix("sp", confirm=True)
+    assert store.collections() == [] and ingest.ingest(spark, cfg, store) > 0
+    assert store.collections() == [c for c in had if c != "sp_other"]
+    ingest.ingest(spark, other, store)
+    # a rebuild drops a section that is gone, and nothing of another config
+    f.write_text(f"# 1 - One\n{pad}\n")
+    ingest.ingest(spark, ingest.IngestConfig([str(f), str(g)], collection_prefix="sp", rebuild=True), store)
+    assert len([c for c in store.collections() if c.startswith("sp_s")]) == 1 and "sp_other" in store.collections()
+    # a file that was emptied loses its chunks and is not asked for again
+    g.write_text("")
+    ingest.ingest(spark, cfg, store)
+    assert "sp" not in store.collections() and ingest.ingest(spark, cfg, store) == 0
+
+
+def test_relationship_lists_beside_documents(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"relationships": [{"source_entity": "a", "target_entity": "b"}], "entities": []}')
+    (tmp_path / "l.json").write_text('[{"source_entity": "c", "target_entity": "d"}]')
+    from docmosaic.sources import diagram
+
+    got = diagram.read_relationships(spark, [str(tmp_path / "m.json"), str(tmp_path / "l.json")])
+    assert {(r.source_entity, r.target_entity) for r in got.collect()} == {("a", "b"), ("c", "d")}
 
 
 def test_ingest_and_store(spark, tmp_path):
