@@ -25,8 +25,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more go; ``n_chars`` follows the text."""
-    kept = lines.dedup_lines(docs, min_docs=LINE_DOCS, keep="none", counts=("__lines", "__dropped"))
+    """Of a line found in ten documents or more only the first occurrence stays; ``n_chars`` follows the text."""
+    kept = lines.dedup_lines(docs, min_docs=LINE_DOCS, keep="first", counts=("__lines", "__dropped"))
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
