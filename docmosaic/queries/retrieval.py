@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docmosaic.functions import fixed
+from docmosaic.functions.embedding import embed
 from docmosaic.functions.text import excerpt
 from docmosaic.operators import bm25, keyword, mmr, ranking, vector
 from docmosaic.plans import coverage, retrieval
@@ -12,6 +13,7 @@ from docmosaic.queries import base, query
 from docmosaic.queries.base import (
     CENTROIDS, CHUNKS, FIRST_VECTORS, PROBES, QUESTIONS, collapse_sql, cosine, nearest, strip_sql, table,
 )
+from docmosaic.session import materialize
 from docmosaic.sources.catalog import list_collections
 
 # Parameters of the registered questions.
@@ -482,7 +484,14 @@ def mmr_select(spark, d):
     return _bigint(out, "rank").withColumn("score", F.round("score", 5))
 
 
+def _whole(spark, d):
+    """Every chunk and every item, both embedded from their texts, whether or not a stored vector has their number."""
+    stored = materialize(base.chunks(spark, d).withColumn("embedding", embed(F.col("text"))), "embedded")
+    asked = base.questions(spark, d)
+    return stored, asked, asked.select(F.col("entity_id").alias("query_id"), embed(F.col("variant")).alias("embedding"))
+
+
 @query()
 def answer_questions(spark, d):
-    stored, texts, qv = _paired(spark, d)
+    stored, texts, qv = _whole(spark, d)
     return retrieval.answer(stored, stored, texts, qv)
