@@ -18,7 +18,6 @@ from docmosaic.functions.text import collapse
 from docmosaic.operators import bm25, keyword, ranking
 from docmosaic.session import materialize
 
-CONTENT_CHUNKS = 3
 MIN_CONTENT = 100
 MAX_ITERATIONS = 5
 
@@ -42,25 +41,38 @@ def decide(state: DataFrame, policy: Policy = always_done) -> DataFrame:
     )
 
 
-def retrieve(chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """(entity_id, content): best chunks of each question (entity_id, pos, variant), joined."""
-    scored = (
-        bm25.chunk_scores(chunks, questions)
-        .groupBy("entity_id", "chunk_id")
-        .agg(F.max("score").alias("score"))
-    )
-    top = ranking.top_k(scored, ["entity_id"], CONTENT_CHUNKS, ranking.score_order())
-    return _joined(top.join(chunks.select("chunk_id", "text"), "chunk_id"))
+def _best(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """(entity_id, chunk_id, score): BM25 score of each chunk by the best variant of an entity."""
+    scored = bm25.chunk_scores(chunks, questions)
+    return scored.groupBy("entity_id", "chunk_id").agg(F.max("score").alias("score"))
+
+
+def retrieve(chunks: DataFrame, questions: DataFrame, depth: int | None = None) -> DataFrame:
+    """(entity_id, content): chunks of each question (entity_id, pos, variant) by score, joined; all of them without ``depth``."""
+    scored = _best(chunks, questions)
+    if depth is not None:
+        scored = ranking.top_k(scored, ["entity_id"], depth, ranking.score_order())
+    return _joined(scored.join(chunks.select("chunk_id", "text"), "chunk_id"))
 
 
-def scan(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """(entity_id, content): first chunks that hold a term verbatim, joined."""
+def scan(chunks: DataFrame, terms: DataFrame, depth: int | None = None, by_id: bool = False) -> DataFrame:
+    """(entity_id, content): chunks that hold a term verbatim, by score and then id, joined; all of them without ``depth``.
+
+    A hit inside a longer word scores 0. With ``by_id`` the ids alone decide.
+    """
     found = keyword.distinct_hits(keyword.entity_hits(chunks, terms))
-    return _joined(ranking.top_k(found, ["entity_id"], CONTENT_CHUNKS, [F.col("chunk_id")]))
+    if by_id:
+        found = found.withColumn("score", F.lit(0.0))
+    else:
+        found = found.join(_best(chunks, terms), ["entity_id", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    if depth is not None:
+        found = ranking.top_k(found, ["entity_id"], depth, ranking.score_order())
+    return _joined(found)
 
 
 def _joined(rows: DataFrame) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("rank", collapse(F.col("text")).alias("body"))))
+    place = F.struct((-F.round("score", 9)).alias("down"), "chunk_id", collapse(F.col("text")).alias("body"))
+    ordered = F.array_sort(F.collect_list(place))
     return rows.groupBy("entity_id").agg(F.array_join(F.transform(ordered, lambda s: s.body), "\n\n").alias("content"))
 
 
@@ -70,11 +82,16 @@ def run(
     variants: DataFrame,
     policy: Policy = always_done,
     max_iterations: int = MAX_ITERATIONS,
+    depth: int | None = None,
+    by_id: bool = False,
+    min_keyword: int = 0,
 ) -> DataFrame:
     """Trace (entity_id, iteration, action, content, has_content) until every entity is done.
 
     ``entities`` has (entity_id, name); ``variants`` (entity_id, pos, variant)
-    with the name at 0. The first action is always a retrieval.
+    with the name at 0. The first action is always a retrieval. ``depth`` and ``by_id``
+    are those of ``retrieve`` and ``scan``. What a retrieval found counts as content beyond
+    ``MIN_CONTENT`` characters, what a keyword scan found beyond ``min_keyword``.
     """
     aliases = variants.where("pos > 0 and pos <= 3")
     nameless = variants.where("pos = 0").join(aliases, "entity_id", "left_anti")
@@ -89,9 +106,9 @@ def run(
         look = terms.join(actions.where("kind = 'KEYWORD'").select("entity_id"), "entity_id", "left_semi")
         parts = []
         if iteration == 1 or not ask.isEmpty():
-            parts.append(retrieve(chunks, ask))
+            parts.append(retrieve(chunks, ask, depth))
         if iteration > 1 and not look.isEmpty():
-            parts.append(scan(chunks, look))
+            parts.append(scan(chunks, look, depth, by_id))
         rows = actions
         if parts:
             got = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -99,10 +116,11 @@ def run(
         else:
             rows = actions.withColumn("content", F.lit(None).cast("string"))
         body = F.coalesce("content", F.lit(""))
+        least = F.when(F.col("kind") == "KEYWORD", F.lit(min_keyword)).otherwise(F.lit(MIN_CONTENT))
         step = materialize(
             rows.select(
                 "entity_id", F.lit(iteration).alias("iteration"), F.col("kind").alias("action"), body.alias("content"),
-                (F.length(body) > MIN_CONTENT).alias("has_content"),
+                (F.length(body) > least).alias("has_content"),
             ),
             "observations",
         )

@@ -26,15 +26,17 @@ def entity_variants(entities: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def contexts(
-    entities: DataFrame, chunks: DataFrame, aliases: DataFrame, definitions: DataFrame, answer=EXTRACTIVE
+    entities: DataFrame, chunks: DataFrame, aliases: DataFrame, definitions: DataFrame, answer=EXTRACTIVE,
+    depth: int | None = None,
 ) -> DataFrame:
     """Context fields per entity_key: evidence found, answer parsed, a verbatim definition put first.
 
+    Retrieval and scan give their best ``depth`` chunks each as evidence, or all.
     Entities for which routing and scan find nothing get an empty context and are not asked about.
     """
     variants = materialize(entity_variants(entities, aliases), "variants")
     names = variants.where("pos = 0")
-    found = agent.retrieve(chunks, names).unionByName(agent.scan(chunks, variants))
+    found = agent.retrieve(chunks, names, depth).unionByName(agent.scan(chunks, variants, depth))
     evidence = found.groupBy("entity_id").agg(F.array_join(F.sort_array(F.collect_set("content")), "\n\n").alias("evidence"))
     asked = entities.select(F.col("ord").alias("entity_id"), "entity_name").join(evidence, "entity_id")
     told = answer(asked).select("entity_id", "response", *context_fields(F.col("response")))
@@ -54,12 +56,12 @@ def contexts(
 
 def agentic_contexts(
     entities: DataFrame, chunks: DataFrame, aliases: DataFrame, definitions: DataFrame, answer=EXTRACTIVE,
-    policy=agent.always_done, max_iterations: int = agent.MAX_ITERATIONS,
+    policy=agent.always_done, max_iterations: int = agent.MAX_ITERATIONS, depth: int | None = None,
 ) -> DataFrame:
     """As ``contexts``, with the evidence gathered in rounds; ``definitions`` are left to the rounds."""
     variants = materialize(entity_variants(entities, aliases), "variants")
     names = variants.where("pos = 0").select("entity_id", F.col("variant").alias("name"))
-    evidence = agent.evidence(agent.run(chunks, names, variants, policy, max_iterations))
+    evidence = agent.evidence(agent.run(chunks, names, variants, policy, max_iterations, depth))
     asked = entities.select(F.col("ord").alias("entity_id"), "entity_name").join(evidence, "entity_id")
     told = answer(asked).select("entity_id", *context_fields(F.col("response"), ignore_case=True))
     keys = entities.select(F.col("ord").alias("entity_id"), normalize(F.col("entity_name")).alias("entity_key"))

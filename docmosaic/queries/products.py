@@ -108,10 +108,14 @@ trace as (
   union all select entity_id, 3, 'DONE', '' from second)"""
 
 
+# The SQL takes three chunks, keyword hits by id, and one length for both kinds of content.
+AS_SQL = {"depth": 3, "by_id": True, "min_keyword": agent.MIN_CONTENT}
+
+
 def _trace(spark, d):
     variants = base.probes(spark, d)
     entities = variants.where("pos = 0").select("entity_id", F.col("variant").alias("name"))
-    return agent.run(base.chunks(spark, d), entities, variants)
+    return agent.run(base.chunks(spark, d), entities, variants, **AS_SQL)
 
 
 @query(f"with {TRACE} select entity_id, iteration, action, length(content) as n, length(content) > 100 as has_content from trace")
@@ -137,13 +141,13 @@ def quality_gated_query(spark, d):
     """Entities answered by the fast path, and by rounds of retrieval where the gate fails."""
     chunks, variants = base.chunks(spark, d), base.probes(spark, d)
     names = variants.where("pos = 0")
-    fast = names.select("entity_id").join(agent.retrieve(chunks, names), "entity_id", "left")
+    fast = names.select("entity_id").join(agent.retrieve(chunks, names, AS_SQL["depth"]), "entity_id", "left")
     fast = fast.select("entity_id", F.coalesce("content", F.lit("")).alias("response"))
 
     def fallback(failing):
         todo = variants.join(failing, "entity_id", "left_semi")
         entities = todo.where("pos = 0").select("entity_id", F.col("variant").alias("name"))
-        return agent.evidence(agent.run(chunks, entities, todo)).withColumnRenamed("evidence", "response")
+        return agent.evidence(agent.run(chunks, entities, todo, **AS_SQL)).withColumnRenamed("evidence", "response")
 
     return agent.gated(fast, fallback).select("entity_id", "path")
 
