@@ -66,6 +66,13 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def whole_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entity_id, pos, variant): all distinct words of an item."""
+    return _words(spark, sf_dir).select(
+        F.col("item_id").alias("entity_id"), F.lit(0).alias("pos"), F.concat_ws(" ", "words").alias("variant")
+    )
+
+
 # --- the same views in SQL -------------------------------------------------
 
 CHUNKS = "chunks as (select source as collection, doc_id as chunk_id, text, lang as domain from documents)"

@@ -485,13 +485,13 @@ def mmr_select(spark, d):
 
 
 def _whole(spark, d):
-    """Every chunk and every item, both embedded from their texts, whether or not a stored vector has their number."""
-    stored = materialize(base.chunks(spark, d).withColumn("embedding", embed(F.col("text"))), "embedded")
-    asked = base.questions(spark, d)
-    return stored, asked, asked.select(F.col("entity_id").alias("query_id"), embed(F.col("variant")).alias("embedding"))
+    """Every chunk and every item, and vectors of both made from their texts, whether or not a stored vector has their number."""
+    chunks = base.chunks(spark, d)
+    vectors = materialize(chunks.select("chunk_id", embed(F.col("text")).alias("embedding")), "embedded")
+    asked = base.whole_questions(spark, d)
+    return chunks, vectors, asked, asked.select(F.col("entity_id").alias("query_id"), embed(F.col("variant")).alias("embedding"))
 
 
 @query()
 def answer_questions(spark, d):
-    stored, texts, qv = _whole(spark, d)
-    return retrieval.answer(stored, stored, texts, qv)
+    return retrieval.answer(*_whole(spark, d))
