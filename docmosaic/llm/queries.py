@@ -6,5 +6,5 @@ from importlib import import_module
 
 from docmosaic.llm.base import ORACLES, QUERIES  # noqa: F401
 
-for _name in ("q_text", "q_filters", "q_joins"):
+for _name in ("q_text", "q_filters", "q_joins", "q_search"):
     import_module(f"docmosaic.llm.{_name}")
