@@ -35,7 +35,8 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--all", action="store_true")
     a.add_argument("-f", "--force", action="store_true")
     a = sub.add_parser("query", help="ask a question of the collections of a profile")
-    a.add_argument("-q", "--question", required=True)
+    a.add_argument("-q", "--question", required=True, action="append", help="the question; further ones are other phrasings of it")
+    a.add_argument("--iterative", action="store_true", help="let each collection answer, then put the answers together")
     a.add_argument("--profile")
     a.add_argument("--collection", action="append")
     a = sub.add_parser("catalog", help="consolidated catalog")
@@ -120,7 +121,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             if args.profile:
                 chosen = profiles.profile_collections(store.chunks(), profiles.QueryProfile.from_yaml(args.profile))
                 names = [r.collection for r in chosen.orderBy("position").collect()]
-            show(products.ask(spark, args.question, store.chunks(names), config.query).select("response"))
+            show(products.ask(spark, args.question, store.chunks(names), config.query, iterative=args.iterative).select("response"))
         case "catalog":
             entities, relations = _entities(spark, args.model_json)
             picked = catalog.select_entities(entities, args.domain, args.entity)

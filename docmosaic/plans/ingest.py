@@ -106,7 +106,8 @@ def ingest(spark: SparkSession, config: IngestConfig, store: ChunkStore, model:
     key = lambda c: F.regexp_replace(F.col(c), "^file:/+", "/")
     # a listing leaves out files without a byte: those that had some are recorded and not listed
     mine = store.ledger().where(F.col("collection") == name).withColumn("path", key("file_path"))
-    emptied = mine.where(F.col("path").isin(found)).join(files.select(key("file_path").alias("path")), "path", "left_anti")
+    emptied = materialize(
+        mine.where(F.col("path").isin(found)).join(files.select(key("file_path").alias("path")), "path", "left_anti"), "emptied-files")
     todo = files if config.rebuild else hashes.changed(files, store.ledger())
     todo = materialize(todo.unionByName(emptied.select("collection", "file_path", F.lit(None).cast("string").alias("hash"))), "changed-files")
     # only the changed files are read; the list is no longer than the config's own
@@ -118,7 +119,11 @@ def ingest(spark: SparkSession, config: IngestConfig, store: ChunkStore, model:
     elif config.preprocessor in READERS:
         docs = READERS[config.preprocessor](spark, found)
     else:
-        docs = get_preprocessor(config.preprocessor)(documents.read_documents(spark, found, parsers))
+        read = materialize(documents.read_documents(spark, found, parsers), "texts")
+        # a file that its parser could not read keeps its chunks and its old hash, and is tried again next time
+        failed = read.where("text is null").select(key("path").alias("path"))
+        todo = materialize(todo.withColumn("path", key("file_path")).join(failed, "path", "left_anti").drop("path"), "readable-files")
+        docs = get_preprocessor(config.preprocessor)(read.where("text is not null"))
     docs = docs.withColumn("path", key("path")).join(todo.select(key("file_path").alias("path")), "path", "left_semi")
     if config.collection_prefix and "suffix" in docs.columns:
         docs = docs.withColumn("collection", F.concat(F.lit(f"{config.collection_prefix}_"), "suffix"))
@@ -149,7 +154,7 @@ def ingest(spark: SparkSession, config: IngestConfig, store: ChunkStore, model:
             store.drop(left.collection, ledger=False)
     if not rows.isEmpty():
         store.write(rows, rebuild=True)
-    store.record(todo)
+    store.record(todo.where("hash is not null"), emptied.select("collection", "file_path"))
     return n
 
 

@@ -10,7 +10,8 @@ from docmosaic.functions.parse import context_fields
 from docmosaic.functions.predicates import review_status
 from docmosaic.functions.text import normalize
 from docmosaic.operators import chunking, keyword, matching, ranking, vector
-from docmosaic.plans import agent, catalog, coverage, retrieval
+from docmosaic.operators.inverted import InvertedIndex
+from docmosaic.plans import agent, answering, catalog, coverage, retrieval
 from docmosaic.session import materialize
 
 # An answering step adds ``response`` to (entity_id, entity_name, evidence). Offline it is the evidence itself.
@@ -134,16 +135,20 @@ def coverage_check(entities: DataFrame, chunks: DataFrame, k: int, model: Embedd
 
 def ask(
     spark: SparkSession,
-    question: str,
+    question: str | list[str],
     chunks: DataFrame,
     settings: retrieval.QuerySettings = retrieval.QuerySettings(),
     model: Embedder = hashed_words,
     synthesize=retrieval.extractive_answer,
+    index: InvertedIndex | None = None,
+    iterative: bool = False,
 ) -> DataFrame:
-    """(query_id, response, n_sources) for one question over the given chunks."""
-    asked = spark.createDataFrame([(1, 0, question)], "entity_id bigint, pos int, variant string")
-    vectors = asked.select(F.col("entity_id").alias("query_id"), embed(F.col("variant"), model).alias("embedding"))
-    return retrieval.answer(chunks, chunks, asked, vectors, settings, synthesize)
+    """The answer to one question, in one phrasing or several, over the given chunks; ``index`` is theirs if there is one."""
+    listed = [question] if isinstance(question, str) else question
+    asked = spark.createDataFrame([(1, k, q) for k, q in enumerate(listed)], "entity_id bigint, pos int, variant string")
+    vectors = asked.select("entity_id", "pos", embed(F.col("variant"), model).alias("embedding"))
+    return answering.answer(
+        index or InvertedIndex(chunks), chunks, chunks, asked, vectors, settings, synthesize, iterative=iterative)
 
 
 def diagnose(chunks: DataFrame, variants: DataFrame, query_vectors: DataFrame, ranker: str = "embedding", k: int = 25) -> DataFrame:

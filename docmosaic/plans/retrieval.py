@@ -15,6 +15,7 @@ from docmosaic.functions import fixed
 from docmosaic.functions.parse import alias_candidates
 from docmosaic.functions.text import collapse
 from docmosaic.operators import bm25, keyword, mmr, ranking, vector
+from docmosaic.operators.inverted import InvertedIndex
 from docmosaic.session import materialize, small_side
 
 
@@ -61,12 +62,10 @@ def pool_bm25(pool: DataFrame, variants: DataFrame) -> DataFrame:
     )
 
 
-def hybrid(
-    chunks: DataFrame, vectors: DataFrame, variants: DataFrame, query_vectors: DataFrame, k: int
-) -> DataFrame:
-    """(query_id, chunk_id, score, rank): vector and BM25 rankings of depth ``k``, fused by reciprocal rank."""
+def hybrid(index: InvertedIndex, vectors: DataFrame, variants: DataFrame, query_vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, score, rank): vector and BM25 rankings of depth ``k`` over all collections, fused by reciprocal rank."""
     dense = vector.nearest(vectors, query_vectors, k)
-    lexical = ranking.top_k(lexical_ranking(chunks, variants), ["query_id"], k, ranking.score_order())
+    lexical = index.ranking(variants, k)
     fused = ranking.reciprocal_rank_fusion([dense, lexical], ["query_id", "chunk_id"])
     return ranking.top_k(fused, ["query_id"], k, ranking.score_order())
 
@@ -86,27 +85,17 @@ def full_context_or_top(
     collection is never gathered for the sake of its size.
     """
     sizes = chunks.groupBy("collection").agg(F.count(F.lit(1)).alias("size"))
-    small = small_side(sizes.where(F.col("size") <= max_chunks))
-    ids = scored.select("query_id").distinct()
-    whole = chunks.join(small, "collection", "left_semi").select("collection", "chunk_id")
-    listed = ids.agg(F.sort_array(F.collect_set("query_id")).alias("ids")).first().ids
-    every = whole.select(F.explode(F.array(*[F.lit(i) for i in listed])).alias("query_id"), "collection", "chunk_id")
+    small = sizes.where(F.col("size") <= max_chunks).select("collection")
+    names = small.agg(F.collect_set("collection")).scalar()
+    asked = scored.select("query_id").distinct().select("query_id", F.explode(names).alias("collection"))
+    every = asked.join(chunks.select("collection", "chunk_id"), "collection").select("query_id", "collection", "chunk_id")
     top = per_collection(scored.join(small, "collection", "left_anti"), retrieve_k, n_collections)
     return every.withColumn("score", F.lit(1.0)).unionByName(top.select("query_id", "collection", "chunk_id", "score"))
 
 
-def rerank(
-    pool: DataFrame, query_vectors: DataFrame, settings: QuerySettings, cross_encoder=None
-) -> DataFrame:
-    """(query_id, chunk_id, score, rank, position): reranked context of each question.
-
-    ``pool`` has (query_id, chunk_id, text, embedding). A cross-encoder is a
-    function (question pool DataFrame -> same with ``score``); without one the
-    strategy falls back to embeddings.
-    """
-    if settings.reranker_strategy == "cross-encoder" and cross_encoder is not None:
-        best = ranking.top_k(cross_encoder(pool), ["query_id"], settings.rerank_k, ranking.score_order())
-    elif settings.use_mmr:
+def rerank(pool: DataFrame, query_vectors: DataFrame, settings: QuerySettings) -> DataFrame:
+    """(query_id, chunk_id, score, rank, position): reranked context of each question, from (query_id, chunk_id, embedding)."""
+    if settings.use_mmr:
         best = mmr.diversify(pool, query_vectors, settings.rerank_k, settings.mmr_threshold)
     else:
         best = vector.rerank(pool, query_vectors, settings.rerank_k)
@@ -129,46 +118,6 @@ def extractive_answer(context: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def answer(
-    chunks: DataFrame,
-    vectors: DataFrame,
-    variants: DataFrame,
-    query_vectors: DataFrame,
-    settings: QuerySettings = QuerySettings(),
-    synthesize=extractive_answer,
-) -> DataFrame:
-    """Whole path from questions to answers over the pooled collections."""
-    depth = settings.retrieve_k if settings.use_reranker else settings.similarity_top_k
-    if settings.use_hybrid_search:
-        pool = hybrid(chunks, vectors, variants, query_vectors, depth)
-    else:
-        pool = vector.nearest(vectors, query_vectors, depth)
-    if settings.use_reranker:
-        candidates = pool.select("query_id", "chunk_id").join(vectors.select("chunk_id", "embedding"), "chunk_id")
-        context = rerank(candidates, query_vectors, settings)
-    else:
-        context = pool.withColumn("position", (F.col("rank") - 1).cast("bigint"))
-    return synthesize(context, chunks)
-
-
-def answer_per_collection(top_chunks: DataFrame) -> DataFrame:
-    """(query_id, collection, response): one answer per collection, denials dropped.
-
-    ``top_chunks`` is a ranking per (query_id, collection) with text.
-    """
-    best = ranking.keep_first(
-        top_chunks.select("query_id", "collection", "collection_rank", "text"),
-        ["query_id", "collection"],
-        ["collection_rank"],
-    )
-    body = collapse(F.col("text"))
-    return best.where(~F.startswith(F.lower(body), F.lit("not documented"))).select(
-        "query_id",
-        "collection",
-        F.concat(F.lit("["), F.col("collection"), F.lit("]\n"), body).alias("response"),
-    )
-
-
 def routed_sections(
     chunks: DataFrame, variants: DataFrame, definition_sections: list[str], hits: DataFrame | None = None
 ) -> DataFrame:

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmosaic.functions.embedding import embed
 from docmosaic.functions.text import SPACE, tokens
-from docmosaic.session import spread
+from docmosaic.operators.inverted import InvertedIndex
+from docmosaic.session import materialize, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,14 +60,6 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(entity_id, pos, variant): the three longest and three shortest words of an item."""
-    text = F.concat_ws(" ", F.slice("words", 1, 3), F.slice(F.reverse("words"), 1, 3))
-    return _words(spark, sf_dir).select(
-        F.col("item_id").alias("entity_id"), F.lit(0).alias("pos"), text.alias("variant")
-    )
-
-
 def whole_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity_id, pos, variant): all distinct words of an item."""
     return _words(spark, sf_dir).select(
@@ -73,6 +67,35 @@ def whole_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def phrasings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entity_id, pos, variant): three phrasings of an item: all its distinct words, every other one, and the rest."""
+    half = lambda k: F.concat_ws(" ", F.filter("words", lambda w, i: i % 2 == k))
+    listed = F.posexplode(F.array(F.concat_ws(" ", "words"), half(0), half(1))).alias("pos", "variant")
+    return _words(spark, sf_dir).select(F.col("item_id").alias("entity_id"), listed)
+
+
+#: What an ingestion would have written, once per application and folder of tables.
+_WRITTEN: dict[tuple[str, str, str], object] = {}
+
+
+def _once(kind: str, spark: SparkSession, sf_dir: str, make):
+    key = (kind, spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = make()
+    return _WRITTEN[key]
+
+
+def index(spark: SparkSession, sf_dir: str) -> InvertedIndex:
+    """The inverted index of all chunks."""
+    return _once("index", spark, sf_dir, lambda: InvertedIndex(chunks(spark, sf_dir)))
+
+
+def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(collection, chunk_id, text, embedding): all chunks with vectors made from their texts."""
+    return _once("embedded", spark, sf_dir, lambda: materialize(
+        chunks(spark, sf_dir).select("collection", "chunk_id", "text", embed(F.col("text")).alias("embedding")), "embedded"))
+
+
 # --- the same views in SQL -------------------------------------------------
 
 CHUNKS = "chunks as (select source as collection, doc_id as chunk_id, text, lang as domain from documents)"
@@ -91,12 +114,28 @@ variants as (
   select c.item_id, 2, c.w || ' ' || a.w from words a join words c on a.item_id = c.item_id
   where a.rn = 1 and c.rn = 3)"""
 
-QUESTIONS = WORDS + """,
-variants as (
-  select item_id as entity_id, 0 as pos,
-         string_agg(w, ' ' order by case when rn <= 3 then rn else 1000000 - rn end) as variant
-  from (select * from words where rn <= 3 union all select * from words where rn > greatest(n - 3, 0))
-  group by item_id)"""
+WHOLE = WORDS + """,
+variants as (select item_id as entity_id, 0 as pos, string_agg(w, ' ' order by rn) as variant from words group by item_id)"""
+
+PHRASINGS = WORDS + """,
+phrasings as (
+  select item_id as entity_id, 0 as pos, string_agg(w, ' ' order by rn) as variant from words group by item_id
+  union all select item_id, 1, coalesce(string_agg(w, ' ' order by rn) filter (rn % 2 = 1), '') from words group by item_id
+  union all select item_id, 2, coalesce(string_agg(w, ' ' order by rn) filter (rn % 2 = 0), '') from words group by item_id)"""
+
+
+def embedded_sql(source: str, keys: str, text: str, name: str) -> str:
+    """CTEs that end in ``name``(keys, embedding): vectors of hashed word counts."""
+    on = " and ".join(f"{{0}}.{k} = {{1}}.{k}" for k in keys.split(", "))
+    return f"""
+{name}_b as (
+  select {keys}, ('0x' || left(md5(w), 4))::int % 64 as b, count(*) as n
+  from (select {keys}, unnest(regexp_split_to_array(lower({text}), '[^a-z0-9]+')) as w from {source}) where w <> '' group by all),
+{name}_n as (select {keys}, sqrt(sum(n * n)) as norm from {name}_b group by {keys}),
+{name} as (
+  select {', '.join(f's.{k}' for k in keys.split(', '))}, list(coalesce(x.n / y.norm, 0)::float order by g.b) as embedding
+  from {source} s cross join (select unnest(generate_series(0, 63)) as b) g
+  left join {name}_b x on {on.format('x', 's')} and x.b = g.b left join {name}_n y on {on.format('y', 's')} group by all)"""
 
 
 def bm25(source: str = "chunks", variants: str = "variants", name: str = "scores") -> str:

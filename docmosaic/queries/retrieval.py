@@ -7,27 +7,20 @@ from pyspark.sql import functions as F
 from docmosaic.functions import fixed
 from docmosaic.functions.embedding import embed
 from docmosaic.functions.text import excerpt
-from docmosaic.operators import bm25, keyword, mmr, ranking, vector
-from docmosaic.plans import coverage, retrieval
+from docmosaic.operators import cross_encoder, keyword, mmr, ranking, vector
+from docmosaic.operators.inverted import InvertedIndex
+from docmosaic.plans import answering, coverage, retrieval
 from docmosaic.queries import base, query
 from docmosaic.queries.base import (
-    CENTROIDS, CHUNKS, FIRST_VECTORS, PROBES, QUESTIONS, collapse_sql, cosine, nearest, strip_sql, table,
+    CENTROIDS, CHUNKS, FIRST_VECTORS, PHRASINGS, PROBES, WHOLE, collapse_sql, cosine, embedded_sql, nearest, strip_sql, table,
 )
 from docmosaic.session import materialize
 from docmosaic.sources.catalog import list_collections
 
-# Parameters of the registered questions.
-QUESTION_TEXTS = ((1, "that heed"), (2, "nicht und der verheit"), (3, "the nature of a tion"))
-QUESTION_SQL = "variants as (select * from (values (1, 0, 'that heed'), (2, 0, 'nicht und der verheit'), (3, 0, 'the nature of a tion')) t(entity_id, pos, variant))"
 DEFINITION_SECTIONS = ["src7", "src1"]
 RANK = "row_number() over (partition by {p} order by round(score, 9) desc, chunk_id)"
 
 
-def _asked(spark):
-    rows = [(i, 0, q) for i, q in QUESTION_TEXTS]
-    return spark.createDataFrame(rows, "entity_id bigint, pos int, variant string")
-
-
 def _first_vectors(spark, d):
     v = base.vectors(spark, d)
     return v.groupBy(F.col("label").alias("query_id")).agg(F.min_by("embedding", "chunk_id").alias("embedding"))
@@ -38,7 +31,9 @@ def _centroids(spark, d):
 
 
 def _asked_scores(spark, d):
-    return retrieval.lexical_ranking(base.chunks(spark, d), _asked(spark))
+    """Every chunk that shares a word with an item, asked with all its words."""
+    found = base.index(spark, d).scores(base.whole_questions(spark, d))
+    return found.select(F.col("entity_id").alias("query_id"), "collection", "chunk_id", "score")
 
 
 def _bigint(df, *names):
@@ -48,12 +43,12 @@ def _bigint(df, *names):
 
 
 @query(f"""
-with {CHUNKS}, {QUESTION_SQL}, {base.bm25()},
+with {CHUNKS}, {WHOLE}, {base.bm25()},
 r as (select entity_id as query_id, collection, chunk_id, score, {RANK.format(p='entity_id')} as rank from scores)
 select query_id::bigint as query_id, collection, chunk_id, rank, round(score, 4) as score from r where rank <= 20
 """)
 def bm25_topk(spark, d):
-    top = ranking.top_k(_asked_scores(spark, d), ["query_id"], 20, ranking.score_order())
+    top = base.index(spark, d).ranking(base.whole_questions(spark, d), 20)
     return _bigint(top.withColumn("score", F.round("score", 4)), "rank")
 
 
@@ -65,7 +60,7 @@ routed as (
 
 
 @query(f"""
-with {CHUNKS}, {PROBES}, {base.bm25()}, {ROUTED},
+with {CHUNKS}, {WHOLE}, {base.bm25()}, {ROUTED},
 every as (select e.entity_id, c.collection from (select distinct entity_id from variants) e,
           (select distinct collection from chunks) c),
 f as (select entity_id, collection, coalesce(score, 0.0)::double as score
@@ -79,7 +74,7 @@ def bm25_route_sections(spark, d):
 
     chunks = base.chunks(spark, d)
     listed = list_collections(chunks)
-    scored = bm25.section_scores(chunks, base.probes(spark, d), collections=listed)
+    scored = base.index(spark, d).section_scores(base.whole_questions(spark, d), collections=listed)
     order = Window.partitionBy("entity_id").orderBy(F.col("score").desc(), "collection")
     return scored.select(
         "entity_id",
@@ -90,11 +85,11 @@ def bm25_route_sections(spark, d):
 
 
 @query(f"""
-with {CHUNKS}, {PROBES}, {base.bm25()}, {ROUTED}
+with {CHUNKS}, {PHRASINGS}, {base.bm25('chunks', 'phrasings')}, {ROUTED}
 select entity_id, collection, round(score, 4) as score, winning_variant from routed where score > 0
 """)
 def bm25_section_scores(spark, d):
-    scored = bm25.section_scores(base.chunks(spark, d), base.probes(spark, d), strict=True)
+    scored = base.index(spark, d).section_scores(base.phrasings(spark, d), strict=True)
     return scored.withColumn("score", F.round("score", 4))
 
 
@@ -150,26 +145,20 @@ def vector_topk(spark, d):
     return _bigint(near, "rank").withColumn("score", F.round("score", 5))
 
 
-# Questions that have both a text (benchmark item) and a vector (label of the same number).
-PAIRED = f"""
-{QUESTIONS},
-paired as (select * from variants where entity_id in (select query_id from qv)),
-stored as (select c.collection, c.chunk_id, c.text, v.embedding from chunks c join vecs v using (chunk_id)),
-asked as (select q.* from qv q where query_id in (select entity_id from variants))"""
+# All chunks and all items, each with a vector made from its text.
+STORED = f"""
+{CHUNKS}, {WHOLE}, {embedded_sql('chunks', 'chunk_id', 'text', 'made')},
+stored as (select c.collection, c.chunk_id, c.text, v.embedding from chunks c join made v using (chunk_id)),
+{embedded_sql('variants', 'entity_id', 'variant', 'asked')},
+qv as (select entity_id as query_id, embedding from asked)"""
 
 
-def _paired(spark, d):
-    chunks = base.chunks(spark, d)
-    stored = chunks.join(base.vectors(spark, d).select("chunk_id", "embedding"), "chunk_id")
-    qv = _first_vectors(spark, d)
-    asked = base.questions(spark, d)
-    texts = asked.join(qv, asked.entity_id == qv.query_id, "left_semi")
-    return stored, texts, qv.join(asked, qv.query_id == asked.entity_id, "left_semi")
+def _embedded_questions(asked):
+    return asked.select(F.col("entity_id").alias("query_id"), embed(F.col("variant")).alias("embedding"))
 
 
 HYBRID = f"""
-{CHUNKS}, {FIRST_VECTORS}, {PAIRED}, {base.bm25('stored', 'paired')},
-{nearest('asked', 'stored', 20, 'dense')},
+{STORED}, {base.bm25()}, {nearest('qv', 'stored', 20, 'dense')},
 lex as (
   select * from (select entity_id as query_id, chunk_id, {RANK.format(p='entity_id')} as rank from scores) where rank <= 20),
 fused as (
@@ -181,8 +170,8 @@ hybrid as (
 
 @query(f"with {HYBRID} select query_id, chunk_id, rank, round(score, 6) as score from hybrid")
 def hybrid_rrf(spark, d):
-    stored, texts, qv = _paired(spark, d)
-    out = retrieval.hybrid(stored, stored, texts, qv, 20)
+    asked = base.whole_questions(spark, d)
+    out = retrieval.hybrid(base.index(spark, d), base.embedded(spark, d), asked, _embedded_questions(asked), 20)
     return _bigint(out, "rank").withColumn("score", F.round("score", 6))
 
 
@@ -209,7 +198,7 @@ def rrf_fusion(spark, d):
     return _bigint(out, "rank").withColumn("score", F.round("score", 6))
 
 
-ASKED = f"{CHUNKS}, {QUESTION_SQL}, {base.bm25()}, asked_scores as (select entity_id as query_id, collection, chunk_id, score from scores)"
+ASKED = f"{CHUNKS}, {WHOLE}, {base.bm25()}, asked_scores as (select entity_id as query_id, collection, chunk_id, score from scores)"
 N_COLLECTIONS = "(select count(distinct collection) from chunks)"
 PER_COLLECTION = f"""
 per_collection as (
@@ -217,8 +206,14 @@ per_collection as (
   where collection_rank <= greatest(88 // {N_COLLECTIONS}, 5))"""
 
 
-def _n_collections(chunks):
-    return len(list_collections(chunks))
+def _n_collections(spark, d):
+    return base.index(spark, d).stats.count()
+
+
+def _per_collection(spark, d):
+    k = ranking.per_collection_k(fixed.RETRIEVE_K, _n_collections(spark, d))
+    found = base.index(spark, d).ranking(base.whole_questions(spark, d), k, per_collection=True)
+    return found.withColumnRenamed("rank", "collection_rank")
 
 
 @query(f"""
@@ -226,9 +221,7 @@ with {ASKED}, {PER_COLLECTION}
 select query_id::bigint as query_id, collection, chunk_id, collection_rank, round(score, 4) as score from per_collection
 """)
 def topk_per_collection(spark, d):
-    n = _n_collections(base.chunks(spark, d))
-    out = retrieval.per_collection(_asked_scores(spark, d), fixed.RETRIEVE_K, n)
-    return _bigint(out, "collection_rank").withColumn("score", F.round("score", 4))
+    return _bigint(_per_collection(spark, d), "collection_rank").withColumn("score", F.round("score", 4))
 
 
 @query(f"""
@@ -241,7 +234,7 @@ select query_id, collection, chunk_id, round(score, 4) from per_collection where
 """)
 def full_context_or_topk(spark, d):
     chunks = base.chunks(spark, d)
-    out = retrieval.full_context_or_top(_asked_scores(spark, d), chunks, 45, fixed.RETRIEVE_K, _n_collections(chunks))
+    out = retrieval.full_context_or_top(_asked_scores(spark, d), chunks, 45, fixed.RETRIEVE_K, _n_collections(spark, d))
     return out.withColumn("score", F.round("score", 4))
 
 
@@ -251,26 +244,103 @@ p as (select query_id, collection, chunk_id, score, {RANK.format(p='query_id')}
 select query_id::bigint as query_id, collection, chunk_id, rank, round(score, 4) as score from p where rank <= 25
 """)
 def pooled_query(spark, d):
-    n = _n_collections(base.chunks(spark, d))
-    pool = retrieval.per_collection(_asked_scores(spark, d), fixed.RETRIEVE_K, n)
+    pool = _per_collection(spark, d)
     best = ranking.top_k(pool, ["query_id"], fixed.RERANK_K, ranking.score_order())
     return _bigint(best, "rank").select("query_id", "collection", "chunk_id", "rank", F.round("score", 4).alias("score"))
 
 
+# All words of a step's texts, or an equal share of each once they exceed the budget.
+def _step_sql(texts: str, budget: int) -> str:
+    joined = f"array_to_string({texts}, chr(10) || chr(10))"
+    share = f"greatest(1, {budget} // greatest(1, len({texts})) - 2)::int"
+    return f"case when length({joined}) <= {budget} then {joined} else array_to_string(list_transform({texts}, lambda t: left(t, {share})), chr(10) || chr(10)) end"
+
+
+def _tree_sql(source: str, keys: str, steps: int, name: str, budget: int = answering.BUDGET) -> str:
+    """CTEs that put the ``text`` of ``source``(keys, place, text) together in groups of neighbours, and end in ``name``."""
+    out, last = [], source
+    for k in range(steps):
+        now = name if k == steps - 1 else f"{name}_{k}"
+        out.append(f"""{now}_t as (select {keys}, place // {answering.FAN} as place, list(text order by place) as texts from {last} group by {keys}, place // {answering.FAN}),
+{now} as (select {keys}, place, {_step_sql('texts', budget)} as text from {now}_t)""")
+        last = now
+    return ",\n".join(out)
+
+
+TOLD = f"""
+{ASKED}, {PER_COLLECTION},
+told as (
+  select query_id, p.collection, collection_rank, {collapse_sql("coalesce(c.text, '')")} as text from per_collection p join chunks c using (chunk_id)),
+kept as (select query_id, collection, collection_rank - 1 as place, text from told where text <> '' and not starts_with(lower(text), 'not documented')),
+{_tree_sql('kept', 'query_id, collection', 1, 'answered')},
+sections as (select query_id, collection, text as response from answered where text <> '' and not starts_with(lower(text), 'not documented'))"""
+
+
+def _sections(spark, d):
+    found = _per_collection(spark, d).withColumnRenamed("collection_rank", "rank")
+    return answering.collection_answers(found, base.chunks(spark, d), ranking.per_collection_k(fixed.RETRIEVE_K, _n_collections(spark, d)))
+
+
+@query(f"with {TOLD} select query_id, collection, '[' || collection || ']' || chr(10) || response as response from sections")
+def iterative_sections(spark, d):
+    headed = F.concat(F.lit("["), "collection", F.lit("]\n"), "response")
+    return _sections(spark, d).select("query_id", "collection", headed.alias("response"))
+
+
 @query(f"""
-with {ASKED}, {PER_COLLECTION}
-select query_id::bigint as query_id, p.collection, '[' || p.collection || ']' || chr(10) || {collapse_sql('c.text')} as response
-from per_collection p join chunks c using (chunk_id)
-where collection_rank = 1 and not starts_with(lower({collapse_sql('c.text')}), 'not documented')
+with {TOLD},
+named as (
+  select query_id, row_number() over (partition by query_id order by collection) - 1 as place,
+    count(*) over (partition by query_id) as n, collection, response from sections),
+several as (select query_id, place, '[' || collection || ']' || chr(10) || response as text from named where n > 1),
+{_tree_sql('several', 'query_id', 2, 'more')},
+told_all as (select query_id, response as text, 1 as n from named where n = 1
+  union all select query_id, text, (select count(*) from sections s where s.query_id = more.query_id) from more)
+select i.entity_id as query_id, md5(coalesce(t.text, 'Not documented.')) as response_md5, coalesce(t.n, 0)::bigint as n_sections,
+  length(coalesce(t.text, 'Not documented.')) as n_chars
+from (select distinct entity_id from variants) i left join told_all t on t.query_id = i.entity_id
 """)
-def iterative_sections(spark, d):
-    chunks = base.chunks(spark, d)
-    top = retrieval.per_collection(_asked_scores(spark, d), fixed.RETRIEVE_K, _n_collections(chunks))
-    return retrieval.answer_per_collection(top.join(chunks.select("chunk_id", "text"), "chunk_id"))
+def iterative_answers(spark, d):
+    """Every collection answers from all its candidates; the answers of a question are put together in a tree."""
+    questions = base.whole_questions(spark, d).select(F.col("entity_id").alias("query_id"))
+    n = _n_collections(spark, d)
+    out = answering.polished(materialize(_sections(spark, d), "sections"), questions, max(n, answering.FAN + 1))
+    return out.select("query_id", F.md5("response").alias("response_md5"), "n_sections", F.length("response").cast("bigint").alias("n_chars"))
+
+
+FUSED = f"""
+{CHUNKS}, {PHRASINGS}, {base.bm25('chunks', 'phrasings')},
+{embedded_sql('chunks', 'chunk_id', 'text', 'made')}, {embedded_sql('phrasings', 'entity_id, pos', 'variant', 'asked')},
+lex as (select entity_id as query_id, pos, collection, chunk_id, {RANK.format(p='entity_id, pos, collection')} as rank from scores),
+near as (
+  select a.entity_id as query_id, a.pos, c.collection, c.chunk_id, round({cosine('a.embedding', 'm.embedding')}, 9) as score
+  from asked a, made m join chunks c on c.chunk_id = m.chunk_id),
+dense as (select query_id, pos, collection, chunk_id, {RANK.format(p='query_id, pos, collection')} as rank from near),
+lists as (select * from lex union all select * from dense),
+fused as (
+  select query_id, collection, chunk_id, sum(1.0::double / (60 + rank - 1)) as score
+  from lists where rank <= greatest(88 // (select count(distinct collection) from chunks), 5) group by all),
+found as (
+  select * from (select query_id, collection, chunk_id, score, {RANK.format(p='query_id, collection')} as rank from fused)
+  where rank <= greatest(88 // (select count(distinct collection) from chunks), 5))"""
+
+
+def _phrased(spark, d):
+    asked = base.phrasings(spark, d)
+    return asked, materialize(asked.select("entity_id", "pos", embed(F.col("variant")).alias("embedding")), "phrasing-vectors")
+
+
+@query(f"with {FUSED} select query_id, collection, chunk_id, rank, round(score, 6) as score from found")
+def hybrid_per_collection(spark, d):
+    """Six lists of each item and collection, three phrasings by words and by vectors, fused inside the collection."""
+    asked, vectors = _phrased(spark, d)
+    k = ranking.per_collection_k(fixed.RETRIEVE_K, _n_collections(spark, d))
+    out = answering.hybrid_per_collection(base.index(spark, d), base.embedded(spark, d), asked, vectors, k)
+    return _bigint(out, "rank").select("query_id", "collection", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 POOL88 = f"""
-{CHUNKS}, {FIRST_VECTORS}, {PAIRED}, {base.bm25('stored', 'paired')},
+{STORED}, {base.bm25()},
 pool as (
   select query_id, chunk_id, collection, text, embedding from (
     select entity_id as query_id, s.chunk_id, {RANK.format(p='entity_id').replace('chunk_id)', 's.chunk_id)')} as rank
@@ -284,10 +354,10 @@ reranked as (
 
 
 def _pool(spark, d):
-    stored, texts, qv = _paired(spark, d)
-    lexical = retrieval.lexical_ranking(stored, texts).drop("collection")
-    top = ranking.top_k(lexical, ["query_id"], fixed.RETRIEVE_K, ranking.score_order())
-    return top.select("query_id", "chunk_id").join(stored, "chunk_id"), qv
+    """The best candidates of every item by words, with texts and vectors, and the items' vectors."""
+    asked = base.whole_questions(spark, d)
+    top = base.index(spark, d).ranking(asked, fixed.RETRIEVE_K)
+    return top.select("query_id", "chunk_id").join(base.embedded(spark, d), "chunk_id"), _embedded_questions(asked)
 
 
 @query(f"""
@@ -328,7 +398,7 @@ def ranking_report(spark, d):
 
 
 DENSE_POOL = f"""
-{CHUNKS}, {FIRST_VECTORS}, {PAIRED}, {nearest('asked', 'stored', 88, 'dense')},
+{STORED}, {nearest('qv', 'stored', 88, 'dense')},
 pool as (select d.query_id, d.chunk_id, d.score, d.rank, s.text from dense d join stored s using (chunk_id)),
 pool_chunks as (select query_id as collection, chunk_id, text from pool)"""
 
@@ -341,8 +411,8 @@ r as (select p.query_id, p.chunk_id, coalesce(b.score, 0.0)::double as score
 select query_id, chunk_id, round(score, 4) as score, {RANK.format(p='query_id')} as rank from r
 """)
 def bm25_rerank(spark, d):
-    stored, texts, qv = _paired(spark, d)
-    near = vector.nearest(stored, qv, fixed.RETRIEVE_K)
+    texts, stored = base.whole_questions(spark, d), base.embedded(spark, d)
+    near = vector.nearest(stored, _embedded_questions(texts), fixed.RETRIEVE_K)
     pool = near.select(F.col("query_id").alias("collection"), "chunk_id").join(
         stored.select("chunk_id", "text"), "chunk_id"
     )
@@ -363,10 +433,11 @@ c as (select *, 25 + count(*) filter (rank > 25 and is_keyword) over (partition
 select query_id, chunk_id, rank, is_keyword, cutoff, case when rank <= cutoff then 'INCLUDED' else 'DROPPED' end as status from c
 """)
 def boosted_cutoff(spark, d):
-    stored, texts, qv = _paired(spark, d)
-    near = vector.nearest(stored, qv, fixed.RETRIEVE_K)
+    stored = base.embedded(spark, d)
+    near = vector.nearest(stored, _embedded_questions(base.whole_questions(spark, d)), fixed.RETRIEVE_K)
     ranked = near.join(stored.select("chunk_id", "text"), "chunk_id")
-    probes = base.probes(spark, d).where("pos < 2").join(qv, F.col("entity_id") == qv.query_id, "left_semi")
+    # an item's two longest words are its names, which the boost is about
+    probes = base.probes(spark, d).where("pos < 2")
     hits = keyword.entity_hits(base.chunks(spark, d), probes).withColumnRenamed("entity_id", "query_id")
     out = ranking.boosted_cutoff(ranked, ranking.keyword_flags(ranked, hits))
     return _bigint(out, "rank", "cutoff").select("query_id", "chunk_id", "rank", "is_keyword", "cutoff", "status")
@@ -484,14 +555,61 @@ def mmr_select(spark, d):
     return _bigint(out, "rank").withColumn("score", F.round("score", 5))
 
 
-def _whole(spark, d):
-    """Every chunk and every item, and vectors of both made from their texts, whether or not a stored vector has their number."""
-    chunks = base.chunks(spark, d)
-    vectors = materialize(chunks.select("chunk_id", embed(F.col("text")).alias("embedding")), "embedded")
-    asked = base.whole_questions(spark, d)
-    return chunks, vectors, asked, asked.select(F.col("entity_id").alias("query_id"), embed(F.col("variant")).alias("embedding"))
+@query(f"""
+with {POOL88},
+tq as (select distinct entity_id as query_id, w from (select entity_id, unnest(regexp_split_to_array(lower(variant), '[^a-z0-9]+')) as w from variants) where w <> ''),
+tc as (select distinct chunk_id, w from (select chunk_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) as w from chunks) where w <> ''),
+nq as (select query_id, count(*) as n from tq group by 1), nc as (select chunk_id, count(*) as n from tc group by 1),
+shared as (select p.query_id, p.chunk_id, count(*) as n from pool p join tq using (query_id) join tc on tc.chunk_id = p.chunk_id and tc.w = tq.w group by all),
+s as (select p.query_id, p.chunk_id, coalesce(b.n, 0) / greatest(1, coalesce(nq.n, 0) + coalesce(nc.n, 0) - coalesce(b.n, 0)) as score
+  from pool p left join shared b on b.query_id = p.query_id and b.chunk_id = p.chunk_id left join nq on nq.query_id = p.query_id left join nc on nc.chunk_id = p.chunk_id),
+r as (select query_id, chunk_id, score, {RANK.format(p='query_id')} as rank from s)
+select query_id, chunk_id, rank, round(score, 6) as score, 'cross-encoder' as ranker from r where rank <= 25
+""")
+def cross_encoder_rerank(spark, d):
+    """The pool of every item, scored pair by pair with the offline model."""
+    pool, vectors = _pool(spark, d)
+    asked = base.whole_questions(spark, d).select(F.col("entity_id").alias("query_id"), F.col("variant").alias("question"))
+    out = cross_encoder.rerank(pool, asked.join(vectors, "query_id"), fixed.RERANK_K)
+    return _bigint(out, "rank").select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"), "ranker")
+
+
+@query(f"""
+with {CHUNKS}, t as (select collection, chunk_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) as term from chunks),
+c as (select collection, count(*) as n from chunks group by 1)
+select collection, term, count(distinct chunk_id) as df, count(*) as total, round(ln(1 + (any_value(n) - count(distinct chunk_id) + 0.5) / (count(distinct chunk_id) + 0.5)), 6) as idf
+from t join c using (collection) where term <> '' group by collection, term
+""")
+def inverted_index(spark, d):
+    """The index is written anew, and gives the terms of every collection with their counts and weights."""
+    built = InvertedIndex(base.chunks(spark, d))
+    return built.terms().select("collection", "term", "df", "total", F.round("idf", 6).alias("idf"))
+
+
+@query(f"""
+with {FUSED},
+pool as (select query_id, chunk_id from found),
+ranked as (
+  select query_id, chunk_id, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from (
+    select p.query_id, p.chunk_id, {cosine('m.embedding', 'a.embedding')} as score
+    from pool p join made m using (chunk_id) join asked a on a.entity_id = p.query_id and a.pos = 0)),
+context as (select *, count(*) over (partition by query_id) as n from ranked where rank <= 25),
+placed as (
+  select query_id, chunk_id, case when n <= 2 then rank - 1 when (rank - 1) % 2 = 0 then (rank - 1) // 2 else n - 1 - (rank - 2) // 2 end as position
+  from context)
+select p.query_id, md5(string_agg({collapse_sql('c.text')}, chr(10) || chr(10) order by p.position)) as response_md5, count(*) as n_sources
+from placed p join chunks c using (chunk_id) group by 1
+""")
+def answer_pooled(spark, d):
+    """Pooled answers as ``answer_questions``, ranked by likeness alone."""
+    asked, vectors = _phrased(spark, d)
+    settings = retrieval.QuerySettings(use_mmr=False)
+    out = answering.answer(base.index(spark, d), base.chunks(spark, d), base.embedded(spark, d), asked, vectors, settings)
+    return out.select("query_id", F.md5("response").alias("response_md5"), "n_sources")
 
 
 @query()
 def answer_questions(spark, d):
-    return retrieval.answer(*_whole(spark, d))
+    """Pooled answers of all items in three phrasings, over the candidates of every collection."""
+    asked, vectors = _phrased(spark, d)
+    return answering.answer(base.index(spark, d), base.chunks(spark, d), base.embedded(spark, d), asked, vectors)

@@ -51,6 +51,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path of this application in the shared folder."""
+    return f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -58,7 +63,7 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     a lost executor re-reads the written table instead of redoing the work.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

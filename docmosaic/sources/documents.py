@@ -82,7 +82,7 @@ HTML_SUFFIXES = (".html", ".htm")
 def read_documents(
     spark: SparkSession, paths: list[str], parsers: dict[str, Parser] | None = None
 ) -> DataFrame:
-    """(path, text) of mixed files, each format by its own reader, united."""
+    """(path, text) of mixed files, each format by its own reader, united; the text of a file that its parser failed on is null."""
     parsers = parsers or {}
     by_suffix: dict[str, list[str]] = {}
     for p in paths:
@@ -102,4 +102,4 @@ def read_documents(
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.where("text is not null")
+    return out

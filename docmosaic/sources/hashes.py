@@ -25,10 +25,17 @@ def changed(files: DataFrame, ledger: DataFrame) -> DataFrame:
     return files.join(known, KEY, "left").where(fresh).drop("_known")
 
 
-def upsert(ledger: DataFrame, files: DataFrame) -> DataFrame:
-    """The ledger with the rows of ``files`` put in place of older ones; unhashed files are left out."""
+def upsert(ledger: DataFrame, files: DataFrame, emptied: DataFrame | None = None) -> DataFrame:
+    """The ledger with the rows of ``files`` put in place of older ones.
+
+    A file that could not be hashed keeps its old row; those in ``emptied`` (collection,
+    file_path) have nothing left and lose theirs.
+    """
     new = files.where("hash is not null").groupBy(*KEY).agg(F.min("hash").alias("hash"))
-    return ledger.select(*KEY, "hash").join(files.select(*KEY), KEY, "left_anti").unionByName(new)
+    kept = ledger.select(*KEY, "hash").join(new.select(*KEY), KEY, "left_anti")
+    if emptied is not None:
+        kept = kept.join(emptied.select(*KEY).distinct(), KEY, "left_anti")
+    return kept.unionByName(new)
 
 
 def remove(ledger: DataFrame, collections: list[str]) -> DataFrame:

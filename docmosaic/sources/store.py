@@ -97,12 +97,13 @@ class ChunkStore:
     def ledger(self) -> DataFrame:
         return self.spark.table(self.ledger_table).select("collection", "file_path", "hash")
 
-    def record(self, files: DataFrame) -> None:
-        """Put the hashes of ingested files in the ledger; only their collections are rewritten."""
+    def record(self, files: DataFrame, emptied: DataFrame | None = None) -> None:
+        """Put the hashes of ingested files in the ledger and take out the emptied ones; only their collections are rewritten."""
         from docmosaic.session import materialize
         from docmosaic.sources.hashes import upsert
 
-        touched = files.select("collection").distinct()
+        touched = files.select("collection")
+        touched = (touched if emptied is None else touched.unionByName(emptied.select("collection"))).distinct()
         old = self.ledger().join(touched, "collection", "left_semi")
-        rows = materialize(upsert(old, files), "ledger").select("file_path", "hash", "collection")
+        rows = materialize(upsert(old, files, emptied), "ledger").select("file_path", "hash", "collection")
         self._overwrite(rows, self.ledger_table)

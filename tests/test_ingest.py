@@ -107,7 +107,7 @@ def test_readers(spark, tmp_path):
 
     paths = [str(tmp_path / n) for n in ("a.md", "b.html", "c.pdf", "d.pdf")]
     got = {r.path.rsplit("/", 1)[1]: r.text for r in documents.read_documents(spark, paths, {".pdf": parser}).collect()}
-    assert got == {"a.md": "# A\ntext", "b.html": "Hello you", "c.pdf": "GOOD"}
+    assert got == {"a.md": "# A\ntext", "b.html": "Hello you", "c.pdf": "GOOD", "d.pdf": None}
     with pytest.raises(ValueError):
         documents.read_documents(spark, [str(tmp_path / "e.docx")])
 
@@ -217,6 +217,40 @@ def test_changed_files(spark, rows):
     assert rows(hashes.upsert(ledger, files)) == [("c", "a", "1"), ("c", "b", "2"), ("c", "x", "9"), ("d", "a", "1")]
 
 
+def test_emptied_files_leave_the_ledger(spark, rows):
+    schema = "collection string, file_path string, hash string"
+    ledger = spark.createDataFrame([("c", "a", "1"), ("c", "b", "0"), ("d", "b", "4")], schema)
+    emptied = spark.createDataFrame([("c", "b")], "collection string, file_path string")
+    files = spark.createDataFrame([("c", "a", None)], schema)
+    assert rows(hashes.upsert(ledger, files, emptied)) == [("c", "a", "1"), ("d", "b", "4")]
+
+
+def test_unreadable_files_are_tried_again(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"a first text of the club")
+    (tmp_path / "b.pdf").write_bytes(b"another text of the season")
+    config = ingest.IngestConfig.from_dict({"collection_name": "retry", "file_paths": [str(tmp_path / "a.pdf"), str(tmp_path / "b.pdf")]})
+    store = ChunkStore(spark, "retry_chunks", "retry_hashes")
+
+    def parser(broken):
+        def parse(content):
+            if broken in content:
+                raise ValueError("broken file")
+            return content.decode()
+
+        return {".pdf": parse}
+
+    texts = lambda: sorted(r.text for r in store.chunks().collect())
+    assert ingest.ingest(spark, config, store, parsers=parser(b"season")) == 1
+    assert store.ledger().count() == 1 and texts() == ["a first text of the club"]
+    assert ingest.ingest(spark, config, store, parsers=parser(b"nothing")) == 1
+    assert store.ledger().count() == 2 and len(texts()) == 2
+    (tmp_path / "b.pdf").write_bytes(b"the season was changed")
+    assert ingest.ingest(spark, config, store, parsers=parser(b"season")) == 0
+    assert store.ledger().count() == 2 and "another text of the season" in texts()  # what was readable stays
+    assert ingest.ingest(spark, config, store, parsers=parser(b"nothing")) == 1
+    assert texts() == ["a first text of the club", "the season was changed"]
+
+
 def test_embedding_is_deterministic(spark):
     df = spark.createDataFrame([("the Club",), ("THE club",), ("",)], "t string").select(embed(F.col("t")).alias("e"))
     a, b, c = [r.e for r in df.collect()]

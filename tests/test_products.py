@@ -46,6 +46,8 @@ def test_command_line(spark, tmp_path, capsys):
     assert "0 chunks" in run("ingest", tmp_path / "batch.yaml")
     assert "hb_s01" in run("status") and "TOTAL" in run("status")
     assert "register" in run("query", "-q", "who shall register players", "--collection", "hb_s01")
+    both = run("query", "-q", "who shall register players", "-q", "players registration", "--iterative")
+    assert "[hb_s01]" in both and "register" in both
     model, out = ("--model-json", tmp_path / "model.json"), ("--output-dir", tmp_path / "out")
     run("catalog", *model, "--inventory-json", tmp_path / "inv.json", "--aliases", tmp_path / "aliases.yaml", *out)
     rows = {r.entity_name: r for r in spark.read.json(str(tmp_path / "out/catalog")).collect()}
@@ -65,7 +67,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads(run("graph", *model, "Club"))["neighbors"][0]["relationship_type"] == "asks"
     for ranker in ("embedding", "bm25", "boosted"):
         assert "INCLUDED" in run("diagnose", "--entity", "club", "--ranker", ranker)
-    assert "would drop hb_s01" in run("delete", "hb")
+    assert run("delete", "hb").split() == ["would", "drop", "hb", "hb_s01", "hb_s02"]
     run("delete", "hb", "--force")
     assert ChunkStore(spark, "p_chunks", "p_hashes").collections() == []
 
