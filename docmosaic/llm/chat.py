@@ -3,7 +3,8 @@
 A conversation is rendered whole: each turn is a start mark, the role, a middle mark, the
 text and an end mark. Control strings in roles and texts are escaped by a character after
 their first one, which undoes exactly. The rendered text is encoded once, with the offsets
-of every token; the marks are special tokens, so no token crosses the bounds of a turn.
+of every token; the marks are special tokens, so no token crosses the bounds of a turn, and
+a long conversation is encoded in runs of turns, which gives the tokens of the whole.
 Turn spans and token spans are both sorted, and a binary search finds the tokens of each
 assistant text: those are the loss mask.
 """
@@ -11,11 +12,11 @@ assistant text: those are the loss mask.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from docmosaic.llm.common import bounded_batches
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: Characters of turns that are encoded at once.
+RUN_CHARS = 256 * 1024
 _TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -62,15 +65,15 @@ class Template:
     def unescaped(self, text: str) -> str:
         return self._parts[1].sub("", text)
 
-    def render(self, turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
-        """The whole conversation, and where each turn's escaped text lies in it."""
+    def render(self, turns: list[tuple[str, str]]) -> tuple[list[str], list[tuple[int, int]]]:
+        """The turns of the whole conversation, and where each turn's escaped text lies in it."""
         out, spans, at = [], [], 0
         for role, text in turns:
             head, body = self.start + self.escaped(role) + self.middle, self.escaped(text)
             spans.append((at + len(head), at + len(head) + len(body)))
-            out += [head, body, self.end]
+            out.append(head + body + self.end)
             at = spans[-1][1] + len(self.end)
-        return "".join(out), spans
+        return out, spans
 
     def parse(self, rendered: str) -> list[tuple[str, str]]:
         """The turns of a rendered conversation."""
@@ -81,23 +84,42 @@ class Template:
         return turns
 
 
-def masked(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
-    """First and one-past-last token of each span, by binary search in the sorted offsets."""
-    starts, ends = [a for a, _ in offsets], [b for _, b in offsets]
-    return [bisect_left(starts, a) for a, b in spans], [max(bisect_left(starts, a), bisect_right(ends, b)) for a, b in spans]
+def masked(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Which tokens lie in the spans, by binary search in the sorted offsets."""
+    out = np.zeros(len(starts), bool)
+    if spans:
+        a, b = np.array(spans, np.int64).T
+        first = np.searchsorted(starts, a)
+        last = np.maximum(first, np.searchsorted(ends, b, "right"))
+        for x, y in zip(first.tolist(), last.tolist()):
+            out[x:y] = True
+    return out
 
 
-def covered(rendered: str, offsets: list[tuple[int, int]], mask: list[bool]) -> list[str]:
+def covered(rendered: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> list[str]:
     """The stretches of text under the mask; tokens that are parts of one character share its offsets."""
-    runs: list[list[int]] = []
-    for (a, b), on in zip(offsets, mask):
-        if not on:
-            continue
-        if runs and a <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], b)
-        else:
-            runs.append([a, b])
-    return [rendered[a:b] for a, b in runs]
+    starts, ends = starts[mask], ends[mask]
+    if not len(starts):
+        return []
+    upto = np.maximum.accumulate(ends)
+    new = np.flatnonzero(np.concatenate(([True], starts[1:] > upto[:-1])))
+    return [rendered[a:b] for a, b in zip(starts[new].tolist(), upto[np.append(new[1:], len(starts)) - 1].tolist())]
+
+
+def encoded(encoder, parts: list[str], most: int = RUN_CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets) of the joined ``parts``, each a rendered turn; runs of them of about ``most`` characters at a time."""
+    ids, offsets, at, k = [np.zeros(0, np.int32)], [np.zeros((0, 2), np.int32)], 0, 0
+    while k < len(parts):
+        run, size = [], 0
+        while k < len(parts) and (not run or size + len(parts[k]) <= most):
+            run.append(parts[k])
+            size += len(parts[k])
+            k += 1
+        code = encoder.encode("".join(run), add_special_tokens=False)
+        ids.append(np.array(code.ids, np.int32))
+        offsets.append(np.array(code.offsets, np.int32).reshape(-1, 2) + at)
+        at += size
+    return np.concatenate(ids), np.concatenate(offsets)
 
 
 def _tokenizer(file: str, template: Template) -> str:
@@ -113,7 +135,8 @@ def _tokenizer(file: str, template: Template) -> str:
 
 def format_conversations(turns: DataFrame, template: Template = Template(), *, tokenizer_file: str = TOKENIZER,
                          conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, formatted, n_turns, ids, mask): one row per conversation; ``mask`` marks the tokens to learn.
+    """(conv_id, formatted, n_turns, ids, mask, starts, ends): one row per conversation; ``mask`` marks the tokens to
+    learn, ``starts`` and ``ends`` are the offsets of the tokens in ``formatted``.
 
     A null role or text is empty; turns go by number (nulls first), then role and text; rows
     that repeat are turns of their own. A conversation of empty texts has empty masks, a
@@ -138,47 +161,54 @@ def format_conversations(turns: DataFrame, template: Template = Template(), *, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Tokenizer.from_str(shared.value)
+        held, size = [], 0
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                talks_ = [[(t["role"], t["text"]) for t in x] for x in part.column(1).to_pylist()]
-                rendered = [template.render(x) for x in talks_]
-                ids, masks = [], []
-                for talk, (text, spans), code in zip(talks_, rendered, encoder.encode_batch([t for t, _ in rendered], add_special_tokens=False)):
-                    mask = [False] * len(code.ids)
-                    wanted = [s for (role, _), s in zip(talk, spans) if role in template.learned and s[0] < s[1]]
-                    for first, last in zip(*masked(code.offsets, wanted)):
-                        mask[first:last] = [True] * (last - first)
-                    ids.append(code.ids)
-                    masks.append(mask)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([t for t, _ in rendered]), pa.array([len(x) for x in talks_], pa.int64()),
-                     pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.bool_()))],
-                    names=["conv_id", "formatted", "n_turns", "ids", "mask"])
-
-    return talks.mapInArrow(run, f"conv_id {kind}, formatted string, n_turns bigint, ids array<int>, mask array<boolean>")
-
-
-def read_back(formatted: DataFrame, template: Template = Template(), *, tokenizer_file: str = TOKENIZER) -> DataFrame:
-    """(conv_id, formatted, turns, learned): what ``formatted`` and its mask say: the turns, and the unescaped text under the mask."""
-    from tokenizers import Tokenizer
-
-    spark = formatted.sparkSession
-    shared = spark.sparkContext.broadcast(_tokenizer(tokenizer_file, template))
+            # one conversation at a time becomes Python objects
+            for k in range(batch.num_rows):
+                talk = [(t["role"], t["text"]) for t in batch.column(1)[k].as_py()]
+                parts, spans = template.render(talk)
+                ids, offsets = encoded(encoder, parts)
+                mask = masked(offsets[:, 0], offsets[:, 1], [s for (role, _), s in zip(talk, spans) if role in template.learned and s[0] < s[1]])
+                held.append((batch.column(0)[k].as_py(), "".join(parts), len(talk), ids, mask, offsets))
+                size += sum(map(len, parts))
+                if size >= RUN_CHARS:
+                    yield _rows(held, batch.schema.field(0).type)
+                    held, size = [], 0
+            if held:
+                yield _rows(held, batch.schema.field(0).type)
+                held, size = [], 0
+
+    return talks.mapInArrow(
+        run, f"conv_id {kind}, formatted string, n_turns bigint, ids array<int>, mask array<boolean>, starts array<int>, ends array<int>")
+
+
+def _rows(held: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    names, texts, turns, ids, masks, offsets = zip(*held)
+    cuts = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+    lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(x))) for x in (ids, masks, [o[:, 0] for o in offsets], [o[:, 1] for o in offsets])]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(names, kind), pa.array(texts, pa.string()), pa.array(turns, pa.int64()), *lists],
+        names=["conv_id", "formatted", "n_turns", "ids", "mask", "starts", "ends"])
+
+
+def read_back(formatted: DataFrame, template: Template = Template()) -> DataFrame:
+    """(conv_id, formatted, turns, learned): what ``formatted``, its mask and its offsets say: the turns, and the unescaped text under the mask."""
     kind = formatted.schema["conv_id"].dataType.simpleString()
+    struct = pa.struct([("role", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Tokenizer.from_str(shared.value)
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                texts = part.column(1).to_pylist()
-                turns = [[{"role": r, "text": t} for r, t in template.parse(x)] for x in texts]
-                learned = []
-                for text, mask, code in zip(texts, part.column(2).to_pylist(), encoder.encode_batch(texts, add_special_tokens=False)):
-                    learned.append("".join(template.unescaped(x) for x in covered(text, code.offsets, mask)))
+            lists = batch.columns[2:]
+            cuts = lists[0].offsets.to_numpy()
+            mask, starts, ends = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+            for k in range(batch.num_rows):
+                a, b = cuts[k] - cuts[0], cuts[k + 1] - cuts[0]
+                text = batch.column(1)[k].as_py()
+                learned = "".join(template.unescaped(x) for x in covered(text, starts[a:b], ends[a:b], mask[a:b]))
+                turns = [{"role": r, "text": t} for r, t in template.parse(text)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(turns, pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))), pa.array(learned, pa.string())],
+                    [batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([turns], pa.list_(struct)), pa.array([learned], pa.string())],
                     names=["conv_id", "formatted", "turns", "learned"])
 
-    return formatted.select("conv_id", "formatted", "mask").mapInArrow(run, f"conv_id {kind}, formatted string, turns {_TURNS}, learned string")
+    return formatted.select("conv_id", "formatted", "mask", "starts", "ends").mapInArrow(
+        run, f"conv_id {kind}, formatted string, turns {_TURNS}, learned string")

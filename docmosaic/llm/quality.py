@@ -24,25 +24,31 @@ from docmosaic.llm.common import fold, ids_and_texts, in_pieces, labelled_sample
 
 FILTERS, WIDTH, CODE_WIDTH, HIDDEN, STRIDE = 8, 6, 2, 24, 2
 BLOCK = 256
+#: How far back a repeat is looked for; more than a filter reads ahead.
+GAP = 16
 PER_CLASS = 1200
 EPOCHS, BATCH, RATE, DECAY = 6, 24, 0.005, 1e-4
 PIECE_BYTES = 32 * 1024
 
 
-def _layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes in blocks, what each repeats, which positions are text, and each text's first block."""
+def _layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes in blocks, what each repeats, which positions are text, each text's first block and number of blocks.
+
+    A text that leaves less than ``GAP`` of its last block free is followed by an empty
+    block, so that no filter and no repeat reaches from one text into another.
+    """
     sizes = np.array([len(x) for x in texts])
     blocks = np.maximum(1, -(-sizes // BLOCK))
-    first = np.concatenate([[0], np.cumsum(blocks)])
+    first = np.concatenate([[0], np.cumsum(blocks + (blocks * BLOCK - sizes < GAP))])
     data = np.zeros(first[-1] * BLOCK + WIDTH, np.uint8)
     real = np.zeros(first[-1] * BLOCK, bool)
     code = np.zeros(len(data), np.uint8)
     for x, b in zip(texts, first[:-1] * BLOCK):
         data[b : b + len(x)] = np.frombuffer(x, np.uint8)
         real[b : b + len(x)] = True
-    for lag in range(1, 17):
+    for lag in range(1, GAP + 1):
         code[lag:] |= ((data[lag:] == data[:-lag]) & (data[lag:] > 0)).astype(np.uint8) << np.uint8((lag - 1) // 2)
-    return data.astype(np.intp), code.astype(np.intp), real, first
+    return data.astype(np.intp), code.astype(np.intp), real, first[:-1], blocks
 
 
 def _convolve(net: dict, data: np.ndarray, code: np.ndarray, real: np.ndarray) -> np.ndarray:
@@ -60,23 +66,27 @@ def _convolve(net: dict, data: np.ndarray, code: np.ndarray, real: np.ndarray) -
     return out.reshape(-1, BLOCK // STRIDE, FILTERS)
 
 
-def _chunks(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _chunks(first: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two neighbouring blocks make a chunk, the only block of a short text one by itself; and each text's first chunk."""
     left, right, start = [], [], [0]
-    for a, b in zip(first[:-1], first[1:]):
-        left.append(np.arange(a, max(a + 1, b - 1)))
-        right.append(np.minimum(left[-1] + 1, b - 1))
+    for a, n in zip(first, blocks):
+        left.append(np.arange(a, a + max(1, n - 1)))
+        right.append(np.minimum(left[-1] + 1, a + n - 1))
         start.append(start[-1] + len(left[-1]))
     return np.concatenate(left), np.concatenate(right), np.array(start)
 
 
-def _pooled(net: dict, texts: list[bytes]) -> dict:
-    data, code, real, first = _layout(texts)
+def _blocks(net: dict, data: np.ndarray, code: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(answers, top, mean, share) of every block by itself."""
     answers = _convolve(net, data, code, real)
-    top = answers.max(axis=1)
     share = np.maximum(1, real[::STRIDE].reshape(len(answers), -1).sum(axis=1))[:, None].astype(np.float32)
-    mean = answers.sum(axis=1) / share
-    left, right, start = _chunks(first)
+    return answers, answers.max(axis=1), answers.sum(axis=1) / share, share
+
+
+def _pooled(net: dict, texts: list[bytes]) -> dict:
+    data, code, real, first, blocks = _layout(texts)
+    answers, top, mean, share = _blocks(net, data, code, real)
+    left, right, start = _chunks(first, blocks)
     z = np.concatenate([np.maximum(top[left], top[right]), (mean[left] + mean[right]) / 2], axis=1)
     return {"data": data, "code": code, "answers": answers, "top": top, "share": share, "left": left, "right": right, "start": start, "z": z}
 
@@ -163,18 +173,34 @@ def fit(texts: list[bytes], y: np.ndarray, seed: int = 7, epochs: int = EPOCHS)
     return net
 
 
+def _logit(net: dict, top: np.ndarray, mean: np.ndarray) -> float:
+    """One text from its blocks alone: sums do not depend on what else is scored."""
+    left, right, start = _chunks(np.zeros(1, np.int64), np.array([len(top)]))
+    z = np.concatenate([np.maximum(top[left], top[right]), (mean[left] + mean[right]) / 2], axis=1)
+    return float(_head(net, z, start)[2][0])
+
+
 def logits(net: dict, texts: list[bytes]) -> np.ndarray:
-    """One number for each whole text; long texts are convolved piece by piece, in whole blocks."""
+    """One number for each whole text, the same whatever other texts there are.
+
+    Long texts are convolved piece by piece, in whole blocks, with a block of context at both ends.
+    """
     out = np.empty(len(texts))
     for lo, hi in in_pieces(texts, PIECE_BYTES):
         if hi - lo > 1 or len(texts[lo]) <= 2 * PIECE_BYTES:
-            p = _pooled(net, texts[lo:hi])
-            out[lo:hi] = _head(net, p["z"], p["start"])[2]
+            data, code, real, first, blocks = _layout(texts[lo:hi])
+            _, top, mean, _ = _blocks(net, data, code, real)
+            out[lo:hi] = [_logit(net, top[a : a + n], mean[a : a + n]) for a, n in zip(first, blocks)]
         else:
-            size = PIECE_BYTES // BLOCK * BLOCK
-            z = [_pooled(net, [texts[lo][max(0, at - BLOCK) : at + size]])["z"] for at in range(0, len(texts[lo]), size)]
-            z = np.concatenate(z)
-            out[lo] = _head(net, z, np.array([0, len(z)]))[2][0]
+            text, size, tops, means = texts[lo], PIECE_BYTES // BLOCK * BLOCK, [], []
+            for at in range(0, len(text), size):
+                before = BLOCK if at else 0
+                data, code, real, _, _ = _layout([text[at - before : at + size + BLOCK]])
+                _, top, mean, _ = _blocks(net, data, code, real)
+                a, n = before // BLOCK, -(-min(size, len(text) - at) // BLOCK)
+                tops.append(top[a : a + n])
+                means.append(mean[a : a + n])
+            out[lo] = _logit(net, np.concatenate(tops), np.concatenate(means))
     return out
 
 

@@ -62,6 +62,26 @@ def test_whole_long_texts_are_scored():
     assert quality.logits(net, [long + b"### &&& $$$ " * 3000])[0] < quality.logits(net, [long])[0]
 
 
+def test_scores_do_not_depend_on_other_texts():
+    """Bit for bit: alone, among others, before and after texts that fill their last block, long ones in pieces."""
+    net = quality.fit([b"plain words here " * 9, b"### &&& $$$ " * 9] * 8, np.array([1, 0] * 8, np.float32), epochs=5)
+    r = random.Random(3)
+    texts = [b"", b"abc", b"a" * 512, b"ab" * 127 + b"a", r.randbytes(511), b"xyz " * 64, r.randbytes(90_000), b"ab" * 40_000, r.randbytes(250), b"a" * 512]
+    alone = [quality.logits(net, [t])[0] for t in texts]
+    for _ in range(6):
+        order = list(range(len(texts)))
+        r.shuffle(order)
+        assert quality.logits(net, [texts[k] for k in order]).tolist() == [alone[k] for k in order]
+
+
+def test_pieces_of_a_long_text_score_as_the_whole(monkeypatch):
+    net = quality.fit([b"abc" * 100, b"#$%" * 100] * 4, np.array([1, 0] * 4, np.float32), epochs=2)
+    text = random.Random(8).randbytes(70_000) + b"ab" * 9000
+    cut = quality.logits(net, [text])[0]
+    monkeypatch.setattr(quality, "PIECE_BYTES", 1 << 20)
+    assert quality.logits(net, [text])[0] == cut
+
+
 def test_classifiers_at_the_edges(spark, docs):
     rows = docs([(1, None), (2, ""), (None, "text"), (3, "x " * 50_000), (3, "x " * 50_000)])
     none = spark.createDataFrame([(7, 1)], "doc_id bigint, quality int").withColumn("toxic", F.col("quality"))

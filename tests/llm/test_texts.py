@@ -88,17 +88,37 @@ def test_round_trip_and_edges(spark, docs):
 def test_escapes_undo_exactly():
     t = chat.Template()
     r = random.Random(1)
-    parts = [*t.all, "\\", "<", "|", "s>", "/INST]", "[", "ü", "\n", ""]
+    pool = [*t.all, "\\", "<", "|", "s>", "/INST]", "[", "ü", "\n", ""]
     for _ in range(2000):
-        text = "".join(r.choice(parts) for _ in range(r.randrange(8)))
+        text = "".join(r.choice(pool) for _ in range(r.randrange(8)))
         inside = t.escaped(text)
         assert not any(c in inside for c in t.all)
         assert t.unescaped(inside) == text
-        rendered, spans = t.render([("user", text), (text, text)])
+        parts, spans = t.render([("user", text), (text, text)])
+        rendered = "".join(parts)
         assert t.parse(rendered) == [("user", text), (text, text)]
         assert [t.unescaped(rendered[a:b]) for a, b in spans] == [text, text]
 
 
+def test_runs_of_turns_give_the_tokens_of_the_whole(spark):
+    from tokenizers import Tokenizer
+
+    t = chat.Template()
+    encoder = Tokenizer.from_str(chat._tokenizer(chat.TOKENIZER, t))
+    r = random.Random(6)
+    talk = [(r.choice(["user", "assistant"]), " ".join(r.choice(["ok", "é", "\U0001F600", "don't", "\n", "<s>"]) for _ in range(r.randrange(12)))) for _ in range(60)]
+    parts, spans = t.render(talk)
+    whole = encoder.encode("".join(parts), add_special_tokens=False)
+    for most in (1, 50, 10**6):
+        ids, offsets = chat.encoded(encoder, parts, most)
+        assert ids.tolist() == whole.ids and [tuple(x) for x in offsets.tolist()] == whole.offsets
+    mask = chat.masked(offsets[:, 0], offsets[:, 1], [s for s in spans if s[0] < s[1]])
+    want = [any(a <= x and y <= b for a, b in spans if a < b) for x, y in whole.offsets]
+    assert mask.tolist() == want
+    assert "".join(chat.covered("".join(parts), offsets[:, 0], offsets[:, 1], mask)) == "".join(t.escaped(x) for _, x in talk)
+    assert chat.encoded(encoder, [])[0].tolist() == []
+
+
 def test_templates_that_cannot_be_undone_are_refused():
     for bad in ("x", "a\\b", "<|tu", "|><|turn"):
         with pytest.raises(ValueError):
