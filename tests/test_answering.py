@@ -34,10 +34,10 @@ def plain(df, *names):
     return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.select(*names).collect())
 
 
-@pytest.mark.parametrize("part, step", [(8192, 8), (50, 1)])
-def test_index_scores_as_the_scan_does(corpus, asked, monkeypatch, part, step):
-    monkeypatch.setattr(inverted, "PART_CHUNKS", part)
-    monkeypatch.setattr(inverted, "STEP", step)
+@pytest.mark.parametrize("segment, postings, reach, step", [(8192, 10**6, 64, 8), (50, 300, 7, 1)])
+def test_index_scores_as_the_scan_does(corpus, asked, monkeypatch, segment, postings, reach, step):
+    for name, value in (("SEGMENT", segment), ("SEGMENT_POSTINGS", postings), ("RANGE", reach), ("STEP", step)):
+        monkeypatch.setattr(inverted, name, value)
     index = InvertedIndex(corpus)
     names = ("entity_id", "pos", "collection", "chunk_id", "score")
     assert plain(index.scores(asked), *names) == plain(bm25.chunk_scores(corpus, asked), *names)
@@ -54,8 +54,14 @@ def test_index_scores_as_the_scan_does(corpus, asked, monkeypatch, part, step):
 
 
 def test_index_reads_only_buckets_and_terms_asked(corpus, asked):
-    plan = InvertedIndex(corpus).terms(bm25.query_terms(asked.where("entity_id = 10")))._jdf.queryExecution().toString()
-    assert "PartitionFilters" in plan and "ReadSchema: struct<term:string,collection:string" in plan and "chunk_ids" in plan
+    index = InvertedIndex(corpus)
+    found = index.postings(bm25.query_terms(asked.where("entity_id = 10")))
+    assert {r.term for r in found.collect()} == {"w3"}
+    plan = found._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(bucket, [" in plan or "PushedFilters: [IsNotNull(bucket), EqualTo(bucket," in plan
+    counts = {(r.collection, r.term): (r.df, r.total) for r in index.terms().collect()}
+    texts = [(r.collection, (r.text or "").lower()) for r in corpus.collect()]
+    assert counts["c0", "w3"] == (sum("w3" in t.split() for c, t in texts if c == "c0"), sum(t.split().count("w3") for c, t in texts if c == "c0"))
 
 
 def test_empty_index_and_empty_question(corpus, asked):
@@ -67,19 +73,21 @@ def test_empty_index_and_empty_question(corpus, asked):
     assert InvertedIndex(named).ranking(asked.where("entity_id = 10"), 5).count() == 5
 
 
-def test_bounds_leave_ranges_unscored(corpus, asked, monkeypatch):
+def test_bounds_leave_ranges_unscored(monkeypatch):
     """The best chunk of a rare word is found without scoring what a frequent one could add elsewhere."""
     monkeypatch.setattr(inverted, "STEP", 1)
-    rows = corpus.where("collection = 'c0'").unionByName(corpus.limit(1).selectExpr("'c0'", "99 as chunk_id", "'rareword w1'").toDF(*corpus.columns))
-    index = InvertedIndex(rows)
-    seen = []
-    inner = inverted._Shard._scored
-    held = [r.asDict() for r in index.blocks.join(index.terms().select("term", "collection", "idf", "average"), ["term", "collection"])
-            .where("term in ('rareword', 'w1')").collect()]
-    shard = inverted._Shard(pa.Table.from_pylist(sorted(held, key=lambda h: (h["term"], h["range"]))))
+    segment = inverted._Segment()
+    for k in range(2000):
+        segment.add(k, "w1 w2" if k != 999 else "rareword w1")
+    rows = segment.rows("c", "0-1", pa.int64()).to_pylist()
+    picked = [{"asked": ["rareword", "w1"], **r} for r in rows[1:]]
+    found = pa.Table.from_batches(inverted._pick(iter([pa.RecordBatch.from_pylist(picked)])))
+    chunks = pa.RecordBatch.from_pylist([{**rows[0], "average": 2.0}])
+    shard = inverted._Shard(chunks, found.append_column("idf", pa.array([9.0 if t == "rareword" else 0.1 for t in found.column("term").to_pylist()])))
+    seen, inner = [], inverted._Shard._scored
     monkeypatch.setattr(inverted._Shard, "_scored", lambda self, at: seen.append(len(at)) or inner(self, at))
-    ids, _ = shard.best(["rareword", "w1"], 1)
-    assert ids.tolist() == [99] and len(seen) < 5
+    places, _ = shard.best(["rareword", "w1"], 1)
+    assert shard.chunks.take(pa.array(places)).to_pylist() == [999] and len(seen) < 4
 
 
 def test_nearest_in_groups_agrees_with_brute_force(spark, monkeypatch):
