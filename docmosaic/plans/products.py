@@ -28,17 +28,23 @@ def entity_variants(entities: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def contexts(
     entities: DataFrame, chunks: DataFrame, aliases: DataFrame, definitions: DataFrame, answer=EXTRACTIVE,
-    depth: int | None = None,
+    depth: int | None = None, budget: int | None = agent.BUDGET,
 ) -> DataFrame:
     """Context fields per entity_key: evidence found, answer parsed, a verbatim definition put first.
 
-    Retrieval and scan give their best ``depth`` chunks each as evidence, or all.
+    Retrieval and scan give their best ``depth`` chunks each as evidence, or all; the texts
+    that an answer is made from keep within ``budget`` characters.
     Entities for which routing and scan find nothing get an empty context and are not asked about.
     """
     variants = materialize(entity_variants(entities, aliases), "variants")
     names = variants.where("pos = 0")
-    found = agent.retrieve(chunks, names, depth).unionByName(agent.scan(chunks, variants, depth))
-    evidence = found.groupBy("entity_id").agg(F.array_join(F.sort_array(F.collect_set("content")), "\n\n").alias("evidence"))
+    corpus = agent.Corpus(chunks)
+    looks = agent.retrieve(corpus, names, depth).withColumn("look", F.lit(0)).unionByName(
+        agent.scan(corpus, variants, depth).withColumn("look", F.lit(1)))
+    first = looks.groupBy("entity_id", "chunk_id").agg(F.min(F.struct("look", "place")).alias("f"))
+    order = Window.partitionBy("entity_id").orderBy("f.look", "f.place")
+    found = materialize(first.select("entity_id", "chunk_id", (F.row_number().over(order) - 1).alias("place")), "evidence")
+    evidence = agent.texts(found, chunks, budget)
     asked = entities.select(F.col("ord").alias("entity_id"), "entity_name").join(evidence, "entity_id")
     told = answer(asked).select("entity_id", "response", *context_fields(F.col("response")))
     labelled = F.col("formal_definition") != ""
@@ -57,12 +63,13 @@ def contexts(
 
 def agentic_contexts(
     entities: DataFrame, chunks: DataFrame, aliases: DataFrame, definitions: DataFrame, answer=EXTRACTIVE,
-    policy=agent.always_done, max_iterations: int = agent.MAX_ITERATIONS, depth: int | None = None,
+    policy=agent.always_done, max_iterations: int = agent.MAX_ITERATIONS, depth: int | None = None, budget: int | None = agent.BUDGET,
 ) -> DataFrame:
     """As ``contexts``, with the evidence gathered in rounds; ``definitions`` are left to the rounds."""
     variants = materialize(entity_variants(entities, aliases), "variants")
     names = variants.where("pos = 0").select("entity_id", F.col("variant").alias("name"))
-    evidence = agent.evidence(agent.run(chunks, names, variants, policy, max_iterations, depth))
+    trace, found = agent.run(agent.Corpus(chunks), names, variants, policy, max_iterations, depth)
+    evidence = agent.texts(materialize(agent.gathered(trace, found), "evidence"), chunks, budget)
     asked = entities.select(F.col("ord").alias("entity_id"), "entity_name").join(evidence, "entity_id")
     told = answer(asked).select("entity_id", *context_fields(F.col("response"), ignore_case=True))
     keys = entities.select(F.col("ord").alias("entity_id"), normalize(F.col("entity_name")).alias("entity_key"))

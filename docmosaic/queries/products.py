@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docmosaic.functions.embedding import embed
 from docmosaic.plans import agent, builder
 from docmosaic.queries import base, query
-from docmosaic.queries.base import CHUNKS, PROBES, collapse_sql, documents, table
-from docmosaic.session import checkpoint_dir
+from docmosaic.queries.base import CHUNKS, WHOLE, collapse_sql, documents, table
+from docmosaic.session import checkpoint_dir, materialize
 from docmosaic.streaming import incremental
 
 
@@ -89,65 +90,120 @@ def terms_of_reference(spark, d):
     return builder.terms_of_reference(terms, told.withColumn("answer", answer))
 
 
+# Questions are the items with all their words; the two longest words and a pair are the aliases scanned for.
+ROUNDS = f"""
+{CHUNKS}, {WHOLE}, {base.bm25()},
+alias as (
+  select item_id as entity_id, rn as pos, w as variant from words where rn <= 2
+  union all select c.item_id, 3, c.w || ' ' || a.w from words a join words c on a.item_id = c.item_id where a.rn = 1 and c.rn = 3),
+body as (select collection, chunk_id, {collapse_sql("coalesce(text, '')")} as body from chunks),
+facts as (select *, length(body) as n_chars, sha256(body) as digest from body)"""
+
+
+def look_sql(name: str, wanted: str) -> str:
+    """CTE ``name``(entity_id, n_chunks, n_chars): what a scan for ``wanted`` (entity_id, variant) finds."""
+    return f"""
+{name} as (
+  select entity_id, count(*) as n_chunks, sum(n_chars) + 2 * (count(*) - 1) as n_chars from (
+    select v.entity_id, f.digest, any_value(f.n_chars) as n_chars
+    from {wanted} v join chunks c on contains(lower(c.text), lower(v.variant)) join facts f using (chunk_id) group by all) group by 1)"""
+
+
 TRACE = f"""
-{CHUNKS}, {PROBES},
-names as (select entity_id, 0 as pos, variant from variants where pos = 0), {base.bm25('chunks', 'names')},
-top as (select * from (select entity_id, chunk_id, row_number() over (partition by entity_id order by round(score, 9) desc, chunk_id) as rank from scores) where rank <= 3),
-got as (select entity_id, string_agg({collapse_sql('text')}, chr(10) || chr(10) order by rank) as content from top join chunks using (chunk_id) group by 1),
-first as (select n.entity_id, coalesce(content, '') as content from names n left join got using (entity_id)),
-kw as (select v.entity_id, c.chunk_id, c.text from variants v join chunks c on contains(lower(c.text), v.variant)
-       where v.pos > 0 and v.entity_id in (select entity_id from first where length(content) <= 100)),
-kd as (select entity_id, min(chunk_id) as chunk_id, {collapse_sql('text')} as body from kw group by entity_id, {collapse_sql('text')}),
-kt as (select * from (select *, row_number() over (partition by entity_id order by chunk_id) as rank from kd) where rank <= 3),
-second as (select f.entity_id, coalesce((select string_agg(body, chr(10) || chr(10) order by rank) from kt where kt.entity_id = f.entity_id), '') as content
-           from first f where length(f.content) <= 100),
+{ROUNDS},
+got as (
+  select s.entity_id, count(*) as n_chunks, sum(f.n_chars) + 2 * (count(*) - 1) as n_chars
+  from scores s join facts f on f.chunk_id = s.chunk_id group by 1),
+first as (select v.entity_id, coalesce(n_chunks, 0) as n_chunks, coalesce(n_chars, 0) as n_chars from variants v left join got using (entity_id)),
+again as (select a.entity_id, a.variant from alias a join first f using (entity_id) where f.n_chars <= 100),
+{look_sql('looked', 'again')},
+second as (select f.entity_id, coalesce(l.n_chunks, 0) as n_chunks, coalesce(l.n_chars, 0) as n_chars from first f left join looked l using (entity_id) where f.n_chars <= 100),
 trace as (
-  select entity_id, 1 as iteration, 'RETRIEVE' as action, content from first
-  union all select entity_id, 2, 'DONE', '' from first where length(content) > 100
-  union all select entity_id, 2, 'KEYWORD', content from second
-  union all select entity_id, 3, 'DONE', '' from second)"""
+  select entity_id, 1 as iteration, 'RETRIEVE' as action, n_chunks, n_chars, n_chars > 100 as has_content from first
+  union all select entity_id, 2, 'DONE', 0, 0, false from first where n_chars > 100
+  union all select entity_id, 2, 'KEYWORD', n_chunks, n_chars, n_chunks > 0 from second
+  union all select entity_id, 3, 'DONE', 0, 0, false from second)"""
 
 
-# The SQL takes three chunks, keyword hits by id, and one length for both kinds of content.
-AS_SQL = {"depth": 3, "by_id": True, "min_keyword": agent.MIN_CONTENT}
+def _corpus(spark, d):
+    return agent.Corpus(base.chunks(spark, d), base.index(spark, d))
 
 
-def _trace(spark, d):
-    variants = base.probes(spark, d)
-    entities = variants.where("pos = 0").select("entity_id", F.col("variant").alias("name"))
-    return agent.run(base.chunks(spark, d), entities, variants, **AS_SQL)
+def _asked(spark, d):
+    """(entities, variants): the whole item as the question, its names as aliases."""
+    whole = base.whole_questions(spark, d)
+    names = base.probes(spark, d).withColumn("pos", F.col("pos") + 1)
+    return whole.select("entity_id", F.col("variant").alias("name")), whole.unionByName(names)
 
 
-@query(f"with {TRACE} select entity_id, iteration, action, length(content) as n, length(content) > 100 as has_content from trace")
+@query(f"with {TRACE} select entity_id, iteration, action, n_chunks::bigint as n_chunks, n_chars::bigint as n, has_content from trace")
 def agentic_trace(spark, d):
-    return _trace(spark, d).select(
-        "entity_id", "iteration", "action", F.length("content").cast("bigint").alias("n"), "has_content"
-    )
+    trace, _ = agent.run(_corpus(spark, d), *_asked(spark, d))
+    return trace.select("entity_id", "iteration", "action", "n_chunks", F.col("n_chars").alias("n"), "has_content")
 
 
 @query(f"with {TRACE}, r as (select entity_id, max(iteration) as n from trace group by 1) select count(*) as entities, (sum(n) / count(*))::double as avg_iterations from r")
 def average_iterations(spark, d):
-    return agent.average_iterations(_trace(spark, d))
+    return agent.average_iterations(agent.run(_corpus(spark, d), *_asked(spark, d))[0])
+
+
+SECTIONS = ("src1", "src4")
+
+
+def _planned(state):
+    """A scan for the first alias, a retrieval in two sections, the same scan again (which is not made twice), and the end."""
+    listed = F.concat(F.lit('KEYWORD terms: ["'), F.element_at("aliases", 1), F.lit('"]'))
+    chosen = F.concat(F.lit(f'RETRIEVE sections: ["{SECTIONS[0]}", "{SECTIONS[1]}"] query: "'), F.element_at("aliases", -1), F.lit('"'))
+    seen = F.size("observations")
+    said = F.when(seen == 1, listed).when(seen == 2, chosen).when(F.col("iteration") == 3, F.upper(listed)).otherwise(F.lit("DONE"))
+    return state.withColumn("said", said)
+
+
+@query(f"""
+with {ROUNDS},
+name as (select entity_id, variant from alias where pos = 1), {look_sql('looked', 'name')},
+asked as (select entity_id, 0 as pos, arg_max(variant, pos) as variant from alias group by 1), {base.bm25('chunks', 'asked', 'sec')},
+chosen as (
+  select s.entity_id, count(*) as n_chunks, sum(f.n_chars) + 2 * (count(*) - 1) as n_chars
+  from sec s join facts f on f.chunk_id = s.chunk_id where s.collection in ('{SECTIONS[0]}', '{SECTIONS[1]}') group by 1),
+got as (select s.entity_id, count(*) as n_chunks, sum(f.n_chars) + 2 * (count(*) - 1) as n_chars from scores s join facts f on f.chunk_id = s.chunk_id group by 1),
+trace as (
+  select v.entity_id, 1 as iteration, 'RETRIEVE' as action, g.n_chunks, g.n_chars, coalesce(g.n_chars, 0) > 100 as has_content, 1 as n_observations
+  from variants v left join got g using (entity_id)
+  union all select v.entity_id, 2, 'KEYWORD', l.n_chunks, l.n_chars, coalesce(l.n_chunks, 0) > 0, 2 from variants v left join looked l using (entity_id)
+  union all select v.entity_id, 3, 'RETRIEVE', c.n_chunks, c.n_chars, coalesce(c.n_chars, 0) > 100, 3 from variants v left join chosen c using (entity_id)
+  union all select entity_id, 4, 'KEYWORD', 0, 0, false, 3 from variants
+  union all select entity_id, 5, 'DONE', 0, 0, false, 3 from variants)
+select entity_id, iteration, action, coalesce(n_chunks, 0)::bigint as n_chunks, coalesce(n_chars, 0)::bigint as n, has_content, n_observations::bigint as n_observations from trace
+""")
+def agent_state(spark, d):
+    """Rounds whose policy reads what was seen and tried, chooses sections and terms, and repeats a scan in vain."""
+    trace, _ = agent.run(_corpus(spark, d), *_asked(spark, d), _planned)
+    upto = Window.partitionBy("entity_id").orderBy("iteration")
+    return trace.select(
+        "entity_id", "iteration", "action", "n_chunks", F.col("n_chars").alias("n"), "has_content",
+        F.sum(F.col("observed").cast("bigint")).over(upto).alias("n_observations"))
 
 
 @query(f"""
 with {TRACE},
-s as (select entity_id, content, length(content) >= 150 as long_enough,
-  regexp_matches(lower(content), '\\b(section\\s+\\d|s\\d\\d\\b|rule\\s+e\\d|article\\s+\\d|clause\\s+\\d|paragraph\\s+\\d)') as cited from first)
+s as (select entity_id, n_chars >= 150 as long_enough from first)
 select entity_id, case when long_enough then 'fast' else 'agentic' end as path from s
-where long_enough or entity_id in (select entity_id from trace where length(content) > 100)
+where long_enough or entity_id in (select entity_id from trace where has_content)
 """)
 def quality_gated_query(spark, d):
     """Entities answered by the fast path, and by rounds of retrieval where the gate fails."""
-    chunks, variants = base.chunks(spark, d), base.probes(spark, d)
+    chunks, corpus = base.chunks(spark, d), _corpus(spark, d)
+    entities, variants = _asked(spark, d)
     names = variants.where("pos = 0")
-    fast = names.select("entity_id").join(agent.retrieve(chunks, names, AS_SQL["depth"]), "entity_id", "left")
-    fast = fast.select("entity_id", F.coalesce("content", F.lit("")).alias("response"))
+    # the gate asks for 150 characters, so an answer keeps within what a model would give
+    fast = names.select("entity_id").join(agent.texts(materialize(agent.retrieve(corpus, names), "evidence"), chunks, 8000), "entity_id", "left")
+    fast = fast.select("entity_id", F.coalesce("evidence", F.lit("")).alias("response"))
 
     def fallback(failing):
         todo = variants.join(failing, "entity_id", "left_semi")
-        entities = todo.where("pos = 0").select("entity_id", F.col("variant").alias("name"))
-        return agent.evidence(agent.run(chunks, entities, todo, **AS_SQL)).withColumnRenamed("evidence", "response")
+        trace, found = agent.run(corpus, entities.join(failing, "entity_id", "left_semi"), todo)
+        return agent.texts(materialize(agent.gathered(trace, found), "evidence"), chunks).withColumnRenamed("evidence", "response")
 
     return agent.gated(fast, fallback).select("entity_id", "path")
 

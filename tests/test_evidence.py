@@ -1,4 +1,6 @@
-"""Evidence of the rounds: all of it, the best first, and short keyword hits count."""
+"""Evidence and state of the rounds: rows, the best first; what was seen and tried reaches the policy."""
+
+from pyspark.sql import functions as F
 
 from docmosaic.plans import agent
 
@@ -8,20 +10,59 @@ VARIANTS = "entity_id bigint, pos int, variant string"
 
 def test_all_hits_are_evidence_and_the_best_come_first(spark):
     rows = [("s", k, f"chunk {k} names the harbour once among many other words of no weight here") for k in range(1, 7)]
-    chunks = spark.createDataFrame([*rows, ("s", 7, "harbour harbour piers"), ("s", 8, "harbourside only")], CHUNKS)
+    chunks = spark.createDataFrame([*rows, ("s", 7, "harbour harbour piers"), ("s", 8, "harbourside only"), ("t", 9, "harbourside  only")], CHUNKS)
+    corpus = agent.Corpus(chunks)
     names = spark.createDataFrame([(1, 0, "harbour")], VARIANTS)
-    found = agent.retrieve(chunks, names).first().content.split("\n\n")
-    assert len(found) == 7 and found[0] == "harbour harbour piers"
-    hits = agent.scan(chunks, names).first().content.split("\n\n")
-    assert len(hits) == 8 and hits[0] == "harbour harbour piers" and hits[-1] == "harbourside only"
-    assert agent.scan(chunks, names, 1).first().content == "harbour harbour piers"
+    ids = lambda rows: [r.chunk_id for r in rows.orderBy("place").collect()]
+    assert len(ids(agent.retrieve(corpus, names))) == 7 and ids(agent.retrieve(corpus, names))[0] == 7
+    hits = agent.scan(corpus, names)
+    assert ids(hits)[0] == 7 and ids(hits)[-1] == 8 and len(ids(hits)) == 8  # the copy of 8 is the same text
+    assert ids(agent.scan(corpus, names, 1)) == [7]
+    chosen = spark.createDataFrame([(1, "t")], "entity_id bigint, collection string")
+    assert ids(agent.retrieve(corpus, names, None, chosen)) == []
+    told = agent.texts(hits, chunks).first().evidence.split("\n\n")
+    assert told[0] == "harbour harbour piers" and told[-1] == "harbourside only" and len(told) == 8
+    assert len(agent.texts(hits, chunks, 60).first().evidence) <= 60
 
 
 def test_a_short_keyword_hit_is_content(spark):
     chunks = spark.createDataFrame([("s", 1, "prefixed-coaches")], CHUNKS)
     variants = spark.createDataFrame([(2, 0, "trainer"), (2, 1, "coaches")], VARIANTS)
     entities = spark.createDataFrame([(2, "trainer")], "entity_id bigint, name string")
-    trace = agent.run(chunks, entities, variants)
+    trace, found = agent.run(agent.Corpus(chunks), entities, variants)
     assert [(r.action, r.has_content) for r in trace.orderBy("iteration").collect()] == [
         ("RETRIEVE", False), ("KEYWORD", True), ("DONE", False)]
-    assert agent.evidence(trace).first().evidence == "prefixed-coaches"
+    assert agent.texts(agent.gathered(trace, found), chunks).first().evidence == "prefixed-coaches"
+
+
+def test_policies_read_the_state_and_choose_sections(spark):
+    long = "the club registers its players and officials before the season, and keeps a list of them that the association may read at any time"
+    chunks = spark.createDataFrame([("a", 1, long), ("b", 2, long + " again"), ("b", 3, "referee")], CHUNKS)
+    entities = spark.createDataFrame([(1, "club")], "entity_id bigint, name string")
+    variants = spark.createDataFrame([(1, 0, "club players"), (1, 1, "referee")], VARIANTS)
+    said = ['KEYWORD terms: ["Referee", "players"]', 'RETRIEVE sections: ["b"] query: "season list"', 'KEYWORD terms: ["players", "REFEREE"]', "nonsense"]
+    states = []
+
+    def policy(state):
+        told = state.withColumn("seen", agent.observations_summary(state)).withColumn("tried", agent.tried_summary(state))
+        states.append(told.select("iteration", "seen", "tried", "substantive", "tried_keyword").first())
+        return state.withColumn("said", F.lit(said[len(states) - 1]))
+
+    trace, found = agent.run(agent.Corpus(chunks), entities, variants, policy)
+    rows = trace.orderBy("iteration").collect()
+    assert [(r.action, r.n_chunks, r.sections) for r in rows] == [
+        ("RETRIEVE", 2, ["a", "b"]), ("KEYWORD", 3, []), ("RETRIEVE", 1, ["b"]), ("KEYWORD", 0, []), ("DONE", 0, [])]
+    assert [r.observed for r in rows] == [True, True, True, False, False]
+    assert states[0].seen.startswith("  Observation 1: RAG retrieve — query=club players sections=[a, b] → found content\n    Preview: the club")
+    assert states[2].seen.split("\n")[2] == "  Observation 2: Keyword scan — terms=[Referee, players] → 3 chunks found"
+    assert states[2].tried == "  RAG query: club players\n  RAG query: season list\n  Keyword scan: [players, referee]"
+    assert states[0].substantive and not states[0].tried_keyword and states[1].tried_keyword
+    assert [r.chunk_id for r in agent.gathered(trace, found).orderBy("place").collect()] == [2, 1, 3]  # words are rarer in b
+
+
+def test_summaries_of_nothing(spark):
+    empty = spark.createDataFrame([(1,)], "entity_id int").selectExpr(
+        "*", "cast(array() as array<struct<kind:string,query:string,terms:array<string>,sections:array<string>,n_chunks:bigint,has_content:boolean,preview:string>>) as observations",
+        "cast(array() as array<string>) as tried_queries", "cast(array() as array<array<string>>) as tried_terms")
+    told = empty.select(agent.observations_summary(empty), agent.tried_summary(empty)).first()
+    assert tuple(told) == ("  (none yet)", "  (none yet)")

@@ -296,7 +296,7 @@ def _agent(spark, policy=agent.always_done):
     chunks = spark.createDataFrame([("s", 1, body), ("s", 2, "No information available about prefixed-coaches. " + "x" * 80)], "collection string, chunk_id bigint, text string")
     variants = spark.createDataFrame([(1, 0, "club"), (2, 0, "coach"), (2, 1, "coaches"), (3, 0, "ghost")], "entity_id bigint, pos int, variant string")
     entities = variants.where("pos = 0").select("entity_id", F.col("variant").alias("name"))
-    trace = agent.run(chunks, entities, variants, policy).orderBy("entity_id", "iteration").collect()
+    trace = agent.run(agent.Corpus(chunks), entities, variants, policy)[0].orderBy("entity_id", "iteration").collect()
     out = {}
     for r in trace:
         out.setdefault(r.entity_id, []).append((r.action, r.has_content))
