@@ -68,6 +68,15 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these, once its successors are written and nothing reads it any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate for the optimised plan (no job is run)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
