@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from docmosaic.llm.common import returning
+
 BITS_PER_KEY = 16
 MOST_BITS = 1 << 31
 SLICE_BITS = 1 << 20
@@ -45,6 +47,7 @@ def _slice(k: int, once: np.ndarray, twice: np.ndarray) -> pa.RecordBatch:
     })
 
 
+@returning
 def _fill(batches: Iterator[pa.RecordBatch], hashes_of: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
     once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
     for batch in batches:
@@ -57,6 +60,7 @@ def _fill(batches: Iterator[pa.RecordBatch], hashes_of: Callable[[pa.RecordBatch
             yield _slice(k, once[k * size : (k + 1) * size], twice[k * size : (k + 1) * size])
 
 
+@returning
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by slice, one pair of filters in memory at a time. What two tasks saw once was seen twice."""
     at, once, twice = None, None, None

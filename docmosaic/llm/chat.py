@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmosaic.llm.common import bounded_batches
+from docmosaic.llm.common import bounded_batches, returning
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Characters of turns that are encoded at once.
@@ -159,6 +159,7 @@ def format_conversations(turns: DataFrame, template: Template = Template(), *, t
         .select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
     )
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Tokenizer.from_str(shared.value)
         held, size = [], 0
@@ -196,6 +197,7 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
     kind = formatted.schema["conv_id"].dataType.simpleString()
     struct = pa.struct([("role", pa.string()), ("text", pa.string())])
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.columns[2:]

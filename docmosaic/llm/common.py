@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,49 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def returning(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A generator of Arrow batches that gives a worker's free memory back to the machine when it ends.
+
+    Workers are kept for later tasks; without this each would keep the most it ever held.
+    """
+
+    @wraps(run)
+    def ended(*args, **kwargs):
+        try:
+            yield from run(*args, **kwargs)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library keeps its own house
+
+    return ended
+
+
+def sheltered(change: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator that adds columns to ``docs``, whose columns with names like its inner ones come to no harm."""
+
+    @wraps(change)
+    def run(docs: DataFrame, *args, **kwargs):
+        given = {x for v in (*args, *kwargs.values()) for x in ((v,) if isinstance(v, str) else v if isinstance(v, (dict, tuple)) else ())}
+        names = {c: f"kept {k} {c}" for k, c in enumerate(docs.columns) if c.startswith("__") and c not in given}
+        if not names:
+            return change(docs, *args, **kwargs)
+        out = change(docs.withColumnsRenamed(names), *args, **kwargs)
+        return out.withColumnsRenamed({v: k for k, v in names.items()})
+
+    return run
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, or as many underscores before it as it takes to be none of the columns."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 def ids_and_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text) alone, for operators that make rows of their own."""
     bounded_batches(docs.sparkSession)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmosaic.session import materialize
+from docmosaic.session import discard, materialize
 
 
 def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -20,7 +20,7 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
     before = None
     for _ in range(rounds or 0):
-        now = _round(now)
+        now = _next(now)
     if rounds is not None:
         return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     while True:
@@ -28,7 +28,13 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
         if mark == before or not mark["n"]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = mark
-        now = _round(now)
+        now = _next(now)
+
+
+def _next(now: DataFrame) -> DataFrame:
+    after = _round(now)
+    discard(now)
+    return after
 
 
 def _round(now: DataFrame) -> DataFrame:

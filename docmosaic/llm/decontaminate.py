@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmosaic.llm.common import bounded_batches, in_pieces, utf8
+from docmosaic.llm.common import bounded_batches, in_pieces, returning, sheltered, utf8
 
 WINDOW = 10
 BLOCK_BYTES = 8 * 1024 * 1024
@@ -108,6 +108,7 @@ def _longest(found: dict[tuple[int, int], list[tuple[int, int]]]) -> list[tuple[
     return out
 
 
+@returning
 def _scan(batches: Iterator[pa.RecordBatch], probes, text: str, n: str, hit: str, at: str) -> Iterator[pa.RecordBatch]:
     found = probes.value
     for batch in batches:
@@ -180,6 +181,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
                    ("n_words", "n_hit", "matches")).drop("text")
 
 
+@sheltered
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", window: int = WINDOW,
                         block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the rows in which a window of an item occurs; columns and other rows stay as they are."""

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmosaic.llm.common import sheltered
+
 BIN_BITS, VALUE_BITS, WORDS = 7, 8, 5
 BINS, PER_LONG = 1 << BIN_BITS, 64 // VALUE_BITS
 #: Start and (odd) stride of the probe sequence of each bin, by a rule.
@@ -26,6 +28,7 @@ def _bin(x: Column) -> Column:
     return F.shiftright(x, 64 - BIN_BITS).cast("int") + F.lit(BINS // 2)
 
 
+@sheltered
 def with_fingerprint(docs: DataFrame, text: str, to: str) -> DataFrame:
     """``docs`` with ``to``: the packed fingerprint of ``text`` (array<bigint>).
 
@@ -91,6 +94,7 @@ def likeness(a: str, b: str) -> Column:
     return F.greatest(F.lit(0.0), (share - chance) / (1 - chance))
 
 
+@sheltered
 def with_next(docs: DataFrame, order: str, carried: dict[str, str], prepare=lambda rows: rows) -> DataFrame:
     """``docs`` with columns of the row that follows by falling ``order``; the first follows the last.
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmosaic.llm import bloom
-from docmosaic.llm.common import bounded_batches, utf8
+from docmosaic.llm.common import bounded_batches, returning, sheltered, utf8
 from docmosaic.session import materialize
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -39,6 +39,7 @@ def _keys(text: bytes, least: int) -> list[bytes]:
     return [x for x in found if len(x) >= least and (least < 2 or len(x.decode()) >= least)]
 
 
+@returning
 def _suspects(batches: Iterator[pa.RecordBatch], twice, bits: int, least: int) -> Iterator[pa.RecordBatch]:
     """(id, key, line) of the first line of each suspected key in a document."""
     filled = np.frombuffer(twice.value, np.uint8)
@@ -91,6 +92,7 @@ def _columns(batch: pa.RecordBatch, names: tuple[str, str, str], results: list[t
     return pa.RecordBatch.from_arrays([x for _, x in fields], names=[c for c, _ in fields])
 
 
+@sheltered
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2,
                 keep: str = "first", min_chars: int = 1, most_bits: int = bloom.MOST_BITS,
                 broadcast_keys: int = BROADCAST_KEYS, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
@@ -135,6 +137,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             for r in confirmed.select("key", *["first.*"] * first).toLocalIterator()
         })
 
+        @returning
         def apply(batches):
             known = digests.value
             for batch in batches:
@@ -164,6 +167,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__gmark")), "left",
     ).drop("__id", "__gmark", "__mark")
 
+    @returning
     def rebuild(batches):
         for batch in batches:
             cols = batch.schema.names

@@ -4,16 +4,17 @@
    never compared; a class is its set's 64-bit hash together with its size.
 2. Shingles are put in one global order, rare first, by a count sketch of fixed size over
    all documents (any fixed order gives the same result; a good one gives fewer candidates).
-3. The first ``n - ceil(t n) + 1`` shingles of a set are posted. Classes that share one
-   are candidates, if their sizes allow it, if enough can follow the first shared position,
-   and if the shares of both sets in ranges of the hash space can overlap enough.
+3. The first ``n - ceil(t n) + 1`` shingles of a set are posted, with a bitmap of the set: bit k
+   says whether an odd number of its shingles falls to k. Classes that share a shingle are
+   candidates, if their sizes allow it, if enough can follow the first shared position, and if
+   their bitmaps differ in no more bits than their sets may differ in shingles: the suffix
+   filter, in the form of a Hamming bound. All three stand in the condition of the join.
 4. A pair is verified once, on the whole sets, by a join.
 
 Only components are wanted, so the classes of a posting list need not all meet. First each
-meets two leaders of its list. Then pairs within a list that are still in different components
-are candidates; as long as those are many (a large group of near copies), a round with
-sixteen leaders joins most of them first. The last round takes all that are left,
-so no link between different components is lost.
+meets two leaders of its list, then, where components are still apart, four others. The last
+round takes all pairs within a list that are in different components even then, so no link
+between different components is lost. Tables that a later one has replaced are deleted.
 """
 
 from __future__ import annotations
@@ -28,58 +29,65 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmosaic.llm import bloom
-from docmosaic.llm.common import ids_and_texts, utf8
+from docmosaic.llm.common import ids_and_texts, returning, sheltered, utf8
 from docmosaic.llm.components import components
 from docmosaic.llm.shingles import WordHashes, shingle_set
-from docmosaic.session import materialize
+from docmosaic.session import discard, materialize
 
 SKETCH_BITS = 21
 SLICE = 1 << 16
-RANGES = 32
-PAIRS_PER_POSTING = 16
-LEADERS = (2, 16)
+#: 64-bit words of a bitmap.
+WORDS = 4
+LEADERS = (2, 4)
+_MAP = [f"m{k}" for k in range(WORDS)]
 
 
 def _digest(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
 
 
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """Bit k is set if an odd number of the shingles fall to k. Sets that differ in x shingles differ in x bits at most."""
+    odd = np.bincount((found & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").astype(np.int64)
+
+
+@returning
 def _facts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """A row (id, n, d, shares) for each document, then rows (slice, counts) with the sketch of the task."""
+    """A row (id, n, d) for each document, then rows (slice, counts) with the sketch of the task."""
     hashes, sketch = WordHashes(), np.zeros(1 << SKETCH_BITS, np.int64)
-    shift = np.uint64(64 - RANGES.bit_length() + 1)
     none = lambda n, kind: pa.nulls(n, kind)
     kinds = None
     for batch in batches:
         kinds = batch.schema.field(0).type
-        ns, ds, shares, slots = [], [], [], []
+        ns, ds, slots = [], [], []
         for text in utf8(batch.column(1)):
             found = shingle_set(text, size, hashes)
             ns.append(len(found))
             ds.append(_digest(found))
-            shares.append(np.bincount((found >> shift).astype(np.int64), minlength=RANGES).astype(np.int32))
             slots.append((mixed_slots(found)))
         if slots:
             sketch += np.bincount(np.concatenate(slots), minlength=len(sketch))
         n = len(ns)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(ns, pa.int32()), pa.array(ds, pa.int64()), pa.array(shares, pa.list_(pa.int32())),
-             none(n, pa.int32()), none(n, pa.binary())], names=["id", "n", "d", "shares", "slice", "counts"])
+            [batch.column(0), pa.array(ns, pa.int32()), pa.array(ds, pa.int64()), none(n, pa.int32()), none(n, pa.binary())],
+            names=["id", "n", "d", "slice", "counts"])
     if kinds is not None:
         for k in range(len(sketch) // SLICE):
             part = np.minimum(sketch[k * SLICE : (k + 1) * SLICE], 2**32 - 1).astype(np.uint32)
             if part.any():
                 yield pa.RecordBatch.from_arrays(
-                    [none(1, kinds), none(1, pa.int32()), none(1, pa.int64()), none(1, pa.list_(pa.int32())),
-                     pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())],
-                    names=["id", "n", "d", "shares", "slice", "counts"])
+                    [none(1, kinds), none(1, pa.int32()), none(1, pa.int64()), pa.array([k], pa.int32()),
+                     pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())],
+                    names=["id", "n", "d", "slice", "counts"])
 
 
 def mixed_slots(found: np.ndarray) -> np.ndarray:
-    """Place of a shingle in the sketch: bits that the ranges do not use."""
+    """Place of a shingle in the sketch: bits that the bitmap does not use."""
     return ((found >> np.uint64(20)) & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
 
 
+@returning
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slices in order of their number; counts become levels, two to a doubling."""
     at, total = None, None
@@ -101,11 +109,12 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
+@returning
 def _postings(batches: Iterator[pa.RecordBatch], size: int, least: int, levels) -> Iterator[pa.RecordBatch]:
-    """(token, d, n, pos): the rarest shingles of each set, enough that two similar sets share one."""
+    """(token, d, n, pos, bitmap): the rarest shingles of each set, enough that two similar sets share one."""
     hashes, order = WordHashes(), np.frombuffer(levels.value, np.uint8)
     for batch in batches:
-        out, ds, ns, ps = [], [], [], []
+        out, ds, ns, ps, maps = [], [], [], [], []
         for text in utf8(batch.column(1)):
             found = shingle_set(text, size, hashes)
             n = len(found)
@@ -115,13 +124,16 @@ def _postings(batches: Iterator[pa.RecordBatch], size: int, least: int, levels)
                 ds.append(_digest(found))
                 ns.append(n)
                 ps.append(prefix)
+                maps.append(bitmap(found))
         if out:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(ds, np.int64), ps)),
-                 pa.array(np.repeat(np.array(ns, np.int32), ps)), pa.array(np.concatenate([np.arange(p, dtype=np.int32) for p in ps]))],
-                names=["token", "d", "n", "pos"])
+                 pa.array(np.repeat(np.array(ns, np.int32), ps)), pa.array(np.concatenate([np.arange(p, dtype=np.int32) for p in ps])),
+                 *(pa.array(np.repeat(x, ps)) for x in np.array(maps).T)],
+                names=["token", "d", "n", "pos", *_MAP])
 
 
+@returning
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
@@ -141,18 +153,16 @@ class NgramJoin:
     empty tables.
     """
 
-    def __init__(self, docs: DataFrame, *, size: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text",
-                 pairs_per_posting: int = PAIRS_PER_POSTING):
-        self.size, self.least, self.per = size, least, pairs_per_posting
+    def __init__(self, docs: DataFrame, *, size: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text"):
+        self.size, self.least = size, least
         self.rows = ids_and_texts(docs, id_col, text_col)
         kind = docs.schema[id_col].dataType.simpleString()
         facts = materialize(self.rows.mapInArrow(
-            lambda it: _facts(it, size), f"id {kind}, n int, d bigint, shares array<int>, slice int, counts binary"), "shingle-facts")
-        self.documents = facts.where("slice is null").select("id", "n", "d", "shares")
+            lambda it: _facts(it, size), f"id {kind}, n int, d bigint, slice int, counts binary"), "shingle-facts")
+        self.documents = facts.where("slice is null").select("id", "n", "d")
         self.levels = self._levels(facts.where("slice is not null").select("slice", "counts"))
         known = self.documents.where("n > 0 and id is not null")
-        self.classes = materialize(
-            known.groupBy("d", "n").agg(F.min("id").alias("first"), F.any_value("shares").alias("shares")), "classes")
+        self.classes = materialize(known.groupBy("d", "n").agg(F.min("id").alias("first")), "classes")
         self.links = self._links()
 
     def _levels(self, parts: DataFrame):
@@ -166,35 +176,38 @@ class NgramJoin:
         """Postings of shingles that more than one class posts. Two Bloom filters keep most others out of the shuffle."""
         size, least, levels = self.size, self.least, self.levels
         posted = materialize(self.rows.where("id is not null").mapInArrow(
-            lambda it: _postings(it, size, least, levels), "token bigint, d bigint, n int, pos int"), "postings")
+            lambda it: _postings(it, size, least, levels), "token bigint, d bigint, n int, pos int, " + ", ".join(f"{m} bigint" for m in _MAP)), "postings")
         bits = bloom.bits_for(posted.count())
         seen = bloom.twice_seen(posted.select("token"), lambda b: b.column(0).to_numpy().view(np.uint64), bits)
         shared = self.rows.sparkSession.sparkContext.broadcast(seen)
 
+        @returning
         def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             filled = np.frombuffer(shared.value, np.uint8)
             for batch in batches:
                 yield batch.filter(pa.array(bloom.held(filled, batch.column(0).to_numpy().view(np.uint64), bits)))
 
-        posted = materialize(posted.mapInArrow(suspected, posted.schema), "suspected-postings")
-        tokens = posted.groupBy("token").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("token")
-        return materialize(posted.join(tokens, "token").distinct(), "shared-postings")
+        likely = materialize(posted.mapInArrow(suspected, posted.schema), "suspected-postings")
+        discard(posted)
+        tokens = likely.groupBy("token").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("token")
+        # rows of a class repeat; any one of a class and token is as good as another
+        out = materialize(likely.join(tokens, "token").dropDuplicates(["token", "d", "n"]), "shared-postings")
+        discard(likely)
+        return out
 
-    def _filtered(self, met: DataFrame) -> DataFrame:
-        """(a, an, b, bn) of pairs that may link: ``met`` has (a, an, ap, b, bn, bp) for each shared posting."""
+    def _may_link(self):
+        """Condition on a posting of ``a`` and one of ``b`` with one token: by length, by position and by bitmap."""
         need = F.ceil(F.lit(self.least) * (F.col("an") + F.col("bn")) / F.lit(100 + self.least))
-        # At the first shingle that a pair shares, no more can be common than what follows in both.
-        pairs = (
-            met.where((F.least("an", "bn") * 100 >= F.greatest("an", "bn") * self.least)
-                      & (F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) >= need))
-            .select("a", "an", "b", "bn").distinct()
+        apart = sum((F.bit_count(F.col(f"a{m}").bitwiseXOR(F.col(f"b{m}"))) for m in _MAP), F.lit(0))
+        return (
+            (F.least("an", "bn") * 100 >= F.greatest("an", "bn") * self.least)
+            # at the first shingle that a pair shares, no more can be common than what follows in both
+            & (F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) >= need)
+            & (apart <= F.col("an") + F.col("bn") - 2 * need)
         )
-        side = lambda x: self.classes.select(F.col("d").alias(x), F.col("n").alias(f"{x}n"), F.col("shares").alias(f"{x}s"))
-        both = F.aggregate(F.zip_with("as", "bs", lambda p, q: F.least(p, q)), F.lit(0), lambda s, x: s + x)
-        return pairs.join(side("a"), ["a", "an"]).join(side("b"), ["b", "bn"]).where(both >= need).select("a", "an", "b", "bn")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose whole sets are similar enough."""
+        """The pairs (a, b) whose whole sets are similar enough, written."""
         ends = pairs.select(F.col("a").alias("d"), F.col("an").alias("n")).union(pairs.select("b", "bn")).distinct()
         wanted = materialize(self.classes.join(ends, ["d", "n"], "left_semi").select(F.col("first").alias("id")).distinct(), "to-verify")
         size = self.size
@@ -205,43 +218,47 @@ class NgramJoin:
         union = F.size("as") + F.size("bs") - common
         # the same plan at every size: sets go to pairs, whose number follows the number of similar texts
         both = pairs.hint("merge").join(of("a"), "a").hint("merge").join(of("b"), "b")
-        return both.where(common * 100 >= union * self.least).select("a", "b")
+        found = materialize(both.where(common * 100 >= union * self.least).select("a", "b"), "links")
+        discard(wanted, sets)
+        return found
 
     def _links(self) -> DataFrame:
         shared = self._shared()
         nothing = shared.sparkSession.createDataFrame([], "a bigint, b bigint")
-        label = shared.withColumn("c", F.col("d"))
-        seen = links = None
+        label, seen, links = shared.withColumn("c", F.col("d")), None, None
+        written = None
         for leaders in (*LEADERS, None):
             open_ = label.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
             left = materialize(label.join(open_, "token"), "open-postings")
-            counts = left.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(
-                F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
-            sums = counts.agg(F.sum("s").alias("rows"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs")).first()
-            if not sums["rows"]:
+            if written is not None:
+                discard(written)
+            if left.isEmpty():
+                discard(left)
                 break
-            last = leaders is None or sums["pairs"] <= self.per * sums["rows"]
-            x, y = (left.select("token", *(F.col(c).alias(p + q) for c, q in (("d", ""), ("n", "n"), ("pos", "p"), ("c", "c"))))
+            x, y = (left.select("token", *(F.col(c).alias(p + q) for c, q in (("d", ""), ("n", "n"), ("pos", "p"), ("c", "c"), *((m, m) for m in _MAP))))
                     for p in "ab")
-            if not last:
+            if leaders is not None:
                 order = Window.partitionBy("token").orderBy(F.xxhash64("a", F.lit(leaders)))
                 x = x.withColumn("r", F.row_number().over(order)).where(F.col("r") <= leaders).drop("r")
-            met = x.join(y, "token").where("ac <> bc" + (" and a < b" if last else ""))
-            pairs = self._filtered(met)
+            apart = (x["token"] == y["token"]) & (F.col("ac") != F.col("bc"))
+            if leaders is None:
+                apart &= F.col("a") < F.col("b")
+            pairs = x.join(y, apart & self._may_link()).select("a", "an", "b", "bn").distinct()
             low = F.col("a") < F.col("b")
             pairs = pairs.select(*[F.when(low, F.col(p)).otherwise(F.col(q)).alias(p) for p, q in
                                    (("a", "b"), ("an", "bn"), ("b", "a"), ("bn", "an"))]).distinct()
             if seen is not None:
                 pairs = pairs.join(seen, ["a", "b"], "left_anti")
             pairs = materialize(pairs, "pairs")
-            found = materialize(self._verified(pairs), "links")
+            discard(left)
+            found = self._verified(pairs)
             seen = pairs.select("a", "b") if seen is None else seen.union(pairs.select("a", "b"))
             links = found if links is None else links.union(found)
-            if last:
-                break
-            label = shared.join(components(links, 2).withColumnRenamed("node", "d"), "d", "left").withColumn(
-                "c", F.coalesce("component", "d")).drop("component")
-            label = materialize(label, "labelled-postings")
+            if leaders is not None:
+                label = shared.join(components(links, 2).withColumnRenamed("node", "d"), "d", "left").withColumn(
+                    "c", F.coalesce("component", "d")).drop("component")
+                written = label = materialize(label, "labelled-postings")
+        discard(shared)
         return nothing if links is None else links
 
     def members(self) -> DataFrame:
@@ -255,14 +272,15 @@ class NgramJoin:
             F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
 
 
+@sheltered
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: int = 80) -> DataFrame:
     """``docs`` with the document of the smallest id of each component, columns as they are.
 
     Rows without an id stay; of kept rows that repeat an id one stays.
     """
     members = materialize(NgramJoin(docs, size=size, least=least, id_col=id_col, text_col=text_col).members(), "members")
-    others = materialize(members.where("id <> component").select(F.col("id").alias("__id")).distinct(), "not-kept")
-    kept = docs.join(others, F.col(id_col) == F.col("__id"), "left_anti")
+    others = materialize(members.where("id <> component").select(F.col("id").alias("other")).distinct(), "not-kept")
+    kept = docs.join(others, docs[id_col] == others["other"], "left_anti")
     known = members.where("id is not null and id = component")
     counts = known.agg(F.count("id").alias("n"), F.countDistinct("id").alias("m")).first()
     if counts["n"] == counts["m"]:

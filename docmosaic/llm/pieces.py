@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmosaic.llm.common import bounded_batches, in_pieces, mixed, uniform, utf8
+from docmosaic.llm.common import bounded_batches, in_pieces, mixed, returning, uniform, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
@@ -398,6 +398,7 @@ def sample_pieces(docs: DataFrame, *, model_file: str = MODEL, samples: int = SA
     shared = spark.sparkContext.broadcast(Vocabulary(model_file))
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         for batch in batches:
@@ -437,6 +438,7 @@ def decode_pieces(rows: DataFrame, *, model_file: str = MODEL, ids_col: str = "i
     bounded_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(Vocabulary(model_file))
 
+    @returning
     def run(batches):
         v = shared.value
         for batch in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmosaic.llm.common import fold, ids_and_texts, in_pieces, labelled_sample, utf8
+from docmosaic.llm.common import fold, ids_and_texts, in_pieces, labelled_sample, returning, sheltered, utf8
 
 FILTERS, WIDTH, CODE_WIDTH, HIDDEN, STRIDE = 8, 6, 2, 24, 2
 BLOCK = 256
@@ -216,6 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     if not ones or not zeros:
         return {"net": None, "shift": shift}
 
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((i, x, y) for b in batches for i, x, y in zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2).to_pylist()))
         if rows:
@@ -227,6 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     return {"net": pickle.loads(found[0]["net"]) if found else None, "shift": shift}
 
 
+@returning
 def _score(batches: Iterator[pa.RecordBatch], shared, text: str, to: str) -> Iterator[pa.RecordBatch]:
     model = shared.value
     for batch in batches:
@@ -249,6 +251,7 @@ def score(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str
     )
 
 
+@sheltered
 def keep_good(docs: DataFrame, model: dict, *, text_col: str = "text", least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score ``least`` or more, with their columns as they are."""
     from docmosaic.llm.common import bounded_batches

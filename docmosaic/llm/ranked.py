@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmosaic.llm.common import ids_and_texts, utf8
+from docmosaic.llm.common import ids_and_texts, returning, utf8
 from docmosaic.session import materialize, small_side
 
 POSTINGS = 1_500_000
@@ -41,6 +41,7 @@ def terms_of(text: bytes) -> list[str]:
     return _TERM.findall(text.lower().decode("utf-8", "replace"))
 
 
+@returning
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [Counter(terms_of(x)) for x in utf8(batch.column(1))]
@@ -168,6 +169,7 @@ class Shard:
         return lo[found // width] + found % width, total[found]
 
 
+@returning
 def _searched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Rows of a shard: first its documents, in order, then the queries."""
     at, shard, parts = None, None, []

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmosaic.llm.common import ids_and_texts, utf8
+from docmosaic.llm.common import ids_and_texts, returning, utf8
 from docmosaic.llm.components import components
 from docmosaic.llm.tiles import dealt, packs, tiled
 from docmosaic.session import materialize
@@ -61,6 +61,7 @@ def fingerprint_of(text: bytes, size: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
+@returning
 def _prints(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.array([fingerprint_of(x, size) for x in utf8(batch.column(1))], np.uint64)
@@ -144,6 +145,7 @@ def stars(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return prints[linked], prints[label[linked]]
 
 
+@returning
 def _compared(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     for pack in packs(batches, [], ["key", "i", "j"], PACK):
         a, b = stars(np.unique(pack.column("print").to_numpy().view(np.uint64)), radius)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmosaic.llm.common import ids_and_texts, utf8
+from docmosaic.llm.common import ids_and_texts, returning, utf8
 from docmosaic.llm.tiles import dealt, packs, tiled
 from docmosaic.session import materialize
 
@@ -45,6 +45,7 @@ def words_of(text: bytes) -> list[str]:
     return _RUN.findall(text.lower().decode("utf-8", "replace"))
 
 
+@returning
 def _counted(batches: Iterator[pa.RecordBatch], one_in: int) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
 
@@ -135,6 +136,7 @@ def _tile(words: list[str], counts: np.ndarray, own: np.ndarray, cross: np.ndarr
     return at[found], total[found], at[best[found]]
 
 
+@returning
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for pack in packs(batches, ["longer", "side"], ["longer", "side", "key", "i", "j"], PACK):
         words, counts = pack.column("word").to_pylist(), pack.column("n").to_numpy()

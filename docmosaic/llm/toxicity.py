@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmosaic.llm.common import fold, ids_and_texts, labelled_sample, utf8
+from docmosaic.llm.common import fold, ids_and_texts, labelled_sample, returning, utf8
 
 PER_CLASS = 3000
 STEMS = (4, 10)
@@ -168,6 +168,7 @@ def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+@returning
 def _features(batches: Iterator[pa.RecordBatch], shared, names: list[str], text: int) -> Iterator[pa.RecordBatch]:
     symbols, machine = Symbols(shared.value), grammar()
     for batch in batches:

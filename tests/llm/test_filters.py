@@ -4,9 +4,10 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
-from docmosaic.llm import decontaminate, licenses, lines, ngram_join
+from docmosaic.llm import decontaminate, fingerprint, licenses, lines, ngram_join, quality
 
 
 def words(n, seed, vocabulary=40):
@@ -137,8 +138,9 @@ def brute_components(rows, size, least):
     return sorted((i, len(sets[i]), root(i)) for i in sets)
 
 
-@pytest.mark.parametrize("per", [16, 0])
-def test_join_agrees_with_brute_force(spark, docs, per):
+@pytest.mark.parametrize("leaders", [(2, 4), ()])
+def test_join_agrees_with_brute_force(spark, docs, monkeypatch, leaders):
+    monkeypatch.setattr(ngram_join, "LEADERS", leaders)
     r = random.Random(2)
     base = [words(60, k, 500) for k in range(4)]
     rows = []
@@ -148,10 +150,35 @@ def test_join_agrees_with_brute_force(spark, docs, per):
             w[r.randrange(60)] = f"n{r.randrange(9)}"
         rows.append((k, " ".join(w)))
     rows += [(40, rows[0][1]), (41, rows[0][1].upper()), (42, None), (43, ""), (44, "two words"), (45, "two  WORDS"), (46, " \n")]
-    got = ngram_join.NgramJoin(docs(rows), size=3, least=80, pairs_per_posting=per).members().collect()
+    got = ngram_join.NgramJoin(docs(rows), size=3, least=80).members().collect()
     assert sorted((x["id"], x["n_shingles"], x["component"]) for x in got) == brute_components(rows, 3, 80)
 
 
+def test_bitmaps_bound_the_difference_of_sets():
+    r = np.random.default_rng(2)
+    for n in (1, 30, 700):
+        a = r.integers(0, 2**64, n, np.uint64)
+        b = np.concatenate([a[: n * 9 // 10], r.integers(0, 2**64, n // 7, np.uint64)])
+        differ = len(np.setxor1d(a, b))
+        assert sum(int(x).bit_count() for x in (ngram_join.bitmap(a) ^ ngram_join.bitmap(b)).view(np.uint64)) <= differ
+
+
+def test_inner_names_of_columns_may_be_taken(spark):
+    text = "line\n" + " ".join(words(30, 1))
+    names = ("__score", "__hit", "__mark", "__gone", "__w", "__h", "__id", "other", "lines", "__part")
+    table = spark.createDataFrame([(k, text, *range(len(names))) for k in (1, 2)], "doc_id bigint, text string, " + ", ".join(f"`{n}` int" for n in names))
+    bench = spark.createDataFrame([(1, "nothing of it")], "item_id bigint, text string")
+    assert ngram_join.keep_one(table).columns == table.columns
+    assert decontaminate.remove_contaminated(table, bench).columns == table.columns
+    none = spark.createDataFrame([], "doc_id bigint, quality int")
+    assert quality.keep_good(table, quality.train(table, none), least=0.0).columns == table.columns
+    printed = fingerprint.with_fingerprint(table, "text", "print")
+    assert printed.columns == [*table.columns, "print"] and printed.first()["__w"] == 4
+    for keep in ("none", "first"):
+        kept = lines.dedup_lines(table, min_docs=2, keep=keep)
+        assert set(table.columns) <= set(kept.columns) and [r["__mark"] for r in kept.collect()] == [2, 2]
+
+
 def test_keep_one_keeps_rows_without_id_and_columns(docs):
     text = " ".join(words(30, 1))
     table = docs([(3, text), (2, text), (2, text), (None, text), (4, "else"), (5, None), (6, None)])
