@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmosaic.llm import decontaminate, lines, ngram_join, pieces, quality
-from docmosaic.llm.common import table
+from docmosaic.llm.common import fresh, table
 from docmosaic.session import materialize
 
 LEAST_QUALITY = 0.3
@@ -20,13 +20,13 @@ SHINGLE_WORDS, LEAST_JACCARD = 5, 80
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the byte-level network rejects go."""
+    """Documents that the byte-level network rejects go; a null text is judged as an empty one."""
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")), least=LEAST_QUALITY)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a line found in ten documents or more only the first occurrence stays; ``n_chars`` follows the text."""
-    kept = lines.dedup_lines(docs, min_docs=LINE_DOCS, keep="first", counts=("__lines", "__dropped"))
+    """Of a line found in ten documents or more only the first occurrence stays; ``n_chars`` follows the text. A null text becomes empty."""
+    kept = lines.dedup_lines(docs, min_docs=LINE_DOCS, keep="first", counts=(fresh(docs, "lines"), fresh(docs, "dropped")))
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
