@@ -59,6 +59,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--model-json", required=True)
     a = sub.add_parser("graph", help="traverse the relationships of a model document")
     a.add_argument("--model-json", required=True)
+    a.add_argument("--limit", type=int, help="entries of a list to show; all without it")
     a.add_argument("name")
     a.add_argument("operation", nargs="?", default="neighbors", choices=graph.OPERATIONS)
     a.add_argument("--type")
@@ -105,7 +106,7 @@ def _entities(spark: SparkSession, path: str):
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     config = Config.from_yaml(args.config) if args.config else Config()
     store = ChunkStore(spark, config.store.chunks_table, config.store.ledger_table)
-    show = lambda df: df.show(1000, truncate=False)
+    show = lambda df: print(df._show_string(max(1, df.count()), False, False))
     match args.command:
         case "ingest":
             print(ingest.ingest_from_yaml(spark, args.cfg, store, args.rebuild), "chunks")
@@ -155,7 +156,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         case "graph":
             _, relations = _entities(spark, args.model_json)
             edges = graph.build(graph.normalize_relationships(relations))
-            print(graph.traverse(edges, args.name, args.operation, args.type, args.max_depth).first().json)
+            print(graph.traverse(edges, args.name, args.operation, args.type, args.max_depth, args.limit).first().json)
         case "chat":
             edges = None
             if args.model_json:

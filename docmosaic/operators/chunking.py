@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import groupby
 
 import pandas as pd
@@ -109,8 +109,8 @@ def table_chunks(docs: DataFrame, table_chunk_size: int = 512) -> DataFrame:
     return _explode(docs, _piece_udf(lambda t: table_pieces(t, limit))(F.col("text")))
 
 
-def chunk(docs: DataFrame, settings: ChunkSettings = ChunkSettings()) -> DataFrame:
-    """Documents (..., text) to chunks (..., pos, content_type, text) by the chosen strategy."""
+def splitter(settings: ChunkSettings = ChunkSettings()) -> Callable[[str], list[tuple[str, str]]]:
+    """The strategy of the settings as a function from a text to its (content_type, body)."""
     limit = settings.chunk_size * CHARS_PER_TOKEN
     overlap = settings.chunk_overlap * CHARS_PER_TOKEN
     rows = settings.table_chunk_size * CHARS_PER_TOKEN
@@ -122,13 +122,18 @@ def chunk(docs: DataFrame, settings: ChunkSettings = ChunkSettings()) -> DataFra
         return [c for k, b in table_pieces(text, rows) for c in (sentences(k, b) if k == "prose" else [(k, b)])]
 
     strategies = {"table_aware": table_aware, "sentence": lambda t: sentences("prose", t)}
+    if settings.strategy not in strategies:
+        raise ValueError(f"unknown chunking strategy {settings.strategy!r}")
+    return strategies[settings.strategy]
+
+
+def chunk(docs: DataFrame, settings: ChunkSettings = ChunkSettings()) -> DataFrame:
+    """Documents (..., text) to chunks (..., pos, content_type, text) by the chosen strategy."""
     if settings.strategy == "section_aware":
         parts = docs.withColumn("_part", F.explode(markdown_sections(F.col("text"))))
         parts = parts.withColumn("text", F.col("_part")).drop("_part")
-        return _explode(parts, _piece_udf(strategies["sentence"])(F.col("text")))
-    if settings.strategy not in strategies:
-        raise ValueError(f"unknown chunking strategy {settings.strategy!r}")
-    return _explode(docs, _piece_udf(strategies[settings.strategy])(F.col("text")))
+        return _explode(parts, _piece_udf(splitter(replace(settings, strategy="sentence")))(F.col("text")))
+    return _explode(docs, _piece_udf(splitter(settings))(F.col("text")))
 
 
 def _explode(docs: DataFrame, pieces: Column) -> DataFrame:

@@ -125,40 +125,58 @@ def shortest_paths(edges: DataFrame, start: str, max_depth: int) -> DataFrame:
 OPERATIONS = ("neighbors", "ego_graph", "ancestors", "descendants", "all_shortest_paths")
 
 
-def traverse(edges: DataFrame, name: str, operation: str = "neighbors", relationship_type: str | None = None, max_depth: int = 2) -> DataFrame:
-    """One-row result (json) of a traversal, lists cut for display as documented per operation."""
+def traversal(edges: DataFrame, name: str, operation: str = "neighbors", relationship_type: str | None = None, max_depth: int = 2) -> DataFrame:
+    """All rows of a traversal: (node, relationship_type, cardinality), (src, dst, relationship_type, ...), (node, hops) or (node, hops, path)."""
     if operation not in OPERATIONS:
         raise ValueError(f"unknown operation {operation!r}; valid: {', '.join(OPERATIONS)}")
+    if relationship_type:
+        edges = of_type(edges, relationship_type)
+    if operation == "neighbors":
+        return neighbors(edges, name)
+    if operation == "ego_graph":
+        return ego_edges(edges, reachable(edges, name, max_depth))
+    if operation == "all_shortest_paths":
+        return shortest_paths(edges, name, max_depth)
+    return ancestors(edges, name) if operation == "ancestors" else descendants(edges, name)
+
+
+def traverse(
+    edges: DataFrame, name: str, operation: str = "neighbors", relationship_type: str | None = None, max_depth: int = 2, most: int | None = None
+) -> DataFrame:
+    """One-row result (json) of a traversal, for display: lists of up to ``most`` entries, or whole. ``traversal`` has the rows."""
     spark = edges.sparkSession
-    if edges.where((F.col("src") == name) | (F.col("dst") == name)).isEmpty():
+    touches = (F.col("src") == name) | (F.col("dst") == name)
+    if operation not in OPERATIONS:
+        raise ValueError(f"unknown operation {operation!r}; valid: {', '.join(OPERATIONS)}")
+    if edges.where(touches).isEmpty():
         hits = [r.node for r in suggest(edges, name).collect()]
         body = {"error": f"'{name}' not found"}
         body |= {"suggestions": hits} if hits else {"total_nodes": nodes(edges).count()}
         return _json(spark, body)
-    if relationship_type:
-        edges = of_type(edges, relationship_type)
-        if edges.where((F.col("src") == name) | (F.col("dst") == name)).isEmpty():
-            return _json(spark, {"error": f"No '{relationship_type}' relationships for '{name}'"})
+    if relationship_type and of_type(edges, relationship_type).where(touches).isEmpty():
+        return _json(spark, {"error": f"No '{relationship_type}' relationships for '{name}'"})
+    rows = materialize(traversal(edges, name, operation, relationship_type, max_depth), "traversal")
     head = {"entity": name, "operation": operation}
-    first = lambda df, n: [r.node for r in df.orderBy("hops", "node").limit(n).collect()]
+
+    def shown(df: DataFrame, *order: str):
+        df = df.orderBy(*order)
+        return (df if most is None else df.limit(most)).toLocalIterator()
+
     if operation == "neighbors":
-        near = neighbors(edges, name).orderBy("node")
-        rows = [{"entity": r.node, "relationship_type": r.relationship_type, "cardinality": r.cardinality} for r in near.toLocalIterator()]
-        return _json(spark, {**head, "neighbors": rows, "total": len(rows)})
+        listed = [{"entity": r.node, "relationship_type": r.relationship_type, "cardinality": r.cardinality} for r in shown(rows, "node")]
+        return _json(spark, {**head, "neighbors": listed, "total": rows.count()})
     if operation == "ego_graph":
-        members = reachable(edges, name, max_depth)
-        inside = ego_edges(edges, members)
-        shown = [{"source": r.src, "target": r.dst, "type": r.relationship_type} for r in inside.orderBy("src", "dst").limit(50).collect()]
+        kept = of_type(edges, relationship_type) if relationship_type else edges
+        members = materialize(reachable(kept, name, max_depth), "members")
         return _json(spark, {
-            **head, "max_depth": max_depth, "total_nodes": members.count(), "total_edges": inside.count(),
-            "nodes": first(members, 50), "edges": shown,
+            **head, "max_depth": max_depth, "total_nodes": members.count(), "total_edges": rows.count(),
+            "nodes": [r.node for r in shown(members, "hops", "node")],
+            "edges": [{"source": r.src, "target": r.dst, "type": r.relationship_type} for r in shown(rows, "src", "dst")],
         })
     if operation == "all_shortest_paths":
-        found = shortest_paths(edges, name, max_depth)
-        shown = {r.node: r.path for r in found.orderBy("hops", "node").limit(20).collect()}
-        return _json(spark, {**head, "max_depth": max_depth, "total_reachable": found.count(), "paths": shown})
-    found = ancestors(edges, name) if operation == "ancestors" else descendants(edges, name)
-    return _json(spark, {**head, "total": found.count(), operation: first(found, 50)})
+        return _json(spark, {
+            **head, "max_depth": max_depth, "total_reachable": rows.count(), "paths": {r.node: r.path for r in shown(rows, "hops", "node")}})
+    return _json(spark, {**head, "total": rows.count(), operation: [r.node for r in shown(rows, "hops", "node")]})
 
 
 def _json(spark, body: dict) -> DataFrame:

@@ -88,6 +88,46 @@ def graph_ancestors(spark, d):
     return graph.ancestors(_edges(spark, d), START).select("node")
 
 
+# A directed graph of several steps: supplier to part, part to the customers who ordered it, customer to nation.
+DIRECTED = """
+links as materialized (
+  select distinct 'S' || l_suppkey as src, 'P' || l_partkey as dst from lineitem
+  union select 'P' || l_partkey, 'C' || o_custkey from lineitem join orders on l_orderkey = o_orderkey
+  union select 'C' || c_custkey, 'N' || c_nationkey from customer)"""
+
+
+def _directed(spark, d):
+    lines = table(spark, d, "lineitem")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    edge = lambda rows, a, b, kind: rows.selectExpr(f"{a} as source", f"{b} as target", f"'{kind}' as relationship_type")
+    rows = edge(lines, "'S' || l_suppkey", "'P' || l_partkey", "supplies").unionByName(
+        edge(lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")), "'P' || l_partkey", "'C' || o_custkey", "sold to")).unionByName(
+        edge(table(spark, d, "customer"), "'C' || c_custkey", "'N' || c_nationkey", "lives in"))
+    return graph.build(graph.normalize_relationships(rows.distinct().withColumn("ord", F.xxhash64("source", "target"))), directed=True)
+
+
+@query(f"""
+with {DIRECTED},
+p as (select dst as node from links where src = 'S1'), c as (select distinct dst as node from links where src in (select node from p)),
+n as (select distinct dst as node from links where src in (select node from c))
+select node, 1 as hops from p union all select node, 2 from c union all select node, 3 from n
+""")
+def graph_directed_descendants(spark, d):
+    """What a supplier reaches along the edges alone."""
+    return graph.traversal(_directed(spark, d), START, "descendants").select("node", "hops")
+
+
+@query(f"""
+with {DIRECTED},
+c as (select src as node from links where dst = 'N7'), p as (select distinct src as node from links where dst in (select node from c)),
+s as (select distinct src as node from links where dst in (select node from p))
+select node, 1 as hops from c union all select node, 2 from p union all select node, 3 from s
+""")
+def graph_directed_ancestors(spark, d):
+    """Whatever leads to a nation, against the edges alone."""
+    return graph.traversal(_directed(spark, d), "N7", "ancestors").select("node", "hops")
+
+
 @query(f"""
 with {LINKS},
 p2 as (select l.dst as node, min(['S1', l.src, l.dst]) as path from links l where l.src in (select node from h1) and l.dst in (select node from h2) group by 1)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docmosaic.functions import fixed
+from docmosaic.functions import fixed, splitters
 from docmosaic.operators import chunking, ranking, spatial
-from docmosaic.queries import query
+from docmosaic.queries import ORACLES, query
 from docmosaic.queries.base import collapse_sql, documents, strip_sql, table
 from docmosaic.session import spread
 from docmosaic.sources import diagram
@@ -68,6 +68,14 @@ def table_chunks(spark, d):
     return pieces.select("doc_id", "pos", "content_type", F.md5("text").alias("body_md5"))
 
 
+@query(ORACLES["table_chunks"])
+def table_chunks_in_sql(spark, d):
+    """The same pieces from the table function."""
+    splitters.register(spark)
+    _documents(spark, d).createOrReplaceTempView("documents_to_split")
+    return spark.sql("SELECT doc_id, pos, content_type, md5(text) AS body_md5 FROM table_chunks(TABLE(documents_to_split), 512)")
+
+
 # Markdown derived from the documents: lines that open with some words become headings.
 HEADINGS = (
     ("The ", "# 1 - The "), ("An", "## 2 - An"), ("Re", "## Section 3 Re"), ("In", "### 4 - In"),
