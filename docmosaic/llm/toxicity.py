@@ -118,19 +118,18 @@ def features(text: str, symbols: Symbols, machine: Machine) -> tuple[float, floa
     """Of the matched clauses: the strongest, the sum, and the sum for each hundred tokens; the last two as logarithms."""
     found = list(map(symbols.__getitem__, _TOKEN.findall(text.lower())))
     strongest = total = 0.0
-    start = 0
-    hits = [i for i, x in enumerate(found) if x is not None and x[1]]
-    while hits:
-        at = hits[0]
+    end = 0  # clauses before it are done
+    for at, x in enumerate(found):
+        if at < end or x is None or not x[1]:
+            continue
         start = at
-        while start and found[start - 1] is not None:
+        while start > end and found[start - 1] is not None:
             start -= 1
         end = at
         while end < len(found) and found[end] is not None:
             end += 1
         clause = machine.run([x[0] for x in found[start:end]], [x[1] for x in found[start:end]])
         strongest, total = max(strongest, clause), total + clause
-        hits = hits[sum(1 for h in hits if h < end):] if len(hits) > 1 else []
     return strongest, math.log1p(total), math.log1p(100 * total / (len(found) + 20))
 
 

@@ -1,7 +1,9 @@
 """Classifiers on held-out rows, fingerprints against exact similarity, and the pipeline against plain Python."""
 
 import hashlib
+import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -82,6 +84,15 @@ def test_pieces_of_a_long_text_score_as_the_whole(monkeypatch):
     assert quality.logits(net, [text])[0] == cut
 
 
+def test_clauses_are_walked_once():
+    symbols, machine = toxicity.Symbols({"idiot": 2.0}), toxicity.grammar()
+    one = toxicity.features("the idiot, you idiot. no", symbols, machine)
+    assert one[0] == pytest.approx(3.0) and math.expm1(one[1]) == pytest.approx(5.0)
+    start = time.perf_counter()
+    many = toxicity.features("you idiot. " * 60_000, symbols, machine)
+    assert time.perf_counter() - start < 20 and math.expm1(many[1]) == pytest.approx(3.0 * 60_000)
+
+
 def test_classifiers_at_the_edges(spark, docs):
     rows = docs([(1, None), (2, ""), (None, "text"), (3, "x " * 50_000), (3, "x " * 50_000)])
     none = spark.createDataFrame([(7, 1)], "doc_id bigint, quality int").withColumn("toxic", F.col("quality"))
