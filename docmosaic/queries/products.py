@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docmosaic.functions.embedding import embed
+from docmosaic.functions.text import collapse
 from docmosaic.plans import agent, builder
 from docmosaic.queries import base, query
 from docmosaic.queries.base import CHUNKS, WHOLE, collapse_sql, documents, table
@@ -215,3 +216,22 @@ def incremental_dedupe(spark, d):
     source = files.select(F.col("source").alias("collection"), "doc_id", "text")
     folder = f"{checkpoint_dir(spark)}/incremental-{uuid.uuid4().hex}"
     return incremental.run(spark, source, f"{folder}/kept", f"{folder}/progress").select("hash", "doc_id")
+
+
+@query(f"""
+select sha256({collapse_sql('text')}) as hash, arg_min(doc_id, {{'l': coalesce(lang, ''), 'i': doc_id}}) as doc_id, count(*) as n_copies
+from documents group by 1
+""")
+def incremental_batches(spark, d):
+    """Documents arrive language by language; a content stays with the first that brought it, over all batches."""
+    folder = f"{checkpoint_dir(spark)}/incremental-{uuid.uuid4().hex}"
+    docs = documents(spark, d).select(F.col("source").alias("collection"), "doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"))
+    schema = docs.drop("lang").schema
+    kept = None
+    for row in docs.select("lang").distinct().orderBy("lang").toLocalIterator():
+        docs.where(F.col("lang") == row.lang).drop("lang").write.mode("append").parquet(f"{folder}/in")
+        kept = incremental.run(spark, spark.readStream.schema(schema).parquet(f"{folder}/in"), f"{folder}/kept", f"{folder}/progress")
+    copies = docs.groupBy(F.sha2(collapse(F.col("text")), 256).alias("hash")).agg(F.count(F.lit(1)).alias("n_copies"))
+    if kept is None:
+        return copies.withColumn("doc_id", F.lit(None).cast("bigint")).select("hash", "doc_id", "n_copies")
+    return copies.join(kept.select("hash", "doc_id"), "hash").select("hash", "doc_id", "n_copies")

@@ -348,7 +348,13 @@ def test_incremental_stream_in_two_batches(spark, tmp_path):
     assert sorted(r.doc_id for r in run().collect()) == [1, 3]
     spark.createDataFrame([("c", 4, " a b "), ("c", 5, "new")], schema).coalesce(1).write.mode("append").parquet(src)
     assert sorted(r.doc_id for r in run().collect()) == [1, 3, 5]
-    assert sorted(r.doc_id for r in run().collect()) == [1, 3, 5]
+    spark.createDataFrame([("c", 6, "new"), ("c", 7, "z "), ("c", 8, "last")], schema).coalesce(1).write.mode("append").parquet(src)
+    kept = run()
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 5, 8]
+    assert all(r.prefix == r.hash[:2] for r in kept.collect())
+    plan = kept.where("prefix = 'ab' and batch < 2").select("hash")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(batch" in plan or "PartitionFilters: [isnotnull(prefix" in plan
+    assert sorted(r.doc_id for r in run().collect()) == [1, 3, 5, 8]  # nothing arrived
 
 
 def test_bounded_memory_stream(spark, tmp_path):
