@@ -15,6 +15,7 @@ from docmosaic.functions.embedding import embed
 from docmosaic.operators import graph
 from docmosaic.plans import catalog, coverage, gap, ingest, products, validation
 from docmosaic.sources import diagram, inventory, profiles, writers
+from docmosaic.sources.progress import Progress
 from docmosaic.sources.store import ChunkStore
 
 NO_ALIASES = "canonical string, alias string"
@@ -131,12 +132,18 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             rels = relations.where("false") if args.skip_relationships else relations
             sheets = inventory.read_json(spark, args.inventory_json)
             forced = spark.createDataFrame([], "entity_name string")
+            # a run that was stopped goes on from the contexts it had finished
+            kept = Progress(spark, f"{args.output_dir}/_progress")
             rows = products.consolidated_catalog(
                 picked, sheets, chunks, rels, aliases, forced, skip_handbook_only=bool(args.domain or args.entity),
-                provider=products.agentic_contexts if args.agentic else products.contexts,
+                provider=products.agentic_contexts if args.agentic else products.contexts, progress=kept,
             )
             writers.write_json(rows, f"{args.output_dir}/catalog")
-            written = spark.read.json(f"{args.output_dir}/catalog")
+            # empty columns are not in the files, so the schema is that of the rows
+            written = spark.read.schema(rows.schema).json(f"{args.output_dir}/catalog")
+            tree = catalog.hierarchy(written, entities, sheets)
+            writers.write_catalog(catalog.nested_pages(tree), rels, args.output_dir)
+            kept.clear()
             show(catalog.catalog_summary(written).orderBy("metric", "value"))
         case "coverage":
             entities, _ = _entities(spark, args.model_json)

@@ -6,6 +6,9 @@ reduced to one row per key by an aggregate first.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -244,23 +247,53 @@ def hierarchy_counts(tree: DataFrame) -> DataFrame:
     return tree.groupBy("domain", "branch", "subgroup").agg(F.count(F.lit(1)).alias("n"))
 
 
-def nested_pages(tree: DataFrame) -> DataFrame:
-    """(domain, domain_id, domain_description, branch, subgroup, page, entities): the nested document in pages.
+PAGE = (
+    "domain string, domain_id string, domain_description string, branch string, subgroup string, subtype_id string, "
+    "subtype_description string, first string, n bigint, entities string"
+)
+
 
-    A subtype's entities are split by hash over pages of about a thousand, so
-    no group of unbounded size is collected into one row; the pages of a
-    subtype together hold all of its entities.
+def nested_pages(tree: DataFrame, page_rows: int | None = None) -> DataFrame:
+    """(domain, its id and description, branch, subgroup, its id and description, first, n, entities): the nested document in pages.
+
+    Rows are dealt by ranges of their place in the tree and of their own content, so a subtype of any
+    size, and a name with any number of copies, lie over as many tasks as they take. A task walks its
+    sorted rows and closes a page after ``page_rows`` entities or where the subtype ends; ``entities``
+    is a JSON array, ``first`` the name it starts with. The pages of a subtype together hold all of it.
     """
-    path = ["domain", "branch", "subgroup"]
-    meta = ["domain_id", "domain_description", "subtype_id", "subtype_description"]
-    pages = tree.groupBy(*path).agg(F.ceil(F.count(F.lit(1)) / PAGE_ROWS).alias("pages"))
-    record = F.struct(*[c for c in tree.columns if c not in (*path, *meta)])
-    # large subtypes meet their page count by a join on the small table of counts
-    rows = tree.join(small_side(pages), path)
-    page = F.pmod(F.xxhash64("entity_name"), F.col("pages"))
-    return rows.groupBy(*path, *meta, page.alias("page")).agg(
-        F.array_sort(F.collect_list(F.to_json(record))).alias("entities")
-    )
+    limit = PAGE_ROWS if page_rows is None else page_rows
+    path = ["domain", "domain_id", "domain_description", "branch", "subgroup", "subtype_id", "subtype_description"]
+    record = F.to_json(F.struct(*[c for c in tree.columns if c not in path]))
+    rows = tree.select(*path, F.coalesce("entity_name", F.lit("")).alias("entity_name"), record.alias("record"))
+    order = ["domain", "branch", "subgroup", "domain_id", "subtype_id", "domain_description", "subtype_description", "entity_name", "record"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in PAGE.split(", ")]
+        place, page = None, []
+
+        def closed() -> pa.RecordBatch:
+            entities = "[" + ",".join(record for _, record in page) + "]"
+            values = [*place, page[0][0], len(page), entities]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([v], pa.int64() if n == "n" else pa.string()) for n, v in zip(names, values)], names=names)
+
+        for batch in batches:
+            for *here, name, record in zip(*(c.to_pylist() for c in batch.columns)):
+                if page and (here != place or len(page) == limit):
+                    yield closed()
+                    page = []
+                place = here
+                page.append((name, record))
+        if page:
+            yield closed()
+
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(walk, PAGE)
+
+
+def page_lines(pages: DataFrame) -> DataFrame:
+    """(value): one JSON document a page, the entities inside it as objects."""
+    head = F.to_json(F.struct(*[c for c in pages.columns if c != "entities"]))
+    return pages.select(F.concat(F.regexp_replace(head, r"\}\z", ""), F.lit(',"entities":'), "entities", F.lit("}")).alias("value"))
 
 
 def member_samples(entities: DataFrame, size: int = 8) -> DataFrame:

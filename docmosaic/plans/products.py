@@ -13,6 +13,7 @@ from docmosaic.operators import chunking, keyword, matching, ranking, vector
 from docmosaic.operators.inverted import InvertedIndex
 from docmosaic.plans import agent, answering, catalog, coverage, retrieval
 from docmosaic.session import materialize
+from docmosaic.sources.progress import BATCH_ROWS, Progress
 
 # An answering step adds ``response`` to (entity_id, entity_name, evidence). Offline it is the evidence itself.
 EXTRACTIVE = lambda rows: rows.withColumn("response", F.col("evidence"))
@@ -104,12 +105,15 @@ def consolidated_catalog(
     done: DataFrame | None = None,
     skip_handbook_only: bool = False,
     provider=contexts,
+    progress: Progress | None = None,
+    batch_rows: int = BATCH_ROWS,
 ) -> DataFrame:
     """All steps from model and corpus to catalog rows.
 
     Steps whose result is used more than once are written once; a resumed run
-    passes the finished context rows as ``done``. ``provider`` is where contexts
-    come from: one pass (``contexts``) or rounds (``agentic_contexts``).
+    passes the finished context rows as ``done``, or a ``progress`` that keeps the
+    contexts of every ``batch_rows`` entities as they are finished. ``provider`` is where
+    contexts come from: one pass (``contexts``) or rounds (``agentic_contexts``).
     """
     found = chunking.definitions(chunks, "chunk_id")
     terms = materialize(found.select(F.xxhash64(F.lower("term")).alias("ord"), "term", "definition"), "terms")
@@ -118,7 +122,12 @@ def consolidated_catalog(
     if done is not None:
         keyed = entities.withColumn("entity_key", normalize(F.col("entity_name")))
         todo = catalog.remaining(keyed, done, "entity_key").select(*entities.columns)
-    context = provider(todo, chunks, aliases, terms, answer)
+    if progress is not None:
+        keyed = todo.withColumn("entity_key", normalize(F.col("entity_name")))
+        context = progress.run(
+            keyed, "entity_key", lambda batch: provider(batch.select(*entities.columns), chunks, aliases, terms, answer), batch_rows)
+    else:
+        context = provider(todo, chunks, aliases, terms, answer)
     context = materialize(context if done is None else context.unionByName(done.select(*context.columns)), "contexts")
     rows = catalog.consolidate(entities, mappings, inventory, context, relationships, forced)
     if skip_handbook_only:

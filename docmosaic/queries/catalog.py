@@ -11,9 +11,10 @@ from docmosaic.plans import catalog, gap, validation
 from docmosaic.queries import query
 from docmosaic.queries.base import collapse_sql, documents, normalize_sql, strip_sql, table
 from docmosaic.queries.scalars import RESPONSE
-from docmosaic.session import materialize, spread
+from docmosaic.session import materialize, shared_path, spread
 from docmosaic.sources import catalog as collections
-from docmosaic.sources import hashes, inventory
+from docmosaic.sources import hashes, inventory, writers
+from docmosaic.sources.progress import Progress
 
 # --- the catalog's inputs, read from the given tables ------------------------
 
@@ -311,10 +312,10 @@ consolidated as (
   from joined)"""
 
 
-def _consolidated(spark, d, mappings=None):
+def _consolidated(spark, d, mappings=None, contexts=None):
     return catalog.consolidate(
         _model(spark, d), _mappings(spark, d) if mappings is None else mappings, _inventory(spark, d),
-        _contexts(spark, d), _relations(spark, d), _forced(spark, d),
+        _contexts(spark, d) if contexts is None else contexts, _relations(spark, d), _forced(spark, d),
     )
 
 
@@ -338,7 +339,7 @@ def handbook_only(spark, d):
 TIER = "case when length(term) > 10 then 'existing' else 'new_proposed' end"
 
 
-def _full_catalog(spark, d):
+def _full_catalog(spark, d, contexts=None):
     from docmosaic.functions.predicates import review_status
 
     # the mapping is used twice; it is written once, as the step it is
@@ -353,8 +354,8 @@ def _full_catalog(spark, d):
         F.lit("").alias("inference_reasoning"),
         F.lit("").alias("alternative_domain"),
     ).withColumn("review_status", review_status(F.col("inference_tier"), F.col("inference_confidence")))
-    records = catalog.handbook_only_records(only, inferred, _contexts(spark, d))
-    return _consolidated(spark, d, mappings).unionByName(records, allowMissingColumns=True)
+    records = catalog.handbook_only_records(only, inferred, _contexts(spark, d) if contexts is None else contexts)
+    return _consolidated(spark, d, mappings, contexts).unionByName(records, allowMissingColumns=True)
 
 
 FULL = f"""
@@ -399,6 +400,30 @@ def hierarchy_metadata(spark, d):
     return tree.select("entity_name", "source", "domain", "subgroup", "domain_id", "subtype_id", "domain_description")
 
 
+@query(f"""
+with {FULL}
+select entity_name, source, formal_definition, domain, subgroup,
+  case when source = 'HANDBOOK_ONLY' then 'handbook_only' when subgroup <> '' then 'subtypes' else 'entities' end as branch,
+  case domain when 'AFRICA' then 'D0' when 'AMERICA' then 'D1' when 'ASIA' then 'D2' when 'EUROPE' then 'D3' else 'D4' end as domain_id,
+  case when subgroup = '' then '' else 'S' || replace(subgroup, 'NATION_', '') end as subtype_id
+from catalog
+""")
+def nested_catalog(spark, d):
+    """The catalog from contexts of a stopped and resumed run, written as nested pages and read back from them."""
+    kept = Progress(spark, shared_path(spark, "progress"))
+    items = materialize(_contexts(spark, d), "items")
+    # the first run stops with half of the entities; the second does the rest
+    kept.run(items.where(F.pmod(F.xxhash64("entity_key"), F.lit(2)) == 0), "entity_key", lambda batch: batch)
+    contexts = kept.run(items, "entity_key", lambda batch: batch).select(*items.columns)
+    tree = catalog.hierarchy(_full_catalog(spark, d, contexts), _model(spark, d), _inventory(spark, d))
+    out = shared_path(spark, "catalog")
+    writers.write_catalog(catalog.nested_pages(tree), _relations(spark, d), out)
+    entity = "entity_name string, source string, formal_definition string"
+    path = "domain string, domain_id string, branch string, subgroup string, subtype_id string"
+    pages = spark.read.schema(f"{path}, entities array<struct<{entity.replace(' string', ':string')}>>").json(f"{out}/nested")
+    return pages.select(*[f.split()[0] for f in path.split(", ")], F.inline("entities"))
+
+
 @query(f"""
 with {MODEL},
 g as (select domain, case when subgroup = '' then 'entities' else subgroup end as subgroup, entity_name from model),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docmosaic.functions import fixed
 from docmosaic.functions.embedding import embed
 from docmosaic.functions.text import excerpt
-from docmosaic.operators import cross_encoder, keyword, mmr, ranking, vector
+from docmosaic.operators import cells, cross_encoder, keyword, mmr, ranking, vector
 from docmosaic.operators.inverted import InvertedIndex
 from docmosaic.plans import answering, coverage, retrieval
 from docmosaic.queries import base, query
@@ -145,6 +145,24 @@ def vector_topk(spark, d):
     return _bigint(near, "rank").withColumn("score", F.round("score", 5))
 
 
+# Every vector whose id is divisible by 50, against all vectors.
+FIFTIETH = """
+vecs as (select vec_id as chunk_id, embedding from embeddings),
+qv as (select chunk_id as query_id, embedding from vecs where chunk_id % 50 = 0)"""
+
+
+@query(f"""
+with {FIFTIETH}, {nearest('qv', 'vecs', 10)}
+select query_id, chunk_id, rank, round(score, 5) as score from near
+""")
+def vector_cells_topk(spark, d):
+    """Exact search over vectors written by cell: cells whose bound cannot reach a query's k-th best stay closed."""
+    v = base.vectors(spark, d).select("chunk_id", "embedding")
+    asked = v.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    near = cells.CellIndex(v).search(asked, 10)
+    return _bigint(near, "rank").withColumn("score", F.round("score", 5))
+
+
 # All chunks and all items, each with a vector made from its text.
 STORED = f"""
 {CHUNKS}, {WHOLE}, {embedded_sql('chunks', 'chunk_id', 'text', 'made')},

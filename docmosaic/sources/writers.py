@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docmosaic.plans.catalog import page_lines
+
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
@@ -25,9 +27,10 @@ def write_model(records: DataFrame, path: str, fmt: str = "both", markdown: Data
         markdown.select(F.col("markdown").alias("value")).write.mode("overwrite").text(f"{path}/markdown")
 
 
-def checkpoint_rows(done: DataFrame, path: str) -> None:
-    """Append finished rows of a batch; a resumed run anti-joins against them."""
-    done.write.mode("append").parquet(path)
+def write_catalog(pages: DataFrame, relationships: DataFrame, path: str) -> None:
+    """The nested catalog, a JSON document a page in the order of the tree, and the relationships beside it."""
+    page_lines(pages).write.mode("overwrite").text(f"{path}/nested")
+    write_json(relationships, f"{path}/relationships")
 
 
 def report_lines(ranked: DataFrame) -> DataFrame:

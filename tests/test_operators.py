@@ -1,5 +1,6 @@
 """Operators against brute force and by their properties."""
 
+import json
 import random
 
 import numpy as np
@@ -240,7 +241,11 @@ def test_nested_pages_hold_every_entity(spark, monkeypatch):
         F.concat(F.lit("e"), "id").alias("entity_name"), *[F.lit("").alias(c) for c in ("domain_id", "domain_description", "subtype_id", "subtype_description")],
     )
     pages = catalog.nested_pages(tree).collect()
-    assert sum(len(p.entities) for p in pages) == 95 and len(pages) > 5
+    found = [json.loads(p.entities) for p in pages]
+    assert sorted(e["entity_name"] for page in found for e in page) == sorted(f"e{i}" for i in range(95))
+    assert all(len(page) == p.n <= 10 and page[0]["entity_name"] == p.first for p, page in zip(pages, found)) and len(pages) > 9
+    lines = [json.loads(r.value) for r in catalog.page_lines(catalog.nested_pages(tree)).collect()]
+    assert sum(line["n"] for line in lines) == sum(len(line["entities"]) for line in lines) == 95
 
 
 def test_coverage_summary_rounds_half_to_even(spark):

@@ -2,10 +2,13 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from docmosaic import cli
-from docmosaic.plans import products
+from docmosaic.functions.text import normalize
+from docmosaic.plans import catalog, products
+from docmosaic.sources.progress import Progress
 from docmosaic.sources.store import ChunkStore
 
 CORPUS = """# 1 - Clubs.
@@ -54,6 +57,10 @@ def test_command_line(spark, tmp_path, capsys):
     assert rows["Club"].source == "BOTH" and rows["Club"].mapping_confidence == "high" and rows["Club"].n_relationships == 1
     assert rows["Club"].formal_definition.startswith("a club that plays")
     assert rows["Referee"].source == "BOTH" and rows["Referee"].handbook_term == "Match Official"
+    nested = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out/nested")).collect()]
+    assert {(p["domain"], p["branch"], e["entity_name"]) for p in nested for e in p["entities"] if e["source"] != "HANDBOOK_ONLY"} == {
+        ("PARTY", "subtypes", "Club"), ("PARTY", "entities", "Referee"), ("ASSET", "entities", "Zeppelin")}
+    assert spark.read.json(str(tmp_path / "out/relationships")).count() == 1 and not (tmp_path / "out/_progress").exists()
     assert rows["Zeppelin"].source == "LEANIX_ONLY" and rows["Zeppelin"].leanix_description.startswith("Not documented")
     run("catalog", *model, "--inventory-json", tmp_path / "inv.json", "--agentic", "--domain", "party", "--output-dir", tmp_path / "ag")
     assert {r.entity_name for r in spark.read.json(str(tmp_path / "ag/catalog")).collect()} == {"Club", "Referee"}
@@ -92,3 +99,57 @@ def test_resume_keeps_finished_contexts(spark):
     )
     assert {r.entity_name: r.domain_context for r in got.collect()} == {"Club": "kept", "Town": ""}
     assert asked == ["Town"]
+
+
+def test_progress_goes_on_after_a_stop(spark, tmp_path, rows):
+    items = spark.range(60).select(F.concat(F.lit("k"), "id").alias("key"), "id").repartition(3)
+    want = rows(items.select("key", (F.col("id") * 2).alias("twice")))
+    progress = Progress(spark, str(tmp_path / "progress"))
+    seen = []
+
+    def step(batch):
+        seen.append({r.key for r in batch.collect()})
+        if len(seen) == 2:
+            raise RuntimeError("lost")
+        return batch.select("key", (F.col("id") * 2).alias("twice"))
+
+    with pytest.raises(RuntimeError, match="lost"):
+        progress.run(items, "key", step, batch_rows=15)
+    assert len(seen) == 4 and len(progress.batches()) == 3  # the batch after the failing one was finished
+    (tmp_path / "progress/_open-broken").mkdir()  # what a run that was killed leaves behind
+    lost = seen[1]
+    assert rows(progress.run(items, "key", step, batch_rows=1000)) == want and seen[4:] == [lost]
+    assert rows(progress.run(items, "key", step)) == want and len(seen) == 5
+    progress.clear()
+    assert progress.done() is None
+    assert progress.run(items.where("false"), "key", step).columns == ["key", "twice"]
+
+
+def test_catalog_resumes_with_equal_output(spark, tmp_path, rows):
+    text = "the club of the town and the river of the hill " * 10
+    chunks = spark.createDataFrame([("s", k, text) for k in range(3)], "collection string, chunk_id bigint, text string")
+    entities = spark.createDataFrame([(k, n, "P") for k, n in enumerate(("Club", "Town", "River", "Hill", "club"))], "ord bigint, entity_name string, domain string")
+    for c in ("domain_fact_sheet_id", "subgroup", "subgroup_fact_sheet_id", "fact_sheet_id"):
+        entities = entities.withColumn(c, F.lit(""))
+    none = spark.createDataFrame([], "canonical string, alias string")
+    rest = (
+        spark.createDataFrame([], "id string, type string, description string, level string, status string"), chunks,
+        spark.createDataFrame([], "source_entity string"), none, spark.createDataFrame([], "entity_name string"))
+    calls = []
+
+    def provider(some, *_):
+        calls.append(some.count())
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        key = normalize(F.col("entity_name")).alias("entity_key")
+        return some.select(key, *[F.lit("told").alias(c) for c in catalog.CONTEXT]).distinct()
+
+    progress = Progress(spark, str(tmp_path / "progress"))
+    with pytest.raises(RuntimeError):
+        products.consolidated_catalog(entities, *rest, provider=provider, progress=progress, batch_rows=2)
+    kept = progress.done().count()
+    assert 0 < kept < 4
+    resumed = products.consolidated_catalog(entities, *rest, provider=provider, progress=progress, batch_rows=2)
+    assert sum(calls) == 5 + calls[1]
+    assert rows(resumed) == rows(products.consolidated_catalog(entities, *rest, provider=provider))
+    assert progress.done().count() == 4  # names that are equal after normalising share a context
