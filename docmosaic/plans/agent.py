@@ -5,7 +5,8 @@ tried is carried from round to round in columns: its observations, the queries i
 by and the sets of terms it scanned for. A policy reads them and says what to do next.
 
 Evidence is rows (entity, iteration, place, chunk), never a text in a row; texts are joined
-where they are read, in a tree with a budget. Each round is written before the next one starts.
+where they are read, in a tree with a budget. What a round found is summed up per entity and
+written before the next one starts; its rows are put in order only for a reader of evidence.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from docmosaic.functions.predicates import boilerplate, quality_gate
 from docmosaic.functions.text import collapse
 from docmosaic.operators import keyword, ranking
 from docmosaic.operators.inverted import InvertedIndex
-from docmosaic.plans.answering import extract, reduce_texts
-from docmosaic.session import materialize
+from docmosaic.plans.answering import extract, fitted_texts, reduce_texts
+from docmosaic.session import materialize, small_side
 
 MIN_CONTENT = 100
 MAX_ITERATIONS = 5
@@ -91,36 +92,50 @@ def _placed(rows: DataFrame, depth: int | None) -> DataFrame:
     return rows.select("entity_id", (F.col("rank") - 1).alias("place"), "collection", "chunk_id", "score")
 
 
+def _retrieved(corpus: Corpus, questions: DataFrame, depth: int | None, sections: DataFrame | None) -> DataFrame:
+    """(entity_id, collection, chunk_id, score): what ``retrieve`` puts in order."""
+    # dealt by the chunk, as the facts of chunks are when they are joined
+    scored = corpus.index.scores(questions, depth).repartition("collection", "chunk_id")
+    scored = scored.groupBy("entity_id", "collection", "chunk_id").agg(F.max("score").alias("score"))
+    if sections is None:
+        return scored
+    kept = scored.join(small_side(sections.select("entity_id", "collection").distinct()), ["entity_id", "collection"], "left_semi")
+    return kept.unionByName(scored.join(small_side(sections.select("entity_id").distinct()), "entity_id", "left_anti"))
+
+
 def retrieve(corpus: Corpus, questions: DataFrame, depth: int | None = None, sections: DataFrame | None = None) -> DataFrame:
     """Evidence rows of each question (entity_id, pos, variant): its chunks by score, ``depth`` of them or all.
 
     ``sections`` (entity_id, collection) keep an entity to those collections; entities without any there look everywhere.
     """
-    scored = corpus.index.scores(questions, depth).groupBy("entity_id", "collection", "chunk_id").agg(F.max("score").alias("score"))
-    if sections is not None:
-        kept = scored.join(sections.select("entity_id", "collection").distinct(), ["entity_id", "collection"], "left_semi")
-        scored = kept.unionByName(scored.join(sections.select("entity_id").distinct(), "entity_id", "left_anti"))
-    return _placed(scored, depth)
+    return _placed(_retrieved(corpus, questions, depth, sections), depth)
 
 
-def scan(corpus: Corpus, terms: DataFrame, depth: int | None = None) -> DataFrame:
-    """Evidence rows of chunks that hold a term (entity_id, pos, variant) verbatim: by score and then id, ``depth`` of them or all.
-
-    Of chunks with one text the first counts. A hit inside a longer word scores 0.
-    """
+def _scanned(corpus: Corpus, terms: DataFrame) -> DataFrame:
+    """(entity_id, collection, chunk_id, score): what ``scan`` puts in order."""
     hits = keyword.entity_hits(corpus.chunks, terms, with_text=False).select("entity_id", "collection", "chunk_id").distinct()
     hits = hits.join(corpus.facts.select("collection", "chunk_id", "digest"), ["collection", "chunk_id"])
     first = hits.groupBy("entity_id", "digest").agg(F.min(F.struct("chunk_id", "collection")).alias("f"))
     scored = corpus.index.scores(terms).groupBy("entity_id", "chunk_id").agg(F.max("score").alias("score"))
     found = first.select("entity_id", "f.collection", "f.chunk_id").join(scored, ["entity_id", "chunk_id"], "left")
-    return _placed(found.withColumn("score", F.coalesce("score", F.lit(0.0))), depth)
+    return found.withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def scan(corpus: Corpus, terms: DataFrame, depth: int | None = None) -> DataFrame:
+    """Evidence rows of chunks that hold a term (entity_id, pos, variant) verbatim: by score and then id, ``depth`` of them or all.
+
+    Of chunks with one text the first counts. A hit inside a longer word scores 0.
+    """
+    return _placed(_scanned(corpus, terms), depth)
 
 
 def texts(evidence: DataFrame, chunks: DataFrame, budget: int | None = BUDGET) -> DataFrame:
     """(entity_id, evidence): the texts of evidence rows (entity_id, place, chunk_id), in order, within ``budget`` characters."""
+    bodies = chunks.select("chunk_id", collapse(F.coalesce("text", F.lit(""))).alias("text"))
+    if budget is not None:
+        return fitted_texts(evidence, bodies, ["entity_id"], budget).withColumnRenamed("text", "evidence")
     most = (evidence.agg(F.max("place")).first()[0] or 0) + 1
-    body = evidence.join(chunks.select("chunk_id", collapse(F.coalesce("text", F.lit(""))).alias("text")), "chunk_id")
-    return reduce_texts(body, ["entity_id"], most, extract(budget)).withColumnRenamed("text", "evidence")
+    return reduce_texts(evidence.join(bodies, "chunk_id"), ["entity_id"], most, extract(budget)).withColumnRenamed("text", "evidence")
 
 
 def _state(entities: DataFrame, trace: DataFrame, iteration: int) -> DataFrame:
@@ -191,18 +206,25 @@ def run(
         parts = []
         if iteration == 1 or not ask.isEmpty():
             chosen = ask.select("entity_id", F.explode("sections").alias("collection"))
-            parts.append(retrieve(corpus, ask.select("entity_id", F.lit(0).alias("pos"), F.col("query").alias("variant")), depth,
-                                  None if iteration == 1 or chosen.isEmpty() else chosen))
+            parts.append(_retrieved(corpus, ask.select("entity_id", F.lit(0).alias("pos"), F.col("query").alias("variant")), depth,
+                                    None if iteration == 1 or chosen.isEmpty() else chosen))
         if iteration > 1 and not look.isEmpty():
-            parts.append(scan(corpus, look.select("entity_id", F.posexplode("terms").alias("pos", "variant")), depth))
+            parts.append(materialize(_scanned(corpus, look.select("entity_id", F.posexplode("terms").alias("pos", "variant"))), "scanned"))
         step = actions.withColumn("iteration", F.lit(iteration))
         if parts:
-            got = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-            got = materialize(got.withColumn("iteration", F.lit(iteration)), "evidence")
-            evidence = got if evidence is None else evidence.unionByName(got)
-            facts = got.join(corpus.facts.drop("digest"), ["collection", "chunk_id"]).groupBy("entity_id").agg(
+            parts = [p if depth is None else materialize(_placed(p, depth), "evidence") for p in parts]
+            seen = None
+            for part in parts:
+                # rows meet the facts of their chunks and are summed up there; their order is for those who read them
+                order = F.struct((-F.round("score", 9)).alias("s"), "chunk_id")
+                met = part.join(corpus.facts.drop("digest"), ["collection", "chunk_id"]).select(
+                    "entity_id", "collection", "n_chars", "plain", "preview", order.alias("order"))
+                seen = met if seen is None else seen.unionByName(met)
+                placed = (_placed(part, depth) if depth is None else part).withColumn("iteration", F.lit(iteration))
+                evidence = placed if evidence is None else evidence.unionByName(placed)
+            facts = seen.groupBy("entity_id").agg(
                 F.count(F.lit(1)).alias("n_chunks"), F.sum("n_chars").alias("n_chars"), F.max("plain").alias("plain"),
-                F.min_by("preview", "place").alias("preview"), F.array_sort(F.collect_set("collection")).alias("found_in"))
+                F.min_by("preview", "order").alias("preview"), F.array_sort(F.collect_set("collection")).alias("found_in"))
             step = step.join(facts, "entity_id", "left")
         else:
             step = step.selectExpr("*", "0L as n_chunks", "0L as n_chars", "false as plain", "'' as preview", "cast(array() as array<string>) as found_in")

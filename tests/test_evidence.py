@@ -1,8 +1,12 @@
 """Evidence and state of the rounds: rows, the best first; what was seen and tried reaches the policy."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from docmosaic.plans import agent
+from docmosaic import session
+from docmosaic.plans import agent, answering
+from docmosaic.plans.answering import extract, fitted_texts, reduce_texts
 
 CHUNKS = "collection string, chunk_id bigint, text string"
 VARIANTS = "entity_id bigint, pos int, variant string"
@@ -66,3 +70,43 @@ def test_summaries_of_nothing(spark):
         "cast(array() as array<string>) as tried_queries", "cast(array() as array<array<string>>) as tried_terms")
     told = empty.select(agent.observations_summary(empty), agent.tried_summary(empty)).first()
     assert tuple(told) == ("  (none yet)", "  (none yet)")
+
+
+def test_fitted_texts_are_those_of_the_tree(spark):
+    rng = random.Random(5)
+    bodies = [(k, "".join(rng.choice("ab ") for _ in range(rng.choice([0, 1, 3, 20, 90])))) for k in range(300)]
+    bodies += [(7, "a copy of seven"), (8, bodies[8][1])]  # ids may repeat, and so may texts
+    rows = [(e, place, k) for e, n in ((1, 300), (2, 9), (3, 1), (4, 64)) for place, k in enumerate(rng.sample(range(300), n))]
+    texts = spark.createDataFrame(bodies[:-2], "chunk_id bigint, text string")
+    kept = spark.createDataFrame(rows, "entity_id int, place int, chunk_id bigint")
+    for budget, fan in ((9, 8), (200, 8), (3000, 20)):
+        want = reduce_texts(kept.join(texts, "chunk_id"), ["entity_id"], 300, extract(budget), fan)
+        got = fitted_texts(kept, texts, ["entity_id"], budget, fan)
+        assert {r.entity_id: r.text for r in got.collect()} == {r.entity_id: r.text for r in want.collect()}, (budget, fan)
+    twice = fitted_texts(kept, spark.createDataFrame(bodies, texts.schema), ["entity_id"], 10**6, 300).where("entity_id = 1").first().text
+    assert len(twice) == sum(len(b) for _, b in bodies) + 2 * (len(bodies) - 1)
+
+
+def test_rounds_write_sums_and_no_evidence(spark, monkeypatch):
+    """What is written grows with the entities, not with the chunks that share a word with them."""
+    chunks = spark.createDataFrame([("s", k, f"harbour number {k}" + " and piers" * k) for k in range(300)], CHUNKS)
+    names = spark.createDataFrame([(1, 0, "harbour"), (2, 0, "harbour piers")], VARIANTS)
+    entities = names.selectExpr("entity_id", "variant as name")
+    corpus, written = agent.Corpus(chunks), {}
+
+    def materialize(df, label):
+        out = session.materialize(df, label)
+        written[label] = written.get(label, 0) + out.count()
+        return out
+
+    assert corpus.facts.count() == 300
+    monkeypatch.setattr(agent, "materialize", materialize)
+    trace, found = agent.run(corpus, entities, names)
+    first = trace.where("iteration = 1").orderBy("entity_id").collect()
+    assert [r.n_chunks for r in first] == [300, 300] and written and max(written.values()) <= 8
+    assert [r.preview for r in first] == [
+        chunks.where(F.col("chunk_id") == found.where(f"entity_id = {e} and place = 0").first().chunk_id).first().text[:200] for e in (1, 2)]
+    # of the texts, only those are read that have a share of the result
+    monkeypatch.setattr(answering, "materialize", materialize)
+    told = agent.texts(agent.gathered(trace, found), chunks, 500).first().evidence
+    assert len(told) <= 500 and written["wanted"] < 300
