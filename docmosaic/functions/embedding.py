@@ -9,9 +9,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from docmosaic.session import bounded_batches, returning
+
 DIMENSIONS = 64
 
 # A model: texts of one batch to a matrix with one row per text.
@@ -36,7 +38,12 @@ def hashed_words(texts: list[str]) -> np.ndarray:
 def embed(text: Column, model: Embedder = hashed_words) -> Column:
     """``array<float>`` per text. The model gets Arrow batches, so it is loaded once per worker."""
 
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        bounded_batches(active)
+
     @F.pandas_udf("array<float>")
+    @returning
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(list(model(texts.fillna("").tolist()).astype(np.float32)), index=texts.index)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -12,41 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 16 * 1024 * 1024
-BATCH_ROWS = 4096
-
+from docmosaic.session import bounded_batches, returning  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Limit what one Arrow batch holds by bytes as well as rows, so that long texts do not add up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
-def returning(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
-    """A generator of Arrow batches that gives a worker's free memory back to the machine when it ends.
-
-    Workers are kept for later tasks; without this each would keep the most it ever held.
-    """
-
-    @wraps(run)
-    def ended(*args, **kwargs):
-        try:
-            yield from run(*args, **kwargs)
-        finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):
-                pass  # another C library keeps its own house
-
-    return ended
-
-
 def sheltered(change: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """An operator that adds columns to ``docs``, whose columns with names like its inner ones come to no harm."""
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from docmosaic.functions import fixed
 from docmosaic.functions.text import collapse, strip
 from docmosaic.operators.ranking import keep_first
+from docmosaic.session import bounded_batches, returning
 
 CHARS_PER_TOKEN = 4
 SEPARATOR = r"^[-|+: ]+$"
@@ -97,8 +98,10 @@ def sentence_pieces(text: str, limit: int, overlap: int) -> list[str]:
 
 def _piece_udf(split: Callable[[str], list[tuple[str, str]]]):
     @F.pandas_udf(PIECES)
-    def pieces(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"content_type": k, "body": b} for k, b in split(t or "")])
+    @returning
+    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: [{"content_type": k, "body": b} for k, b in split(t or "")])
 
     return pieces
 
@@ -137,6 +140,7 @@ def chunk(docs: DataFrame, settings: ChunkSettings = ChunkSettings()) -> DataFra
 
 
 def _explode(docs: DataFrame, pieces: Column) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != "text"]
     return docs.select(*keep, F.posexplode(pieces).alias("pos", "_piece")).select(
         *keep, F.col("pos").cast("bigint").alias("pos"), "_piece.content_type", F.col("_piece.body").alias("text")
@@ -218,6 +222,7 @@ def split_numbered_sections(
             ]
         )
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(key, F.explode(sections(F.col("text"))).alias("s")).select(key, "s.*")
     rows = rows.where(F.length("body") >= min_chars).withColumn("latest", -F.col("start"))
     last = keep_first(rows, [key, "number"], ["latest"]).drop("latest")

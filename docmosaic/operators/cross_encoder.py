@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from docmosaic.operators import vector
 from docmosaic.operators.ranking import score_order, top_k
-from docmosaic.session import materialize
+from docmosaic.session import bounded_batches, materialize, returning
 
 #: Questions and texts of a batch to one score per pair.
 Model = Callable[[list[str], list[str]], np.ndarray]
@@ -43,6 +43,9 @@ def offline() -> Model:
 def score_pairs(pairs: DataFrame, load: Callable[[], Model] = offline, batch: int = BATCH) -> DataFrame:
     """(query_id, chunk_id, score, failed) of (query_id, chunk_id, question, text); nulls are empty texts."""
 
+    bounded_batches(pairs.sparkSession)
+
+    @returning
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
         for rows in batches:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmosaic.functions.text import collapse
-from docmosaic.session import materialize, small_side
+from docmosaic.session import bounded_batches, materialize, returning, small_side
 
 # Terms of one pass, by characters; more terms take further passes over the texts.
 TERM_CHARS = 16_000_000
@@ -32,10 +32,12 @@ def _matcher(terms: list[str]):
 
 
 def _one_pass(texts: DataFrame, keys: list[str], terms: list[str]) -> DataFrame:
+    bounded_batches(texts.sparkSession)
     shared = texts.sparkSession.sparkContext.broadcast(terms)
     schema = [f for f in texts.schema.fields if f.name in keys]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", term string"
 
+    @returning
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         find = _matcher(words) if words else lambda text: ()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmosaic.operators.ranking import score_order, top_k
-from docmosaic.session import materialize
+from docmosaic.session import bounded_batches, materialize, returning
 
 EPSILON = 1e-9
 # Query vectors of one pass, in bytes; more queries take further passes.
@@ -45,9 +45,11 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def _one_pass(vectors: DataFrame, ids: list, matrix: np.ndarray, k: int, id_type: str) -> DataFrame:
+    bounded_batches(vectors.sparkSession)
     sc = vectors.sparkSession.sparkContext
     shared = sc.broadcast((ids, _unit(matrix)))
 
+    @returning
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries = shared.value
         kept: list[list[tuple[float, int]]] = [[] for _ in query_ids]
@@ -131,6 +133,7 @@ def nearest_in_groups(vectors: DataFrame, queries: DataFrame, k: int) -> DataFra
     queries = queries.select("query_id", "pos", "embedding")
     if passes > 1:
         queries = materialize(queries.withColumn("part", F.pmod(F.xxhash64("query_id", "pos"), F.lit(passes))), "queries")
+    bounded_batches(vectors.sparkSession)
     sc = vectors.sparkSession.sparkContext
     schema = f"query_id {kind}, pos int, collection string, chunk_id {id_kind}, score double"
     out = None
@@ -143,6 +146,7 @@ def nearest_in_groups(vectors: DataFrame, queries: DataFrame, k: int) -> DataFra
             [r.query_id for r in rows], np.array([r.pos for r in rows], np.int32),
             _unit(np.array([r.embedding for r in rows], np.float64).reshape(len(rows), -1 if rows else 0))))
 
+        @returning
         def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, places, matrix = shared.value
             held: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}

@@ -188,3 +188,31 @@ def test_small_collections_come_whole_and_settings_reach_the_answer(spark, corpu
         assert {r.query_id for r in told.collect()} >= {0, 1}
     told = answering.answer(index, corpus, stored, phrased, vectors, iterative=True)
     assert {r.query_id: r.n_sections for r in told.collect()}[0] >= 3
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """A worker of the index, the splitters and the vectors gets a few megabytes at a time, however long the texts."""
+    from docmosaic import session
+    from docmosaic.functions.embedding import embed
+    from docmosaic.operators import chunking, keyword
+
+    def largest(rows):
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+        return rows.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+
+    docs = spark.range(0, 400, 1, 1).select(
+        F.lit("s").alias("collection"), F.col("id").alias("chunk_id"), F.repeat(F.lit("harbour "), 10_000).alias("text"))
+    asked = spark.createDataFrame([(1, 0, "harbour")], "entity_id bigint, pos int, variant string")
+    for use in (
+        lambda: InvertedIndex(docs), lambda: keyword.entity_hits(docs, asked), lambda: chunking.table_chunks(docs), lambda: embed(F.col("text")),
+        lambda: vector.nearest(spark.createDataFrame([(1, [1.0])], "chunk_id bigint, embedding array<float>"),
+                               spark.createDataFrame([(1, [1.0])], "query_id bigint, embedding array<float>"), 1),
+        lambda: cross_encoder.score_pairs(docs.selectExpr("1 as query_id", "chunk_id", "'harbour' as question", "text")),
+    ):
+        for name in ("Records", "Bytes"):
+            spark.conf.unset(f"spark.sql.execution.arrow.max{name}PerBatch")
+        use()
+        assert largest(docs) <= 1.1 * session.BATCH_BYTES
