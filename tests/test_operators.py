@@ -275,6 +275,42 @@ def test_spatial_against_brute_force(spark):
     assert {r.box_id for r in spatial.roots(b).collect()} == want
 
 
+def test_boxes_over_each_other_make_no_pairs(spark):
+    """Every box holds every point: pairs would be 4 million, rows of all stages stay near n log^2 n."""
+    n = 2000
+    boxes = spark.range(n).selectExpr(
+        "'g' as group", "id as box_id", "id as ord", "double(-id) / 7 as x", "double(-(id * 37 % 2000)) / 3 as y", "double(5000 + id * 11 % 2000) as w", "double(5000 + id) as h")
+    points = spark.range(n).selectExpr("'g' as group", "id as point_id", "double(id % 100) + 0.5 as px", "double(id) / 2 as py")
+    rows = {r.point_id: r.box_id for r in spatial.point_in_box(points, boxes).collect()}
+    assert rows == {k: 0 for k in range(n)}
+    for plan in (spatial.point_in_box(points, boxes), spatial.enclosed(boxes)):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastNestedLoopJoin" not in text and ">= x" not in text and "<= ox" not in text
+    flat = [(r.box_id, r.x, r.y, r.x + r.w, r.y + r.h) for r in boxes.collect()]
+    within = {c[0] for c in flat if any(o[0] != c[0] and o[1] <= c[1] and o[2] <= c[2] and o[3] >= c[3] and o[4] >= c[4] for o in flat)}
+    assert {r.box_id for r in spatial.enclosed(boxes).collect()} == within
+
+
+def test_spatial_with_copies_nulls_and_fractions(spark):
+    rng = random.Random(8)
+    number = lambda *of: rng.choice([None, 0.0, 0.25, 1.0, 3.5, 1e-9, 700.0, *of])
+    boxes = [(rng.choice(["a", "b", None]), rng.choice([None, *range(40)]), i, number(-2.5), number(8.25), number(2.0), number(4.0)) for i in range(150)]
+    boxes += boxes[:30]
+    b = spark.createDataFrame(boxes, "group string, box_id bigint, ord bigint, x double, y double, w double, h double")
+    has = lambda x: None not in x
+    within = lambda c, o: has((c[0], c[1], o[0], o[1], *c[3:], *o[3:])) and c[0] == o[0] and c[1] != o[1] and (
+        o[3] <= c[3] and c[3] + c[5] <= o[3] + o[5] and o[4] <= c[4] and c[4] + c[6] <= o[4] + o[6])
+    want = {(c[0], c[1]) for c in boxes if any(within(c, o) for o in boxes)}
+    assert {tuple(r) for r in spatial.enclosed(b).collect()} == want
+    points = [(rng.choice(["a", "b", None]), i, number(2.0), number(9.0)) for i in range(150)]
+    p = spark.createDataFrame(points, "group string, point_id bigint, px double, py double")
+    inside = lambda q, o: has((q[0], o[0], *q[2:], *o[3:])) and q[0] == o[0] and o[3] <= q[2] <= o[3] + o[5] and o[4] <= q[3] <= o[4] + o[6]
+    for last in (False, True):
+        got = {r.point_id: r.box_id for r in spatial.point_in_box(p, b, last).collect()}
+        hits = {q[1]: [o for o in boxes if inside(q, o)] for q in points}
+        assert got == {k: sorted(v, key=lambda o: -o[2] if last else o[2])[0][1] for k, v in hits.items() if v}
+
+
 @pytest.mark.parametrize("w, h, box", [(102, 40, False), (101, 41, True), (100, 50, False)])
 def test_container_size(spark, w, h, box):
     assert spark.range(1).select(spatial.is_container(F.lit(w), F.lit(h)).alias("c")).first().c is box
