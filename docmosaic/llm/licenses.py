@@ -50,14 +50,28 @@ TEMPLATES = {
 LEAST = 0.8
 
 
-def bigrams(text: Column) -> Column:
-    """Distinct pairs of neighbouring words: lower-cased runs of a-z and 0-9, a lone word by itself."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
+def words_of(text: Column) -> Column:
+    """Lower-cased runs of a-z and 0-9; one empty word where there is none."""
+    return F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
+
+
+def pairs_of(words: Column) -> Column:
+    """Distinct pairs of neighbouring words, a lone word by itself."""
     pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))),
                        F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
     return F.when(words == F.array(F.lit("")), F.array().cast("array<string>")).otherwise(F.array_distinct(pairs))
 
 
+def bigrams(text: Column) -> Column:
+    """Distinct pairs of neighbouring words: lower-cased runs of a-z and 0-9, a lone word by itself."""
+    return pairs_of(words_of(text))
+
+
+def _once(name: str, value: Column) -> Column:
+    """``value`` as a generated column, which is not worked out again in each place that reads it."""
+    return F.explode_outer(F.array(value)).alias(name)
+
+
 def templates(spark: SparkSession, texts: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """(license, template, bigram, m): a row for each bigram of each template, ``m`` their number."""
     rows = [(name, k, text) for name, several in texts.items() for k, text in enumerate(several)]
@@ -82,7 +96,10 @@ def scan(docs: DataFrame, texts: dict[str, list[str]] = TEMPLATES, *, id_col: st
     blocks = slim.where(F.contains("text", F.lit("\n"))).select(
         "id", "mark", F.posexplode(F.split("text", r"\n[\t ]*\n")).alias("line", "unit"))
     blocks = blocks.where(F.contains("unit", F.lit("\n"))).withColumn("line", -1 - F.col("line"))
-    sets = lines.unionByName(blocks).select("id", "mark", "line", bigrams(F.col("unit")).alias("b"))
+    units = lines.unionByName(blocks).select("id", "mark", "line", _once("words", words_of(F.col("unit"))))
+    # n different pairs have n + 1 different words at most
+    units = units.where(F.size(F.array_distinct("words")) <= most * high + 1)
+    sets = units.select("id", "mark", "line", _once("b", pairs_of(F.col("words"))))
     sets = sets.withColumn("n", F.size("b")).where((F.col("n") > 0) & (F.col("n") <= most * high))
     shared = (
         sets.select("id", "mark", "line", "n", F.explode("b").alias("bigram"))

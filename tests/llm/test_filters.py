@@ -191,3 +191,14 @@ def test_keep_one_keeps_rows_without_id_and_columns(docs):
 def test_digests_are_hex_of_joined_items(spark):
     found = spark.createDataFrame([([("10", 0, 1), ("9", 4, 1), ("10", 7, 1)],)], f"m {decontaminate.MATCHES.simpleString()}")
     assert found.select(decontaminate.item_digest(found.m)).first()[0] == hashlib.sha256(b"10,9").hexdigest()
+
+
+def test_license_words_are_worked_out_once(spark):
+    """The plan normalises units in one place."""
+    mit = licenses.TEMPLATES["MIT"][0]
+    docs = spark.createDataFrame([
+        (1, f"intro\n{mit}\n\n{mit} {mit}"), (2, " ".join(f"w{k}" for k in range(5000))), (3, "mit " * 500), (4, None), (5, "--")], "doc_id long, text string")
+    found = licenses.scan(docs)
+    assert {(r.id, r.line, r.license) for r in found.collect()} == {(1, 1, "MIT"), (1, 3, "MIT"), (1, -1, "MIT")}
+    plan = licenses.scan(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(lower(unit") == 1
