@@ -1,6 +1,7 @@
 """The answer path: inverted index, lists per collection, fallback of the pair model, trees of answers."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from docmosaic.operators import bm25, cross_encoder, inverted, ranking, vector
 from docmosaic.operators.inverted import InvertedIndex
 from docmosaic.plans import answering
 from docmosaic.plans.retrieval import QuerySettings, lexical_ranking
+from docmosaic.session import looked_up
 
 
 @pytest.fixture(scope="module")
@@ -216,3 +218,82 @@ def test_batches_are_bounded_by_bytes(spark):
             spark.conf.unset(f"spark.sql.execution.arrow.max{name}PerBatch")
         use()
         assert largest(docs) <= 1.1 * session.BATCH_BYTES
+
+
+_DEALT = pa.schema([
+    ("collection", pa.string()), ("segment", pa.string()), ("kind", pa.int32()), ("chunk_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())),
+    ("average", pa.float64()), ("term", pa.string()), ("places", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int32())), ("idf", pa.float64())])
+
+
+def searched(segments, phrasings, k, per_collection=True, distinct=False):
+    """(pos, chunk_id, score) that one task hands on, of segments [(collection, [(id, text)])]."""
+    every = sorted({t for p in phrasings for t in p.split()})
+    batches = []
+    for n, (collection, chunks) in enumerate(segments):
+        made = inverted._Segment()
+        for i, text in chunks:
+            made.add(i, text)
+        first, *rest = made.rows(collection, f"0-{n}", pa.int64()).to_pylist()
+        batches.append(pa.RecordBatch.from_pylist([{**{c: first[c] for c in ("collection", "segment", "chunk_ids", "lengths")}, "kind": 0, "average": 9.0}], _DEALT))
+        picked = inverted._pick(iter([pa.RecordBatch.from_pylist([{"asked": every, **r} for r in rest])])) if rest else ()
+        rows = sorted((r for x in picked for r in x.to_pylist()), key=lambda r: r["term"])
+        if rows:
+            batches.append(pa.RecordBatch.from_pylist([{**r, "kind": 1, "idf": 1 / (1 + every.index(r["term"]))} for r in rows], _DEALT))
+    asked = inverted._Asked([SimpleNamespace(entity_id=1, pos=n, asked=sorted(set(p.split()))) for n, p in enumerate(phrasings)], pa.int64())
+    found = inverted._search(iter(batches), SimpleNamespace(value=asked), k, per_collection, distinct)
+    return sorted((r["pos"], r["chunk_id"], round(r["score"], 9)) for x in found for r in x.to_pylist())
+
+
+def test_tasks_hand_on_their_best_and_not_that_of_each_segment(monkeypatch):
+    r = random.Random(3)
+    word = lambda: f"w{int(40 ** r.random())}"
+    text = lambda: " ".join(word() for _ in range(r.randrange(0, 30)))
+    segments = [(f"c{n // 20}", [(n * 100 + i, text()) for i in range(r.randrange(1, 40))]) for n in range(60)]
+    phrasings = [" ".join(word() for _ in range(n)) for n in (9, 3, 1)] + ["nowhere"]
+    every = searched(segments, phrasings, None)
+    of = {i: c for c, chunks in segments for i, _ in chunks}
+    for per_collection in (True, False):
+        groups = {}
+        for pos, i, score in every:
+            groups.setdefault((pos, of[i] if per_collection else ""), []).append((-score, i))
+        best = sorted((pos, i, -s) for (pos, _), hits in groups.items() for s, i in sorted(hits)[:5])
+        for short, tile, waiting in ((16, 1 << 20, 50_000), (16, 1, 7), (0, 1, 7)):
+            for name, value in (("SHORT", short), ("TILE", tile), ("WAITING", waiting), ("RANGE", 8), ("STEP", 1)):
+                monkeypatch.setattr(inverted, name, value)
+            assert searched(segments, phrasings, None) == every
+            assert searched(segments, phrasings, 5, per_collection) == best
+
+
+def test_a_chunk_that_lies_in_several_segments_counts_once_in_a_ranking(monkeypatch):
+    monkeypatch.setattr(inverted, "WAITING", 3)
+    segments = [("c", [(k // 2, "w3 " * (1 + k // 2) + "w99")]) for k in range(12)]
+    assert [i for _, i, _ in searched(segments, ["w3"], 4, distinct=True)] == [2, 3, 4, 5]
+    assert [i for _, i, _ in searched(segments, ["w3"], 4)] == [4, 4, 5, 5]
+
+
+def test_phrasings_of_several_passes_agree(corpus, asked, monkeypatch):
+    names = ("entity_id", "pos", "collection", "chunk_id", "score")
+    index = InvertedIndex(corpus)
+    old = plain(index.scores(asked, 3), *names)
+    monkeypatch.setattr(inverted, "PHRASINGS", 9)
+    assert plain(index.scores(asked, 3), *names) == old
+
+
+def test_texts_that_were_not_found_stay_where_they_lie(spark, tmp_path):
+    spark.range(50).selectExpr("id as chunk_id", "concat('t', id) as text").unionByName(
+        spark.sql("select 3L as chunk_id, 'again' as text union all select null, 'lost'")).write.parquet(str(tmp_path / "texts"))
+    texts = spark.read.parquet(str(tmp_path / "texts"))
+    found = spark.createDataFrame([(1, 3), (2, 3), (1, 4), (1, None)], "query_id bigint, chunk_id bigint")
+    read = looked_up(texts, found, "chunk_id")
+    assert sorted(r.text for r in read.collect()) == ["again", "t3", "t4"]
+    assert "BroadcastHashJoin" in read._jdf.queryExecution().toString()
+
+
+def test_only_texts_of_found_chunks_are_collapsed(spark, monkeypatch):
+    rows = [("c", k, f"t  {k}") for k in range(40)]
+    chunks = spark.createDataFrame(rows, "collection string, chunk_id bigint, text string")
+    found = spark.createDataFrame([(1, "c", 7, 1), (1, "c", 9, 2)], "query_id bigint, collection string, chunk_id bigint, rank int")
+    written, real = [], answering.materialize
+    monkeypatch.setattr(answering, "materialize", lambda df, label="stage": written.append((label, real(df, label))) or written[-1][1])
+    assert [r.response for r in answering.collection_answers(found, chunks, 8).collect()] == ["t 7\n\nt 9"]
+    assert {label: df.count() for label, df in written}["told"] == 2
