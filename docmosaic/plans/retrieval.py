@@ -16,7 +16,7 @@ from docmosaic.functions.parse import alias_candidates
 from docmosaic.functions.text import collapse
 from docmosaic.operators import bm25, keyword, mmr, ranking, vector
 from docmosaic.operators.inverted import InvertedIndex
-from docmosaic.session import materialize, small_side
+from docmosaic.session import looked_up, materialize, small_side
 
 
 @dataclass(frozen=True)
@@ -110,7 +110,8 @@ def extractive_answer(context: DataFrame, texts: DataFrame) -> DataFrame:
 
     Stands in for a language model; the context is bounded by ``rerank_k``.
     """
-    parts = context.join(texts.select("chunk_id", "text"), "chunk_id")
+    context = materialize(context.select("query_id", "chunk_id", "position"), "context")
+    parts = context.join(looked_up(texts.select("chunk_id", "text"), context, "chunk_id"), "chunk_id")
     ordered = F.array_sort(F.collect_list(F.struct("position", collapse(F.col("text")).alias("body"))))
     return parts.groupBy("query_id").agg(
         F.array_join(F.transform(ordered, lambda s: s.body), "\n\n").alias("response"),
