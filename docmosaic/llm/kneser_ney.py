@@ -89,6 +89,14 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[heads], np.add.reduceat(counts, heads)
 
 
+def _parted(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part that occurs, with its rows in their order: one sort, whatever the number of parts."""
+    small = part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part
+    order = np.argsort(small, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else ():
+        yield int(part[rows[0]]), rows
+
+
 class _Counter:
     """Keys with their counts, condensed whenever many have come in."""
 
@@ -163,8 +171,8 @@ class Model:
         """Numbers of words; one past the last word for BOS is ``words``, unknown is ``words + 1``."""
         out = np.full(len(hashes), self.words + 1, np.int64)
         part = (hashes >> np.uint64(48)).astype(np.int64) * self.parts >> 16
-        for p in np.unique(part).tolist():
-            known, rows = self.store.map(f"words-{p}", np.uint64), np.flatnonzero(part == p)
+        for p, rows in _parted(part):
+            known = self.store.map(f"words-{p}", np.uint64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, hashes[rows]), len(known) - 1)
                 hit = known[at] == hashes[rows]
@@ -175,8 +183,8 @@ class Model:
         """Values of an array that lies in parts, 0 beyond its end."""
         out = np.zeros(len(numbers), dtype)
         part = np.searchsorted(starts, numbers, "right") - 1
-        for p in np.unique(part).tolist():
-            values, rows = self.store.map(f"{name}-{p}", dtype), np.flatnonzero(part == p)
+        for p, rows in _parted(part):
+            values = self.store.map(f"{name}-{p}", dtype)
             at = numbers[rows] - starts[p]
             inside = at < len(values)
             out[rows[inside]] = values[at[inside]]
@@ -202,18 +210,19 @@ class Model:
         key = (first.astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
         found = np.zeros(len(key), np.int64)
         part = self.pair_part(first, second)
-        order = np.lexsort((key, part))
-        cuts = np.flatnonzero(np.diff(part[order])) + 1
-        for rows in np.split(order, cuts) if len(order) else ():
-            known = self.store.map(f"pairs-{part[rows[0]]}", np.uint64)
+        for p, rows in _parted(part):
+            known = self.store.map(f"pairs-{p}", np.uint64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, key[rows]), len(known) - 1)
                 hit = known[at] == key[rows]
-                found[rows[hit]] = self.store.map(f"pair_counts-{part[rows[0]]}", np.uint32)[at[hit]]
+                found[rows[hit]] = self.store.map(f"pair_counts-{p}", np.uint32)[at[hit]]
         d, w = np.array([0.0, *self.pair_discounts]), np.array([0.0, *self.word_discounts])
-        uses = self._about("uses", np.int64, first).astype(float)
-        followers = [self._about(f"followers{k}", np.uint32, first) for k in (1, 2, 3)]
+        new = np.diff(first, prepend=-1) != 0  # pairs in order have one first word after the other
+        context, of = first[new], np.cumsum(new) - 1
+        uses = self._about("uses", np.int64, context).astype(float)
+        followers = [self._about(f"followers{k}", np.uint32, context) for k in (1, 2, 3)]
         spread = np.where(uses > 0, sum(d[k] * n for k, n in zip((1, 2, 3), followers)) / np.maximum(uses, 1), 1.0)
+        uses, spread = uses[of], spread[of]
         before = self._about("before", np.uint32, second).astype(np.int64)
         lower = (before - w[np.minimum(before, 3)]) / max(self.pairs, 1) + self.base_share / (self.words + 1)
         return np.log10((found - d[np.minimum(found, 3)]) / np.maximum(uses, 1) + spread * lower)
@@ -236,7 +245,7 @@ class _Numbers:
         self.model, self.known, self.hashes = model, {}, WordHashes()
 
     def of(self, tokens: list[bytes]) -> np.ndarray:
-        new = list({t for t in tokens if t not in self.known})
+        new = list(set(tokens).difference(self.known))
         if len(self.known) + len(new) > 500_000:
             self.known = {}
             new = list(set(tokens))

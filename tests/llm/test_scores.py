@@ -200,3 +200,15 @@ def test_stages_agree_with_plain_python(spark):
         assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == sorted(rows)
         assert all(r["n_chars"] == len(r["text"]) for r in out.collect())
         docs = out
+
+
+def test_rows_are_parted_in_one_pass_whatever_the_number_of_parts():
+    from docmosaic.llm.kneser_ney import _parted
+
+    r = np.random.default_rng(2)
+    for most in (1, 5, 40_000, 70_000):
+        part = r.integers(0, most, 3000)
+        found = dict(_parted(part))
+        assert sorted(found) == np.unique(part).tolist()
+        assert all((rows == np.flatnonzero(part == p)).all() for p, rows in found.items())
+    assert list(_parted(np.zeros(0, np.int64))) == []
