@@ -17,9 +17,9 @@ SLICE_BITS = 1 << 20
 HASHES = 4
 
 
-def bits_for(keys: int, most_bits: int = MOST_BITS) -> int:
+def bits_for(keys: int, most_bits: int = MOST_BITS, per_key: int = BITS_PER_KEY) -> int:
     """A power of two that suits so many keys, within the limit; beyond it more is suspected, nothing is missed."""
-    return min(most_bits, max(1 << 13, 1 << (max(1, int(keys)) * BITS_PER_KEY - 1).bit_length()))
+    return min(most_bits, max(1 << 13, 1 << (max(1, int(keys)) * per_key - 1).bit_length()))
 
 
 def _places(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -78,15 +78,25 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _slice(at, once, twice)
 
 
-def twice_seen(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> bytes:
-    """The filter of hashes that ``rows`` have twice or more: at most ``bits / 8`` bytes, whatever the input."""
+def _merged(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray], bits: int, wanted: tuple[str, ...]) -> tuple[bytearray, ...]:
     schema = "slice bigint, once binary, twice binary"
     merged = (
         rows.mapInArrow(lambda it: _fill(it, hashes_of, bits), schema)
         .repartition("slice").sortWithinPartitions("slice").mapInArrow(_merge, schema)
     )
     size = min(bits, SLICE_BITS) // 8
-    out = bytearray(bits // 8)
-    for row in merged.select("slice", "twice").toLocalIterator():
-        out[row["slice"] * size : (row["slice"] + 1) * size] = zlib.decompress(row["twice"])
-    return bytes(out)
+    out = tuple(bytearray(bits // 8) for _ in wanted)
+    for row in merged.select("slice", *wanted).toLocalIterator():
+        for filled, name in zip(out, wanted):
+            filled[row["slice"] * size : (row["slice"] + 1) * size] = zlib.decompress(row[name])
+    return out
+
+
+def twice_seen(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> bytes:
+    """The filter of hashes that ``rows`` have twice or more: at most ``bits / 8`` bytes, whatever the input."""
+    return bytes(_merged(rows, hashes_of, bits, ("twice",))[0])
+
+
+def seen(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> tuple[bytearray, bytearray]:
+    """The filters of hashes that ``rows`` have at all, and twice or more: at most ``bits / 4`` bytes together."""
+    return _merged(rows, hashes_of, bits, ("once", "twice"))

@@ -4,12 +4,16 @@
    never compared; a class is its set's 64-bit hash together with its size.
 2. Shingles are put in one global order, rare first, by a count sketch of fixed size over
    all documents (any fixed order gives the same result; a good one gives fewer candidates).
-3. The first ``n - ceil(t n) + 1`` shingles of a set are posted, with a bitmap of the set: bit k
-   says whether an odd number of its shingles falls to k. Classes that share a shingle are
-   candidates, if their sizes allow it, if enough can follow the first shared position, and if
-   their bitmaps differ in no more bits than their sets may differ in shingles: the suffix
-   filter, in the form of a Hamming bound. All three stand in the condition of the join.
-4. A pair is verified once, on the whole sets, by a join.
+3. A set misses at most ``n - ceil(t n)`` of its shingles in any set it links with. All shingles
+   up to one place of the global order, the same for all sets, are counted in Bloom filters by
+   shingle and size; a set that has more of them to itself among sets of its size links with
+   nothing and travels no further. This is done once for texts and again for the classes left.
+4. The first ``n - ceil(t n) + 1`` shingles of a set are posted, as far as others have them, with
+   a bitmap of the set: bit k says whether an odd number of its shingles falls to k. Classes that
+   share a shingle are candidates, if their sizes allow it, if enough can follow the first shared
+   position, and if their bitmaps differ in no more bits than their sets may differ in shingles:
+   the suffix filter, in the form of a Hamming bound. All three stand in the condition of the join.
+5. A pair is verified once, on the whole sets, by a join.
 
 Only components are wanted, so the classes of a posting list need not all meet. First each
 meets two leaders of its list, then, where components are still apart, four others. The last
@@ -19,6 +23,7 @@ between different components is lost. Tables that a later one has replaced are d
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmosaic.llm import bloom
-from docmosaic.llm.common import ids_and_texts, returning, sheltered, utf8
+from docmosaic.llm.common import ids_and_texts, mixed, returning, sheltered, utf8
 from docmosaic.llm.components import components
 from docmosaic.llm.shingles import WordHashes, shingle_set
 from docmosaic.session import discard, materialize
@@ -39,7 +44,11 @@ SLICE = 1 << 16
 #: 64-bit words of a bitmap.
 WORDS = 4
 LEADERS = (2, 4)
+#: Shingles that are counted in filters, as a multiple of those a set may miss; bits for each of a text, of a class.
+COUNTED = 2
+BITS = (4, 16)
 _MAP = [f"m{k}" for k in range(WORDS)]
+_MAPS = ", ".join(f"{m} bigint" for m in _MAP)
 
 
 def _digest(found: np.ndarray) -> int:
@@ -109,28 +118,128 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
+def prefix(n: int, least: int) -> int:
+    """Of so many shingles of a set, in any order, a set that links with it has one at least."""
+    return n - -(-least * n // 100) + 1
+
+
+def place(levels: np.ndarray, share: float) -> tuple[int, int]:
+    """(level, hash): about this share of all shingles comes before it in the global order."""
+    mass = np.bincount(levels) * 2.0 ** (np.arange(int(levels.max()) + 1) / 2)
+    ends = np.cumsum(mass)
+    wanted = min(share, 1.0) * ends[-1]
+    at = int(np.searchsorted(ends, wanted, "right"))
+    if at == len(ends):
+        return at, 0
+    return at, min(int((wanted - ends[at] + mass[at]) / mass[at] * 2.0**64), 2**64 - 1)
+
+
 @returning
-def _postings(batches: Iterator[pa.RecordBatch], size: int, least: int, levels) -> Iterator[pa.RecordBatch]:
-    """(token, d, n, pos, bitmap): the rarest shingles of each set, enough that two similar sets share one."""
-    hashes, order = WordHashes(), np.frombuffer(levels.value, np.uint8)
+def _prefixes(batches: Iterator[pa.RecordBatch], size: int, least: int, levels, cut: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """(d, n, counted, missed, tokens, pos, bitmap) of each set: its first shingles, at least as many as its prefix.
+
+    ``counted`` of them come before ``cut``; ``missed`` of these are known to be in no other set of like size. A null ``pos`` stands for 0, 1, ...
+    """
+    hashes, order, (level, below) = WordHashes(), np.frombuffer(levels.value, np.uint8), cut
     for batch in batches:
-        out, ds, ns, ps, maps = [], [], [], [], []
+        ds, ns, counted, tokens, maps = [], [], [], [], []
         for text in utf8(batch.column(1)):
             found = shingle_set(text, size, hashes)
             n = len(found)
             if n:
-                prefix = n - -(-least * n // 100) + 1
-                out.append(found[np.argsort(order[mixed_slots(found)], kind="stable")[:prefix]])
+                of = order[mixed_slots(found)]
+                first = int(np.count_nonzero(of < level)) + int(np.count_nonzero((of == level) & (found < np.uint64(below))))
+                tokens.append(found[np.argsort(of, kind="stable")[: max(prefix(n, least), first)]].tobytes())
                 ds.append(_digest(found))
                 ns.append(n)
-                ps.append(prefix)
+                counted.append(first)
                 maps.append(bitmap(found))
-        if out:
+        if ds:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(ds, np.int64), ps)),
-                 pa.array(np.repeat(np.array(ns, np.int32), ps)), pa.array(np.concatenate([np.arange(p, dtype=np.int32) for p in ps])),
-                 *(pa.array(np.repeat(x, ps)) for x in np.array(maps).T)],
-                names=["token", "d", "n", "pos", *_MAP])
+                [pa.array(ds, pa.int64()), pa.array(ns, pa.int32()), pa.array(counted, pa.int32()), pa.array([0] * len(ds), pa.int32()),
+                 pa.array(tokens, pa.binary()), pa.nulls(len(ds), pa.binary()), *(pa.array(x) for x in np.array(maps).T)],
+                names=["d", "n", "counted", "missed", "tokens", "pos", *_MAP])
+
+
+def sized(tokens: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Keys of shingles of sets of one step of sizes."""
+    return mixed(tokens ^ mixed(steps.astype(np.uint64) + np.uint64(1)))
+
+
+def steps_of(ns: np.ndarray, least: int) -> np.ndarray:
+    """Steps of sizes: sets that link are of one step or of neighbouring ones."""
+    width = math.log(100 / least) * (1 + 1e-9) if 0 < least < 100 else math.inf if least <= 0 else 1e-9
+    return np.floor(np.log(ns) / width).astype(np.int64)
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of all sets of a batch, how many each has, and sizes of the sets."""
+    texts = batch.column(4).to_pylist()
+    return np.frombuffer(b"".join(texts), np.uint64), np.array([len(x) // 8 for x in texts], np.int64), batch.column(1).to_numpy()
+
+
+@returning
+def _known(batches: Iterator[pa.RecordBatch], least: int, filters, bits: int) -> Iterator[tuple]:
+    """For each set that may link: its batch and row, the shingles that sets of like size may have, their places and the number missed."""
+    once, twice = (np.frombuffer(x, np.uint8) for x in filters.value)
+    for batch in batches:
+        flat, lengths, ns = _flat(batch)
+        own = np.repeat(steps_of(ns, least), lengths)
+        held = bloom.held(twice, sized(flat, own), bits)
+        for step in (-1, 1):
+            other = np.flatnonzero(~held)
+            held[other] = bloom.held(once, sized(flat[other], own[other] + step), bits)
+        ends = np.cumsum(lengths)
+        counted, missed, places = (batch.column(k).to_pylist() for k in (2, 3, 5))
+        for k, (a, b) in enumerate(zip((ends - lengths).tolist(), ends.tolist())):
+            pos = np.arange(b - a, dtype=np.int32) if places[k] is None else np.frombuffer(places[k], np.int32)
+            here = held[a:b]
+            lost = missed[k] + int(np.count_nonzero(~here & (pos < counted[k])))
+            most = prefix(int(ns[k]), least)
+            if lost < most and (here & (pos < most)).any():
+                yield batch, k, flat[a:b][here], pos[here], lost
+
+
+def _left(batches: Iterator[pa.RecordBatch], least: int, filters, bits: int) -> Iterator[pa.RecordBatch]:
+    """The sets that may link, with the shingles they may share."""
+    rows, last = [], None
+
+    def done():
+        at = last.take(pa.array([r[0] for r in rows]))
+        return pa.RecordBatch.from_arrays(
+            [at.column(0), at.column(1), at.column(2), pa.array([r[3] for r in rows], pa.int32()),
+             pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2].tobytes() for r in rows], pa.binary()),
+             *at.columns[6:]], names=last.schema.names)
+
+    for batch, *row in _known(batches, least, filters, bits):
+        if batch is not last and rows:
+            yield done()
+            rows = []
+        last = batch
+        rows.append(row)
+    if rows:
+        yield done()
+
+
+def _postings(batches: Iterator[pa.RecordBatch], least: int, filters, bits: int) -> Iterator[pa.RecordBatch]:
+    """(token, d, n, pos, bitmap): the shingles of the prefix of each set that may link, as far as it may share them."""
+    rows, last = [], None
+
+    def done():
+        at = last.take(pa.array(np.repeat([r[0] for r in rows], [len(r[1]) for r in rows])))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([r[1] for r in rows]).view(np.int64)), at.column(0), at.column(1),
+             pa.array(np.concatenate([r[2] for r in rows])), *at.columns[6:]], names=["token", "d", "n", "pos", *_MAP])
+
+    for batch, k, tokens, pos, _ in _known(batches, least, filters, bits):
+        if batch is not last and rows:
+            yield done()
+            rows = []
+        last = batch
+        inside = pos < prefix(batch.column(1)[k].as_py(), least)
+        rows.append((k, tokens[inside], pos[inside]))
+    if rows:
+        yield done()
 
 
 @returning
@@ -172,26 +281,36 @@ class NgramJoin:
             out[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = zlib.decompress(row["levels"])
         return self.rows.sparkSession.sparkContext.broadcast(bytes(out))
 
+    def _filters(self, sets: DataFrame, per_key: int):
+        """Two Bloom filters of the shingles of ``sets`` by steps of sizes, at tasks, and their size."""
+        least = self.least
+        keys = sets.agg(F.sum(F.octet_length("tokens") / 8)).first()[0] or 0
+        bits = bloom.bits_for(keys, per_key=per_key)
+
+        def keyed(batch: pa.RecordBatch) -> np.ndarray:
+            flat, lengths, ns = _flat(batch)
+            return sized(flat, np.repeat(steps_of(ns, least), lengths))
+
+        return self.rows.sparkSession.sparkContext.broadcast(bloom.seen(sets, keyed, bits)), bits
+
     def _shared(self) -> DataFrame:
-        """Postings of shingles that more than one class posts. Two Bloom filters keep most others out of the shuffle."""
+        """Postings of shingles that more than one class posts, of classes that the filters leave."""
         size, least, levels = self.size, self.least, self.levels
+        cut = place(np.frombuffer(levels.value, np.uint8), COUNTED * (100 - least) / 100)
         posted = materialize(self.rows.where("id is not null").mapInArrow(
-            lambda it: _postings(it, size, least, levels), "token bigint, d bigint, n int, pos int, " + ", ".join(f"{m} bigint" for m in _MAP)), "postings")
-        bits = bloom.bits_for(posted.count())
-        seen = bloom.twice_seen(posted.select("token"), lambda b: b.column(0).to_numpy().view(np.uint64), bits)
-        shared = self.rows.sparkSession.sparkContext.broadcast(seen)
-
-        @returning
-        def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filled = np.frombuffer(shared.value, np.uint8)
-            for batch in batches:
-                yield batch.filter(pa.array(bloom.held(filled, batch.column(0).to_numpy().view(np.uint64), bits)))
-
-        likely = materialize(posted.mapInArrow(suspected, posted.schema), "suspected-postings")
+            lambda it: _prefixes(it, size, least, levels, cut), f"d bigint, n int, counted int, missed int, tokens binary, pos binary, {_MAPS}"), "prefixes")
+        filters, bits = self._filters(posted, BITS[0])
+        # rows of a class repeat; any one of them is as good as another
+        left = materialize(posted.mapInArrow(lambda it: _left(it, least, filters, bits), posted.schema).dropDuplicates(["d", "n"]), "classes-left")
         discard(posted)
+        filters.destroy()
+        again, few = self._filters(left, BITS[1])
+        likely = materialize(left.mapInArrow(
+            lambda it: _postings(it, least, again, few), f"token bigint, d bigint, n int, pos int, {_MAPS}"), "suspected-postings")
+        discard(left)
+        again.destroy()
         tokens = likely.groupBy("token").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("token")
-        # rows of a class repeat; any one of a class and token is as good as another
-        out = materialize(likely.join(tokens, "token").dropDuplicates(["token", "d", "n"]), "shared-postings")
+        out = materialize(likely.join(tokens, "token"), "shared-postings")
         discard(likely)
         return out
 
@@ -228,12 +347,14 @@ class NgramJoin:
         label, seen, links = shared.withColumn("c", F.col("d")), None, None
         written = None
         for leaders in (*LEADERS, None):
-            open_ = label.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-            left = materialize(label.join(open_, "token"), "open-postings")
+            left = label  # at first, all lists are open
             if written is not None:
+                open_ = label.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
+                left = materialize(label.join(open_, "token"), "open-postings")
                 discard(written)
             if left.isEmpty():
-                discard(left)
+                if left is not label:
+                    discard(left)
                 break
             x, y = (left.select("token", *(F.col(c).alias(p + q) for c, q in (("d", ""), ("n", "n"), ("pos", "p"), ("c", "c"), *((m, m) for m in _MAP))))
                     for p in "ab")
@@ -250,7 +371,8 @@ class NgramJoin:
             if seen is not None:
                 pairs = pairs.join(seen, ["a", "b"], "left_anti")
             pairs = materialize(pairs, "pairs")
-            discard(left)
+            if written is not None:
+                discard(left)
             found = self._verified(pairs)
             seen = pairs.select("a", "b") if seen is None else seen.union(pairs.select("a", "b"))
             links = found if links is None else links.union(found)

@@ -154,6 +154,51 @@ def test_join_agrees_with_brute_force(spark, docs, monkeypatch, leaders):
     assert sorted((x["id"], x["n_shingles"], x["component"]) for x in got) == brute_components(rows, 3, 80)
 
 
+def test_texts_with_few_shingles_in_common_are_not_posted(spark, docs, monkeypatch):
+    """Pairs that share a fifth of their words link with nothing; their shingles do not travel. Near copies of other sizes link."""
+    written, real = {}, ngram_join.materialize
+
+    def counted(df, label="stage"):
+        out = real(df, label)
+        written.setdefault(label, out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    rows = []
+    for k in range(20):
+        for i in (2 * k, 2 * k + 1):
+            rows.append((i, " ".join([f"both{k}x{j}" for j in range(12)] + [f"own{i}x{j}" for j in range(48)])))
+    ngram_join.NgramJoin(docs(rows), size=3, least=80)
+    assert written["shared-postings"] == 0
+    base = [f"near{j}" for j in range(60)]
+    rows += [(50, " ".join(base)), (51, " ".join(base[:50])), (52, " ".join(base[7:])), (53, " ".join(base[:50]))]
+    got = ngram_join.NgramJoin(docs(rows), size=3, least=80).members().collect()
+    assert sorted((x["id"], x["n_shingles"], x["component"]) for x in got) == brute_components(rows, 3, 80)
+
+
+@pytest.mark.parametrize("least", [1, 30, 60, 90, 99, 100])
+def test_sizes_that_may_link_are_a_step_apart_at_most(least):
+    n = np.arange(1, 3000)
+    steps = ngram_join.steps_of(n, least)
+    assert (steps[n * least // 100 + (n * least % 100 > 0) - 1] >= steps - 1).all()
+
+
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.4, 1.0, 1.8])
+def test_place_in_the_order_takes_its_share(share):
+    levels = np.random.default_rng(3).integers(9, 14, 4096).astype(np.uint8)
+    level, below = ngram_join.place(levels, share)
+    mass = 2.0 ** (levels / 2)
+    assert mass[levels < level].sum() + mass[levels == level].sum() * below / 2.0**64 == pytest.approx(min(share, 1.0) * mass.sum())
+
+
+@pytest.mark.parametrize("least", [10, 50, 90, 100])
+def test_join_at_other_limits_agrees_with_brute_force(spark, docs, least):
+    r = random.Random(least)
+    rows = [(k, " ".join(f"w{r.randrange(6)}" for _ in range(r.randrange(12)))) for k in range(60)]
+    got = ngram_join.NgramJoin(docs(rows), size=2, least=least).members().collect()
+    assert sorted((x["id"], x["n_shingles"], x["component"]) for x in got) == brute_components(rows, 2, least)
+
+
 def test_bitmaps_bound_the_difference_of_sets():
     r = np.random.default_rng(2)
     for n in (1, 30, 700):
