@@ -35,10 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmosaic.llm.common import bounded_batches, in_pieces, mixed, returning, uniform, utf8
+from docmosaic.session import BATCH_BYTES
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
-BLOCK_BYTES = 3 * 1024 * 1024
+#: Text that one lattice is built for: two of them make up a batch.
+BLOCK_BYTES = 9 * BATCH_BYTES // 16
+#: Piece numbers that are handed on together.
+MOST_IDS = 250_000
 _WORD = re.compile(r" *[^ ]+| +")
 _NORMAL, _BYTE, _BPE = 1, 6, 2
 _RUN, _NOISE, _RUN_WORDS = 192, 23.0, 16384
@@ -170,7 +174,7 @@ class Lattice:
             end = v.end[state]
             hit = end >= 0
             p = at[hit]
-            found.append((p, np.full(len(p), length, np.int32), end[hit], counts[p].copy()))
+            found.append((p.astype(np.int32), np.full(len(p), length, np.int32), end[hit], counts[p]))
             counts[p] += 1
             if length == 1:
                 single[p] = True
@@ -180,15 +184,16 @@ class Lattice:
             at, state = at[state >= 0], state[state >= 0]
             length += 1
         lone = np.flatnonzero(~single)  # no piece of its own: the character's bytes
-        found.append((lone, np.ones(len(lone), np.int32), np.full(len(lone), -1, np.int32), counts[lone].copy()))
+        found.append((lone, np.ones(len(lone), np.int32), np.full(len(lone), -1, np.int32), counts[lone]))
         counts[lone] += 1
         self.off = np.concatenate([[0], np.cumsum(counts)])
         m = int(self.off[-1])
         self.len, piece = np.empty(m, np.int32), np.empty(m, np.int32)
-        for p, k, end, slot in found:
+        while found:
+            p, k, end, slot = found.pop()
             e = self.off[p] + slot
             self.len[e], piece[e] = k, end
-        del found, at, state, single, char
+        del e, p, k, end, slot, at, state, single, char
         node = np.repeat(np.arange(n, dtype=np.int32), counts)
         spelled = [chr(c).encode("utf-8", "surrogatepass") for c in code[lone].tolist()]
         wide = np.array([len(x) for x in spelled], np.int64)
@@ -200,6 +205,7 @@ class Lattice:
         self.id_at[plain], self.id_n[plain] = bytes_at[:-1], wide
         log_p = v.log_p[np.maximum(piece, 0)]
         log_p[plain] = wide * v.byte_log_p
+        del piece, plain
         self._sum(log_p, node, left, counts)
 
     def _sum(self, log_p: np.ndarray, node: np.ndarray, left: np.ndarray, counts: np.ndarray) -> None:
@@ -375,12 +381,14 @@ def encode(texts: list[bytes], keys: list, vocabulary: Vocabulary, k: int = SAMP
         place = ends[:-1] - np.repeat(ends[first[:-1]], np.diff(first))
         seed = np.repeat(np.array(seeds, np.uint64), np.diff(first))
         walks = [_Walk(lattice, word, place, seed, s) for s in range(k)]
+        del numbers, number, words, word, ends, place, seed
         for i in range(hi - lo):
             if first[i] == first[i + 1]:
                 yield lo + i, 0, np.zeros(0, np.int32), 0.0, 0.0, 1.0
                 continue
             for s, (edges, log_p, value, share) in enumerate(search(lattice, walks, first[i], first[i + 1], seeds[i], k)):
                 yield lo + i, s, lattice.ids[_ragged(lattice.id_at[edges], lattice.id_n[edges])], log_p, value, share
+        del lattice, walks  # before the next block builds its own
 
 
 def sample_pieces(docs: DataFrame, *, model_file: str = MODEL, samples: int = SAMPLES, id_col: str = "doc_id",
@@ -407,7 +415,7 @@ def sample_pieces(docs: DataFrame, *, model_file: str = MODEL, samples: int = SA
             for row in encode(texts, keys, v, samples):
                 rows.append(row)
                 held += len(row[2])
-                if held > 1_000_000:
+                if held > MOST_IDS:
                     yield _rows(batch, rows, texts, v)
                     held, rows = 0, []
             if rows:

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import weakref
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -69,6 +70,22 @@ def test_samples_do_not_depend_on_the_batch(vocabulary):
     assert whole == alone
 
 
+def test_one_block_is_in_memory_at_a_time(vocabulary, monkeypatch):
+    alive, before = weakref.WeakSet(), []
+
+    class Counted(pieces.Lattice):
+        def __init__(self, *args):
+            before.append(len(alive))
+            super().__init__(*args)
+            alive.add(self)
+
+    monkeypatch.setattr(pieces, "Lattice", Counted)
+    monkeypatch.setattr(pieces, "BLOCK_BYTES", 40)
+    texts = [b"some words of a text", b"and others", b"", b"the last of these texts"] * 3
+    assert {r[0] for r in pieces.encode(texts, list(range(12)), vocabulary)} == set(range(12))
+    assert before == [0] * len(before) and len(before) > 3
+
+
 def test_round_trip_and_edges(spark, docs):
     rows = [*enumerate(TEXTS), (None, "null id"), (90, None), (0, TEXTS[0])]
     out = pieces.sample_pieces(docs(rows), samples=3).cache()
