@@ -226,10 +226,11 @@ def _postings(batches: Iterator[pa.RecordBatch], least: int, filters, bits: int)
     rows, last = [], None
 
     def done():
-        at = last.take(pa.array(np.repeat([r[0] for r in rows], [len(r[1]) for r in rows])))
+        # without the columns of whole sets, which are not to be repeated for each shingle
+        at = last.select([0, 1, *range(6, 6 + WORDS)]).take(pa.array(np.repeat([r[0] for r in rows], [len(r[1]) for r in rows])))
         return pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate([r[1] for r in rows]).view(np.int64)), at.column(0), at.column(1),
-             pa.array(np.concatenate([r[2] for r in rows])), *at.columns[6:]], names=["token", "d", "n", "pos", *_MAP])
+             pa.array(np.concatenate([r[2] for r in rows])), *at.columns[2:]], names=["token", "d", "n", "pos", *_MAP])
 
     for batch, k, tokens, pos, _ in _known(batches, least, filters, bits):
         if batch is not last and rows:
