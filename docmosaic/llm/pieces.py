@@ -23,7 +23,6 @@ from __future__ import annotations
 import heapq
 import math
 import random
-import re
 from collections.abc import Iterator
 from itertools import count
 from pathlib import Path
@@ -43,14 +42,10 @@ SAMPLES = 2
 BLOCK_BYTES = 9 * BATCH_BYTES // 16
 #: Piece numbers that are handed on together.
 MOST_IDS = 250_000
-_WORD = re.compile(r" *[^ ]+| +")
 _NORMAL, _BYTE, _BPE = 1, 6, 2
 _RUN, _NOISE, _RUN_WORDS = 192, 23.0, 16384
-_MASK, _STEP = (1 << 64) - 1, np.uint64(0x9E3779B97F4A7C15)
-
-
-def _U64(values: list[int]) -> np.ndarray:
-    return np.array(values, np.uint64)
+_MASK, _STEP, _SALT = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+_STEPS = np.arange(_RUN, dtype=np.uint64) * np.uint64(_STEP)
 
 
 class Vocabulary:
@@ -159,7 +154,7 @@ class Lattice:
     def __init__(self, words: list[str], vocabulary: Vocabulary):
         v = vocabulary
         code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        size = np.array([len(w) for w in words], np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
         self.start = np.concatenate([[0], np.cumsum(size)])
         n = len(code)
         left = np.repeat(self.start[1:], size) - np.arange(n)  # characters to the end of the word
@@ -174,7 +169,7 @@ class Lattice:
             end = v.end[state]
             hit = end >= 0
             p = at[hit]
-            found.append((p.astype(np.int32), np.full(len(p), length, np.int32), end[hit], counts[p]))
+            found.append((p.astype(np.int32), length, end[hit], counts[p]))
             counts[p] += 1
             if length == 1:
                 single[p] = True
@@ -184,7 +179,7 @@ class Lattice:
             at, state = at[state >= 0], state[state >= 0]
             length += 1
         lone = np.flatnonzero(~single)  # no piece of its own: the character's bytes
-        found.append((lone, np.ones(len(lone), np.int32), np.full(len(lone), -1, np.int32), counts[lone]))
+        found.append((lone, 1, -1, counts[lone]))
         counts[lone] += 1
         self.off = np.concatenate([[0], np.cumsum(counts)])
         m = int(self.off[-1])
@@ -206,37 +201,49 @@ class Lattice:
         log_p = v.log_p[np.maximum(piece, 0)]
         log_p[plain] = wide * v.byte_log_p
         del piece, plain
-        self._sum(log_p, node, left, counts)
+        to = node + self.len
+        to[self.len == left[node]] = n  # the end of any word
+        del node
+        self._sum(log_p, to, left, counts)
 
-    def _sum(self, log_p: np.ndarray, node: np.ndarray, left: np.ndarray, counts: np.ndarray) -> None:
-        """Log of the mass of all paths from a node to its word's end, nearest nodes first; then ``q``."""
+    def _sum(self, log_p: np.ndarray, to: np.ndarray, left: np.ndarray, counts: np.ndarray) -> None:
+        """Log of the mass of all paths from a node to its word's end, nearest nodes first; ``log_p`` turns into ``q``."""
         rest = np.zeros(len(left) + 1)
-        order = np.argsort(left, kind="stable")
+        # most words are short, and short numbers are sorted by counting
+        order = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left, kind="stable")
         cuts = np.flatnonzero(np.diff(left[order])) + 1
-        self.q = np.empty(len(log_p))
         for nodes in np.split(order, cuts) if len(order) else ():
-            k = counts[nodes].astype(np.int64)
+            k = counts[nodes]
             e = _ragged(self.off[nodes], k)
-            to = node[e] + self.len[e]
-            last = self.len[e] == left[node[e]]
-            value = log_p[e] + np.where(last, 0.0, rest[to])
+            share = log_p[e]
+            share += rest[to[e]]
             heads = np.cumsum(k) - k
-            top = np.maximum.reduceat(value, heads)
-            share = np.exp(value - np.repeat(top, k))
+            top = np.maximum.reduceat(share, heads)
+            share -= np.repeat(top, k)
+            np.exp(share, out=share)
             total = np.add.reduceat(share, heads)
             rest[nodes] = top + np.log(total)
-            self.q[e] = share / np.repeat(total, k)
+            share /= np.repeat(total, k)
+            log_p[e] = share
+        self.q = log_p
+
+    def spell(self, edges: np.ndarray) -> np.ndarray:
+        """The piece numbers of a path."""
+        at, n = self.id_at[edges], self.id_n[edges]
+        return self.ids[at if n.max(initial=0) < 2 else _ragged(at, n)]
 
     def choose(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node, by its probability."""
-        e, last = self.off[nodes].copy(), self.off[nodes + 1] - 1
-        u = u.copy()
-        going = np.flatnonzero((u > self.q[e]) & (e < last))
-        while len(going):
-            u[going] -= self.q[e[going]]
-            e[going] += 1
-            going = going[(u[going] > self.q[e[going]]) & (e[going] < last[going])]
-        return e
+        out, last = self.off[nodes], self.off[nodes + 1] - 1
+        e, q, going = out, self.q[out], None
+        more = np.flatnonzero((u > q) & (e < last))
+        while len(more):
+            going = more if going is None else going[more]
+            u, last = u[more] - q[more], last[more]
+            e = e[more] + 1
+            out[going], q = e, self.q[e]
+            more = np.flatnonzero((u > q) & (e < last))
+        return out
 
     def choose_one(self, node: int, u: float) -> int:
         e, last = int(self.off[node]), int(self.off[node + 1]) - 1
@@ -259,40 +266,43 @@ class _Walk:
     @staticmethod
     def _part(lattice: Lattice, word: np.ndarray, place: np.ndarray, seed: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of each word, and all their edges; few enough words for the caches of a processor."""
-        n = len(word)
-        start = lattice.start[word]
-        size = lattice.start[word + 1] - start
-        active, k, taken = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        node, end = lattice.start[word], lattice.start[word + 1]
+        counter = _counter(seed, place, salt)
+        rows, taken = np.arange(len(word)), np.zeros(len(word), np.int64)
         steps = []
-        while len(active):
-            inner = k[active]
-            e = lattice.choose(start[active] + inner, uniform(_counter(seed[active], place[active] + inner, salt)))
-            steps.append((active, e, taken[active].copy()))
-            taken[active] += 1
-            k[active] += lattice.len[e]
-            active = active[k[active] < size[active]]
+        while len(rows):
+            e = lattice.choose(node, uniform(counter))
+            steps.append((rows, e))
+            size = lattice.len[e]
+            node += size
+            counter += size.astype(np.uint64) * np.uint64(_STEP)
+            going = node < end
+            taken[rows[~going]] = len(steps)
+            rows, node, end, counter = rows[going], node[going], end[going], counter[going]
         at = np.cumsum(taken) - taken
         edge = np.empty(int(taken.sum()), np.int64)
-        for rows, e, t in steps:
+        for t, (rows, e) in enumerate(steps):
             edge[at[rows] + t] = e
         return taken, edge
 
 
-def _counter(seed, place, salt: int):
+def _counter(seed: np.ndarray, place: np.ndarray, salt: int) -> np.ndarray:
     """A number for each (row, place in the text, purpose)."""
-    return (np.asarray(place).astype(np.uint64) * _STEP) + (np.asarray(seed, np.uint64) + _U64([salt * 0xD1B54A32D192ED03 & _MASK]))
+    return place.astype(np.uint64) * np.uint64(_STEP) + (seed + np.uint64(salt * _SALT & _MASK))
 
 
-def _exponential(x: np.ndarray) -> np.ndarray:
-    """Exponential variables from 32 bits of hashed counters: at least exp(-NOISE)."""
-    return -np.log(((mixed(x) >> np.uint64(32)).astype(np.float64) + 0.5) * 2.0**-32)
+def _log_noise(seed: int, place: int, n: int, salt: int) -> np.ndarray:
+    """Logs of exponential variables, at least -NOISE, from 32 bits of the hashed counters of n places on end."""
+    x = mixed(_STEPS[:n] + np.uint64((seed + place * _STEP + salt * _SALT) & _MASK)) >> np.uint64(32)
+    return np.log(-np.log((x.astype(np.float64) + 0.5) * 2.0**-32))
 
 
-def _below(phi, top, e):
+def _below(phi, top, log_e):
     """A Gumbel variable with location phi, given that it is at most ``top``; e is exponential."""
-    return phi - np.logaddexp(phi - top, np.log(e))
+    return phi - np.logaddexp(phi - top, log_e)
 
 
+@np.errstate(divide="ignore")
 def search(lattice: Lattice, walks: list[_Walk], first: int, last: int, seed: int, k: int) -> list[tuple[np.ndarray, float, float, float]]:
     """The k best perturbed paths through words first..last-1: (edges, log-probability, perturbed value, inclusion)."""
     bits = random.Random(seed).getrandbits
@@ -300,7 +310,8 @@ def search(lattice: Lattice, walks: list[_Walk], first: int, last: int, seed: in
     out: list[tuple[np.ndarray, float, float]] = []
     queue: list = []
     order = count()
-    fresh = lambda s, word: walks[s].edge[walks[s].at[word] : walks[s].at[last]]
+    places = [w.at[first : last + 1] for w in walks]
+    fresh = lambda s, word: walks[s].edge[walks[s].at[word] : places[s][-1]]
 
     def emit(head: np.ndarray, base: float, tail: np.ndarray, inner: int, word: int, value: float, s: int) -> None:
         """A complete path: ``head`` is settled, with log-probability ``base``; siblings along ``tail`` join the queue.
@@ -316,23 +327,17 @@ def search(lattice: Lattice, walks: list[_Walk], first: int, last: int, seed: in
         # No key exceeds its location by NOISE, and locations fall along the path: behind the place
         # where as many keys as are still wanted beat that, there is nothing to find.
         wanted = k - len(out) + 1
-        least = -math.inf
         for lo in range(0, len(tail), _RUN):
-            if before[lo] + _NOISE < least:
+            if lo and len(queue) >= wanted and before[lo] + _NOISE < -heapq.nsmallest(wanted, queue)[-1][0]:
                 break
-            part = tail[lo : lo + _RUN]
-            with np.errstate(divide="ignore"):
-                phi = before[lo : lo + _RUN] + np.log1p(-np.exp(steps[lo : lo + _RUN]))
-            noise = _exponential(_counter(seed, np.arange(len(head) + lo, len(head) + lo + len(part)), 16 + s))
-            keys = np.where(phi > -1e290, _below(phi, value, noise), -np.inf)
-            best = np.argpartition(-keys, wanted)[:wanted] if len(keys) > wanted else np.arange(len(keys))
+            phi = before[lo : lo + _RUN] + np.log1p(-np.exp(steps[lo : lo + _RUN]))
+            keys = _below(phi, value, _log_noise(seed, len(head) + lo, len(phi), 16 + s))
+            best = (-keys).argpartition(wanted)[:wanted] if len(keys) > wanted else np.arange(len(keys))
             for j in best.tolist():
                 if keys[j] > -np.inf:
                     at = lo + j
-                    of = word if at < inner else int(np.searchsorted(walks[s].at, walks[s].at[last] - len(tail) + at, "right")) - 1
+                    of = word if at < inner else first + int(places[s].searchsorted(places[s][-1] - len(tail) + at, "right")) - 1
                     heapq.heappush(queue, (-keys[j], next(order), path, len(head) + at, float(before[at]), (int(tail[at]),), of))
-            if len(queue) >= wanted:
-                least = -heapq.nsmallest(wanted, queue)[-1][0]
 
     tail = fresh(0, first)
     emit(tail[:0], 0.0, tail, 0, first, -math.log(-math.log(one())), 0)
@@ -345,7 +350,7 @@ def search(lattice: Lattice, walks: list[_Walk], first: int, last: int, seed: in
         rest = float(weight[-1] - lattice.q[e])
         if len(edges) > 1 and rest > 0:
             phi = before + math.log(rest)
-            heapq.heappush(queue, (-float(_below(phi, -key, -math.log(one()))), next(order), path, j, before, (*gone, e), word))
+            heapq.heappush(queue, (-float(_below(phi, -key, np.log(-math.log(one())))), next(order), path, j, before, (*gone, e), word))
         s = len(out)
         at, end = node + int(lattice.len[e]), int(lattice.start[np.searchsorted(lattice.start, node, "right")])
         inner = []
@@ -358,36 +363,40 @@ def search(lattice: Lattice, walks: list[_Walk], first: int, last: int, seed: in
     return [(p, lp, g, 1.0 if limit == -math.inf else -math.expm1(-math.exp(min(lp - limit, 700.0)))) for p, lp, g in out]
 
 
-class _Numbers(dict):
-    """Distinct words in the order they come."""
+def _words(texts: list[bytes], prefix: bytes) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words in the order they come, the number of each word of the texts in turn, and where each text's begin.
 
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
+    A word is a run of spaces and what follows up to the next space; ``prefix`` precedes every text that is not empty.
+    """
+    data = b"".join([prefix + x for x in texts if x])
+    ends = np.cumsum([0, *(len(prefix) + len(x) if x else 0 for x in texts)])
+    space = np.frombuffer(data, np.uint8) == 32
+    begins = np.zeros(len(data) + 1, bool)
+    begins[1:-1] = space[1:] > space[:-1]
+    begins[ends] = True  # also behind the last text
+    at = np.flatnonzero(begins)
+    found = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data)).dictionary_encode()
+    return found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(), np.searchsorted(at, ends).tolist()
 
 
 def encode(texts: list[bytes], keys: list, vocabulary: Vocabulary, k: int = SAMPLES) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
     """(row, sample, piece numbers, log-probability, perturbed value, inclusion) for each text in turn."""
+    prefix = vocabulary.prefix.encode()
     for lo, hi in in_pieces(texts, BLOCK_BYTES):
-        numbers = _Numbers()
-        number, words, first = numbers.__getitem__, [], [0]
-        for x in texts[lo:hi]:
-            words.extend(map(number, _WORD.findall(vocabulary.prefix + x.decode()) if x else ()))
-            first.append(len(words))
-        word = np.array(words, np.int64)
+        words, word, first = _words(texts[lo:hi], prefix)
         seeds = [xxhash.xxh3_64_intdigest(str(i)) for i in keys[lo:hi]]
-        lattice = Lattice(list(numbers), vocabulary)
+        lattice = Lattice(words, vocabulary)
         ends = np.concatenate([[0], np.cumsum(np.diff(lattice.start)[word])])
         place = ends[:-1] - np.repeat(ends[first[:-1]], np.diff(first))
         seed = np.repeat(np.array(seeds, np.uint64), np.diff(first))
         walks = [_Walk(lattice, word, place, seed, s) for s in range(k)]
-        del numbers, number, words, word, ends, place, seed
+        del words, word, ends, place, seed
         for i in range(hi - lo):
             if first[i] == first[i + 1]:
                 yield lo + i, 0, np.zeros(0, np.int32), 0.0, 0.0, 1.0
                 continue
             for s, (edges, log_p, value, share) in enumerate(search(lattice, walks, first[i], first[i + 1], seeds[i], k)):
-                yield lo + i, s, lattice.ids[_ragged(lattice.id_at[edges], lattice.id_n[edges])], log_p, value, share
+                yield lo + i, s, lattice.spell(edges), log_p, value, share
         del lattice, walks  # before the next block builds its own
 
 

@@ -3,6 +3,8 @@
 import itertools
 import math
 import random
+import re
+import sys
 import weakref
 from collections import Counter, defaultdict
 
@@ -86,6 +88,31 @@ def test_one_block_is_in_memory_at_a_time(vocabulary, monkeypatch):
     assert before == [0] * len(before) and len(before) > 3
 
 
+def test_words_are_found_and_numbered_without_a_python_call_each(vocabulary):
+    texts = [t.encode() for t in (*TEXTS, "a  b   c ", "   ", "a b", "\u3000 \u00a0x")]
+    for prefix in ("", " "):
+        words, number, first = pieces._words(texts, prefix.encode())
+        each = [re.findall(" *[^ ]+| +", prefix + t.decode()) if t else [] for t in texts]
+        assert words == list(dict.fromkeys(itertools.chain(*each)))
+        assert [[words[n] for n in number[a:b]] for a, b in itertools.pairwise(first)] == each
+
+    def calls(words):
+        text, n = " ".join(f"{i:04}" for i in range(words)).encode(), 0
+
+        def seen(frame, event, arg):
+            nonlocal n
+            n += event == "call" and frame.f_code.co_filename == pieces.__file__
+
+        sys.setprofile(seen)
+        try:
+            list(pieces.encode([text], [1], vocabulary))
+        finally:
+            sys.setprofile(None)
+        return n
+
+    assert calls(4000) < calls(400) + 400
+
+
 def test_round_trip_and_edges(spark, docs):
     rows = [*enumerate(TEXTS), (None, "null id"), (90, None), (0, TEXTS[0])]
     out = pieces.sample_pieces(docs(rows), samples=3).cache()
